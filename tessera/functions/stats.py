@@ -178,3 +178,77 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     """{column: [q(p) for p in probs]} for ungrouped use."""
     q = exact_quantiles(df, columns, probs)
     return {c: [q[(c, float(p))] for p in probs] for c in columns}
+
+
+def rank_select(
+    df: DataFrame,
+    group_col: str,
+    order_col: str,
+    tie_col: str,
+    wanted: dict,
+    counts: dict,
+    accuracy: int = DEFAULT_ACCURACY,
+    max_bracket: int = DEFAULT_MAX_BRACKET,
+) -> dict:
+    """Rows at given 0-based ranks of the (order_col, tie_col) order within
+    each group.  ``wanted`` maps group -> ranks, ``counts`` group -> size.
+    Returns {(group, rank): (order_value, tie_value)}.
+
+    Small groups are ranked whole (bounded by ``max_bracket``); large ones
+    are narrowed to a sketch bracket first, as in ``exact_quantiles``.
+    """
+    spark = df.sparkSession
+    gtype = df.schema[group_col].dataType
+    otype = df.schema[order_col].dataType
+    delta = 3.0 / accuracy
+    # (group, lo, hi, offset, ranks)
+    brackets: list[list] = []
+    big = {g: rs for g, rs in wanted.items() if counts[g] > max_bracket}
+    for g, rs in wanted.items():
+        if g not in big:
+            brackets.append([g, None, None, 0, sorted(set(rs))])
+    if big:
+        ps = sorted({min(1.0, max(0.0, r / counts[g] + s * delta)) for g, rs in big.items()
+                     for r in rs for s in (-1, 1)})
+        sk = {r[group_col]: dict(zip(ps, r["sk"])) for r in
+              df.where(F.col(group_col).isin(list(big)))
+              .groupBy(group_col).agg(F.percentile_approx(order_col, ps, accuracy).alias("sk")).collect()}
+        for g, rs in big.items():
+            for r in sorted(set(rs)):
+                p = r / counts[g]
+                lo = sk[g][min(1.0, max(0.0, p - delta))] if p - delta > 0 else None
+                hi = sk[g][min(1.0, max(0.0, p + delta))] if p + delta < 1 else None
+                brackets.append([g, lo, hi, None, [r]])
+        schema = T.StructType([T.StructField("g", gtype), T.StructField("bid", T.IntegerType()),
+                               T.StructField("lo", otype), T.StructField("hi", otype)])
+        pend = [i for i, b in enumerate(brackets) if b[3] is None]
+        bf = spark.createDataFrame([(brackets[i][0], i, brackets[i][1], brackets[i][2]) for i in pend], schema)
+        j = df.join(F.broadcast(bf), df[group_col].eqNullSafe(bf["g"]))
+        cnt = {r["bid"]: (r["below"], r["upto"]) for r in j.groupBy("bid").agg(
+            F.count_if(F.col("lo").isNotNull() & (F.col(order_col) < F.col("lo"))).alias("below"),
+            F.count_if(F.col("hi").isNull() | (F.col(order_col) <= F.col("hi"))).alias("upto")).collect()}
+        for i in pend:
+            below, upto = cnt.get(i, (0, 0))
+            r = brackets[i][4][0]
+            if below <= r < upto:
+                brackets[i][3] = below
+            else:  # sketch bracket missed: rank the whole group
+                brackets[i][1] = brackets[i][2] = None
+                brackets[i][3] = 0
+    schema = T.StructType([T.StructField("g", gtype), T.StructField("bid", T.IntegerType()),
+                           T.StructField("lo", otype), T.StructField("hi", otype),
+                           T.StructField("ranks", T.ArrayType(T.LongType()))])
+    bf = spark.createDataFrame(
+        [(b[0], i, b[1], b[2], [int(r - b[3]) for r in b[4]]) for i, b in enumerate(brackets)], schema)
+    inside = (df.join(F.broadcast(bf), df[group_col].eqNullSafe(bf["g"]))
+              .where((F.col("lo").isNull() | (F.col(order_col) >= F.col("lo")))
+                     & (F.col("hi").isNull() | (F.col(order_col) <= F.col("hi")))))
+    w = Window.partitionBy("bid").orderBy(order_col, tie_col)
+    got = (inside.withColumn("rk", F.row_number().over(w) - 1)
+           .where(F.array_contains("ranks", F.col("rk").cast("long")))
+           .select("bid", "rk", order_col, tie_col).collect())
+    out = {}
+    for r in got:
+        b = brackets[r["bid"]]
+        out[(b[0], r["rk"] + b[3])] = (r[order_col], r[tie_col])
+    return out

@@ -360,3 +360,149 @@ FROM documents d, (SELECT avg(CAST(n_chars AS DOUBLE)) AS m, stddev_samp(CAST(n_
 def q_outliers_cap_z(spark, sf):
     df = load(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     return clean.handle_outliers(df, "zscore", "cap", columns=["n_chars"])
+
+
+# ---------------------------------------------------------------------------
+# 2.2 / 2.5 projection, encoding, split, scaling
+# ---------------------------------------------------------------------------
+
+from tessera.operators import prep  # noqa: E402
+
+LI_MODEL = derived_sql("lineitem_model")
+MODEL_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("features_target", f"SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_revenue, big_order FROM {LI_MODEL}")
+def q_features_target(spark, sf):
+    return prep.prepare_features_target(derived(spark, sf, "lineitem_model"), "big_order",
+                                        MODEL_FEATURES + ["l_revenue"])
+
+
+def _sql_onehot(table: str, key: str, col: str) -> str:
+    return (f"(PIVOT (SELECT {key}, '{col}_' || {col} AS lvl FROM {table} WHERE {col} IS NOT NULL) "
+            f"ON lvl USING count(*) GROUP BY {key})")
+
+
+@register("encode_onehot", f"""
+SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderdate,
+       a.* EXCLUDE (o_orderkey), b.* EXCLUDE (o_orderkey)
+FROM orders o JOIN {_sql_onehot('orders', 'o_orderkey', 'o_orderstatus')} a USING (o_orderkey)
+JOIN {_sql_onehot('orders', 'o_orderkey', 'o_orderpriority')} b USING (o_orderkey)""")
+def q_encode_onehot(spark, sf):
+    out, _ = prep.encode_categoricals(load(spark, sf, "orders"), method="onehot")
+    return out
+
+
+@register("encode_label", """
+SELECT p_partkey,
+  dense_rank() OVER (ORDER BY coalesce(p_name, 'nan')) - 1 AS p_name,
+  dense_rank() OVER (ORDER BY coalesce(p_brand, 'nan')) - 1 AS p_brand,
+  dense_rank() OVER (ORDER BY coalesce(p_type, 'nan')) - 1 AS p_type,
+  p_size, p_retailprice
+FROM part""")
+def q_encode_label(spark, sf):
+    out, _ = prep.encode_categoricals(load(spark, sf, "part"), method="label")
+    return out
+
+
+@register("encode_auto", f"""
+WITH t AS {_sql_onehot('part', 'p_partkey', 'p_type')}
+SELECT p.p_partkey,
+  dense_rank() OVER (ORDER BY coalesce(p.p_name, 'nan')) - 1 AS p_name,
+  dense_rank() OVER (ORDER BY coalesce(p.p_brand, 'nan')) - 1 AS p_brand,
+  p.p_size, p.p_retailprice, t.* EXCLUDE (p_partkey)
+FROM part p JOIN t USING (p_partkey)""")
+def q_encode_auto(spark, sf):
+    out, _ = prep.encode_categoricals(load(spark, sf, "part"), method="auto", low_card_threshold=10)
+    return out
+
+
+def _sql_split(src: str, key_sql: str, y_sql: str | None, val: float = 0.15, test: float = 0.15, seed: int = 42) -> str:
+    held = val + test
+    rel = test / held
+    g = y_sql if y_sql else "0"
+    return f"""
+WITH b AS (SELECT *, {g} AS __g, {key_sql} AS __k,
+                  ('0x' || substr(md5('{seed}|' || {key_sql}), 1, 15))::BIGINT AS __h FROM {src}),
+r AS (SELECT *, row_number() OVER (PARTITION BY __g ORDER BY __h, __k) - 1 AS __rk FROM b),
+cls AS (SELECT __g, count(*) AS n_c FROM b GROUP BY __g),
+tot AS (SELECT sum(n_c) AS n, CAST(ceil(CAST({held!r} AS DOUBLE) * sum(n_c)) AS BIGINT) AS held FROM cls),
+a1 AS (SELECT __g, n_c, (held * n_c) // n AS base, (held * n_c) % n AS rem, held FROM cls, tot),
+h1 AS (SELECT __g, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, __g) <= held - sum(base) OVER () THEN 1 ELSE 0 END AS held_c FROM a1),
+tot2 AS (SELECT sum(held_c) AS m, CAST(ceil(CAST({rel!r} AS DOUBLE) * sum(held_c)) AS BIGINT) AS ntest FROM h1),
+a2 AS (SELECT __g, held_c, (ntest * held_c) // m AS base, (ntest * held_c) % m AS rem, ntest FROM h1, tot2),
+q AS (SELECT __g, held_c, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, __g) <= ntest - sum(base) OVER () THEN 1 ELSE 0 END AS test_c FROM a2)
+SELECT r.* EXCLUDE (__g, __k, __h, __rk),
+       CASE WHEN __rk < test_c THEN 'test' WHEN __rk < held_c THEN 'val' ELSE 'train' END AS split
+FROM r JOIN q ON q.__g IS NOT DISTINCT FROM r.__g"""
+
+
+@register("split_stratified", _sql_split("(SELECT o_orderkey, o_orderstatus FROM orders)",
+                                         "CAST(o_orderkey AS VARCHAR)", "o_orderstatus"))
+def q_split_stratified(spark, sf):
+    df = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return prep.split_data(df, "o_orderstatus", ["o_orderkey"], stratify=True, seed=42)
+
+
+@register("split_random", _sql_split("(SELECT o_orderkey, o_orderstatus FROM orders)",
+                                     "CAST(o_orderkey AS VARCHAR)", None))
+def q_split_random(spark, sf):
+    df = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return prep.split_data(df, "o_orderstatus", ["o_orderkey"], stratify=False, seed=42)
+
+
+LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # unique row key
+_LI_KEY_SQL = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in LI_KEY) + ")"
+_LI_SPLIT_SQL = _sql_split(f"(SELECT {', '.join(LI_KEY)}, {', '.join(MODEL_FEATURES)}, big_order FROM {LI_MODEL})",
+                           _LI_KEY_SQL, "big_order")
+
+
+def lineitem_split(spark, sf) -> DataFrame:
+    df = derived(spark, sf, "lineitem_model").select(*LI_KEY, *MODEL_FEATURES, "big_order")
+    return prep.split_data(df, "big_order", LI_KEY, stratify=True, seed=42)
+
+
+def _rnd(e: str, method: str) -> str:
+    d = _SCALE_DIGITS.get(method)
+    return f"round_even({e}, {d})" if d is not None else e
+
+
+def _sql_scaled(method: str) -> str:
+    if method == "standard":
+        stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS a_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS b_{c}" for c in MODEL_FEATURES)
+        expr = {c: f"(CAST(s.{c} AS DOUBLE) - p.a_{c}) / CASE WHEN p.b_{c} IS NULL OR p.b_{c} = 0 THEN 1.0 ELSE p.b_{c} END"
+                for c in MODEL_FEATURES}
+    elif method == "minmax":
+        stats = ", ".join(f"min(CAST({c} AS DOUBLE)) AS a_{c}, max(CAST({c} AS DOUBLE)) AS b_{c}" for c in MODEL_FEATURES)
+        expr = {c: f"(CAST(s.{c} AS DOUBLE) - p.a_{c}) / CASE WHEN p.b_{c} - p.a_{c} = 0 THEN 1.0 ELSE p.b_{c} - p.a_{c} END"
+                for c in MODEL_FEATURES}
+    else:
+        stats = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS a_{c}, "
+                          f"quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25) AS b_{c}"
+                          for c in MODEL_FEATURES)
+        expr = {c: f"(CAST(s.{c} AS DOUBLE) - p.a_{c}) / CASE WHEN p.b_{c} = 0 THEN 1.0 ELSE p.b_{c} END"
+                for c in MODEL_FEATURES}
+    return f"""
+WITH s AS ({_LI_SPLIT_SQL}),
+p AS (SELECT {stats} FROM s WHERE split = 'train')
+SELECT {', '.join('s.' + k for k in LI_KEY)}, {', '.join(f'{_rnd(e, method)} AS {c}' for c, e in expr.items())}, s.big_order, s.split
+FROM s, p"""
+
+
+# standard scaling divides by a mean and deviation whose last bits depend on
+# summation order, so that query (both sides) shows 9 decimals
+_SCALE_DIGITS = {"standard": 9}
+
+
+def _scaled(method):
+    def run(spark, sf):
+        out, _ = prep.scale_features(lineitem_split(spark, sf), method, columns=MODEL_FEATURES)
+        d = _SCALE_DIGITS.get(method)
+        if d is not None:
+            out = out.select(*[F.bround(c, d).alias(c) if c in MODEL_FEATURES else F.col(c) for c in out.columns])
+        return out
+    return run
+
+
+for _m in prep.SCALERS:
+    register(f"scale_{_m}", _sql_scaled(_m))(_scaled(_m))

@@ -42,8 +42,8 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
     # lineitem numeric features plus a derived, correlated column and a
     # derived binary target with real signal
     "lineitem_model": ("lineitem", [
-        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_extendedprice * (1 - l_discount) AS l_revenue",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax", "l_extendedprice * (1 - l_discount) AS l_revenue",
         "CAST(l_quantity * l_extendedprice > 1000000 AS INT) AS big_order",
     ]),
     # binary evaluation fixture on labels: a computed score and prediction
