@@ -506,3 +506,158 @@ def _scaled(method):
 
 for _m in prep.SCALERS:
     register(f"scale_{_m}", _sql_scaled(_m))(_scaled(_m))
+
+
+# ---------------------------------------------------------------------------
+# 2.8 evaluation (model-free: computed scores on the labels table)
+# ---------------------------------------------------------------------------
+
+from tessera.operators import evaluate  # noqa: E402
+
+LBL_SCORED = derived_sql("labels_scored")
+LBL_MULTI = derived_sql("labels_multi")
+
+
+def _sql_metrics(src: str, y: str, p: str, average: str, pos=None) -> str:
+    if average == "binary":
+        final = ("max(prec) FILTER (WHERE c = {pos}) AS precision, max(rec) FILTER (WHERE c = {pos}) AS recall, "
+                 "max(f1) FILTER (WHERE c = {pos}) AS f1").format(pos=pos)
+    elif average == "weighted":
+        final = ("CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(prec * support::DOUBLE) / sum(support::DOUBLE) END AS precision, "
+                 "CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(rec * support::DOUBLE) / sum(support::DOUBLE) END AS recall, "
+                 "CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(f1 * support::DOUBLE) / sum(support::DOUBLE) END AS f1")
+    else:
+        final = "avg(prec) AS precision, avg(rec) AS recall, avg(f1) AS f1"
+    return f"""
+WITH cnt AS (SELECT {y} AS y, {p} AS p, count(*) AS n FROM {src} GROUP BY ALL),
+cls AS (SELECT y AS c FROM cnt UNION SELECT p FROM cnt),
+pc AS (SELECT c,
+   coalesce((SELECT sum(n) FROM cnt WHERE cnt.y = cls.c AND cnt.p = cls.c), 0) AS tp,
+   coalesce((SELECT sum(n) FROM cnt WHERE cnt.y = cls.c), 0) AS support,
+   coalesce((SELECT sum(n) FROM cnt WHERE cnt.p = cls.c), 0) AS predicted FROM cls WHERE c IS NOT NULL),
+m AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp::DOUBLE / predicted::DOUBLE END AS prec,
+                CASE WHEN support = 0 THEN 0.0 ELSE tp::DOUBLE / support::DOUBLE END AS rec FROM pc),
+f AS (SELECT *, CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2.0 * prec * rec / (prec + rec) END AS f1 FROM m),
+a AS (SELECT CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(tp)::DOUBLE / sum(support)::DOUBLE END AS accuracy, {final} FROM f)
+SELECT round_even(accuracy, 4) AS accuracy, round_even(coalesce(f1, 0.0), 4) AS f1,
+       round_even(coalesce(precision, 0.0), 4) AS precision, round_even(coalesce(recall, 0.0), 4) AS recall FROM a"""
+
+
+@register("metrics_weighted", _sql_metrics(LBL_MULTI, "label", "prediction", "weighted"))
+def q_metrics_weighted(spark, sf):
+    return evaluate.classification_metrics(derived(spark, sf, "labels_multi"), "label", "prediction", "weighted")
+
+
+@register("metrics_macro", _sql_metrics(LBL_MULTI, "label", "prediction", "macro"))
+def q_metrics_macro(spark, sf):
+    return evaluate.classification_metrics(derived(spark, sf, "labels_multi"), "label", "prediction", "macro")
+
+
+@register("metrics_binary", _sql_metrics(LBL_SCORED, "toxic", "prediction", "binary", pos=1))
+def q_metrics_binary(spark, sf):
+    return evaluate.classification_metrics(derived(spark, sf, "labels_scored"), "toxic", "prediction", "binary")
+
+
+def _sql_auc(src: str, y: str, score: str, pos: str, group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    return f"""
+WITH s AS (SELECT {g}CAST({score} AS DOUBLE) AS score, sum(CASE WHEN {y} = {pos} THEN 1 ELSE 0 END) AS pos,
+                  sum(CASE WHEN {y} = {pos} THEN 0 ELSE 1 END) AS neg
+           FROM {src} WHERE {score} IS NOT NULL GROUP BY ALL),
+c AS (SELECT *, sum(neg) OVER ({part}ORDER BY score ROWS UNBOUNDED PRECEDING) AS cum_neg FROM s)
+SELECT {g}CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round_even(sum(pos::DOUBLE * ((cum_neg - neg)::DOUBLE + 0.5 * neg::DOUBLE))
+       / (sum(pos) * sum(neg))::DOUBLE, 4) END AS auc
+FROM c GROUP BY ALL"""
+
+
+@register("auc_binary", _sql_auc(LBL_SCORED, "toxic", "score", "1"))
+def q_auc_binary(spark, sf):
+    return evaluate.auc_binary(derived(spark, sf, "labels_scored"), "toxic", "score")
+
+
+@register("auc_ovr", f"""
+WITH l AS (SELECT label, 0 AS cls, p0 AS score FROM {LBL_MULTI} UNION ALL
+           SELECT label, 1, p1 FROM {LBL_MULTI} UNION ALL SELECT label, 2, p2 FROM {LBL_MULTI}),
+s AS (SELECT cls, score, sum(CASE WHEN label = cls THEN 1 ELSE 0 END) AS pos,
+             sum(CASE WHEN label = cls THEN 0 ELSE 1 END) AS neg FROM l GROUP BY ALL),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY cls ORDER BY score ROWS UNBOUNDED PRECEDING) AS cum_neg FROM s),
+a AS (SELECT cls, sum(pos::DOUBLE * ((cum_neg - neg)::DOUBLE + 0.5 * neg::DOUBLE)) / (sum(pos) * sum(neg))::DOUBLE AS auc,
+             sum(pos) AS p FROM c GROUP BY cls)
+SELECT round_even(sum(auc * p::DOUBLE) / sum(p)::DOUBLE, 4) AS auc FROM a""")
+def q_auc_ovr(spark, sf):
+    return evaluate.auc_ovr(derived(spark, sf, "labels_multi"), "label", ["p0", "p1", "p2"])
+
+
+@register("confusion_matrix", f"""
+WITH d AS (SELECT label AS t, prediction AS p FROM {LBL_MULTI}),
+cls AS (SELECT DISTINCT t AS c FROM d WHERE t IS NOT NULL),
+cnt AS (SELECT t, p, count(*) AS n FROM d GROUP BY ALL)
+SELECT a.c AS "true", b.c AS predicted, CAST(coalesce(cnt.n, 0) AS BIGINT) AS count
+FROM cls a JOIN cls b ON true LEFT JOIN cnt ON cnt.t = a.c AND cnt.p = b.c""")
+def q_confusion_matrix(spark, sf):
+    return evaluate.confusion_matrix(derived(spark, sf, "labels_multi"), "label", "prediction")
+
+
+@register("confusion_binary", f"""
+WITH a AS (SELECT count(*) FILTER (WHERE toxic = 1 AND prediction = 1) AS TP,
+                  count(*) FILTER (WHERE toxic = 0 AND prediction = 0) AS TN,
+                  count(*) FILTER (WHERE toxic = 0 AND prediction = 1) AS FP,
+                  count(*) FILTER (WHERE toxic = 1 AND prediction = 0) AS FN FROM {LBL_SCORED})
+SELECT TP, TN, FP, FN,
+  round_even(CASE WHEN TP + FN = 0 THEN 0.0 ELSE TP::DOUBLE / (TP + FN)::DOUBLE END, 4) AS sensitivity,
+  round_even(CASE WHEN TN + FP = 0 THEN 0.0 ELSE TN::DOUBLE / (TN + FP)::DOUBLE END, 4) AS specificity,
+  round_even(CASE WHEN TP + FP = 0 THEN 0.0 ELSE TP::DOUBLE / (TP + FP)::DOUBLE END, 4) AS ppv FROM a""")
+def q_confusion_binary(spark, sf):
+    return evaluate.confusion_binary(derived(spark, sf, "labels_scored"), "toxic", "prediction")
+
+
+def _sql_roc(src: str, y: str, score: str, pos: str, group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    on = f"USING ({group})" if group else "ON true"
+    return f"""
+WITH s AS (SELECT {g}CAST({score} AS DOUBLE) AS score, sum(CASE WHEN {y} = {pos} THEN 1 ELSE 0 END) AS pos,
+                  sum(CASE WHEN {y} = {pos} THEN 0 ELSE 1 END) AS neg FROM {src} WHERE {score} IS NOT NULL GROUP BY ALL),
+t AS (SELECT {g}sum(pos) AS P, sum(neg) AS N, count(*) AS D FROM s GROUP BY ALL),
+c AS (SELECT {g}score, sum(pos) OVER ({part}ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps,
+             sum(neg) OVER ({part}ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fps,
+             row_number() OVER ({part}ORDER BY score DESC) - 1 AS i FROM s),
+k AS (SELECT *, lag(tps) OVER ({part}ORDER BY i) AS tp_prev, lead(tps) OVER ({part}ORDER BY i) AS tp_next,
+                lag(fps) OVER ({part}ORDER BY i) AS fp_prev, lead(fps) OVER ({part}ORDER BY i) AS fp_next FROM c)
+SELECT {g}'inf'::DOUBLE AS threshold, CASE WHEN N > 0 THEN 0.0::DOUBLE END AS fpr,
+       CASE WHEN P > 0 THEN 0.0::DOUBLE END AS tpr FROM t
+UNION ALL
+SELECT {g}score AS threshold, CASE WHEN N > 0 THEN fps::DOUBLE / N::DOUBLE END AS fpr,
+       CASE WHEN P > 0 THEN tps::DOUBLE / P::DOUBLE END AS tpr
+FROM k JOIN t {on}
+WHERE D <= 2 OR i = 0 OR i = D - 1 OR fp_next - 2 * fps + fp_prev <> 0 OR tp_next - 2 * tps + tp_prev <> 0"""
+
+
+@register("roc_curve", _sql_roc(LBL_SCORED, "toxic", "score", "1"))
+def q_roc_curve(spark, sf):
+    return evaluate.roc_curve(derived(spark, sf, "labels_scored"), "toxic", "score")
+
+
+_ROC_STACK = (f"(SELECT 'score' AS model, toxic, score FROM {LBL_SCORED} UNION ALL "
+              f"SELECT 'quality' AS model, toxic, CAST(1 - quality AS DOUBLE) + CAST(doc_id % 3 AS DOUBLE) / 10.0 AS score "
+              f"FROM {LBL_SCORED})")
+
+
+def _roc_stack(spark, sf) -> DataFrame:
+    d = derived(spark, sf, "labels_scored")
+    a = d.select(F.lit("score").alias("model"), "toxic", "score")
+    b = d.selectExpr("'quality' AS model", "toxic",
+                     "CAST(1 - quality AS DOUBLE) + CAST(doc_id % 3 AS DOUBLE) / 10.0 AS score")
+    return a.unionByName(b)
+
+
+@register("roc_multi", f"""
+WITH r AS ({_sql_roc(_ROC_STACK, 'toxic', 'score', '1', 'model')}),
+a AS ({_sql_auc(_ROC_STACK, 'toxic', 'score', '1', 'model')})
+SELECT r.model, r.threshold, r.fpr, r.tpr, a.auc FROM r JOIN a USING (model)""")
+def q_roc_multi(spark, sf):
+    stack = _roc_stack(spark, sf)
+    roc = evaluate.roc_curve(stack, "toxic", "score", group_cols=["model"], pos_label=1)
+    auc = evaluate.auc_by_group(stack, "toxic", "score", ["model"], pos_label=1)
+    return roc.join(F.broadcast(auc), "model").select("model", "threshold", "fpr", "tpr", "auc")
