@@ -661,3 +661,139 @@ def q_roc_multi(spark, sf):
     roc = evaluate.roc_curve(stack, "toxic", "score", group_cols=["model"], pos_label=1)
     auc = evaluate.auc_by_group(stack, "toxic", "score", ["model"], pos_label=1)
     return roc.join(F.broadcast(auc), "model").select("model", "threshold", "fpr", "tpr", "auc")
+
+
+# ---------------------------------------------------------------------------
+# 2.7 classification
+# ---------------------------------------------------------------------------
+
+from tessera.operators import classify  # noqa: E402
+from tessera.session import shared_dir  # noqa: E402
+
+_LBL_SPLIT_SQL = _sql_split("(SELECT doc_id, quality, toxic FROM labels)", "CAST(doc_id AS VARCHAR)", "toxic")
+_U_SQL = "('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT::DOUBLE / 4294967296.0"
+
+
+def labels_split(spark, sf) -> DataFrame:
+    df = load(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    return prep.split_data(df, "toxic", ["doc_id"], stratify=True, seed=42)
+
+
+def _baseline(strategy):
+    def run(spark, sf):
+        s = labels_split(spark, sf)
+        m = classify.train_baseline(s.where(F.col("split") == "train"), "toxic", strategy, seed=42)
+        return m.transform(s, ["doc_id"]).select("doc_id", "toxic", "split", "prediction")
+    return run
+
+
+register("baseline_majority", f"""
+WITH s AS ({_LBL_SPLIT_SQL}),
+m AS (SELECT toxic AS c FROM s WHERE split = 'train' GROUP BY toxic ORDER BY count(*) DESC, toxic LIMIT 1)
+SELECT s.doc_id, s.toxic, s.split, m.c AS prediction FROM s, m""")(_baseline("most_frequent"))
+
+register("baseline_stratified", f"""
+WITH s AS ({_LBL_SPLIT_SQL}),
+c AS (SELECT toxic AS c, count(*) AS n FROM s WHERE split = 'train' GROUP BY toxic),
+cp AS (SELECT c, (sum(n) OVER (ORDER BY c ROWS UNBOUNDED PRECEDING))::DOUBLE / (sum(n) OVER ())::DOUBLE AS edge,
+              row_number() OVER (ORDER BY c DESC) = 1 AS is_last FROM c),
+u AS (SELECT *, {_U_SQL} AS u FROM s)
+SELECT u.doc_id, u.toxic, u.split,
+       (SELECT min(c) FROM cp WHERE u.u < cp.edge OR cp.is_last) AS prediction FROM u""")(_baseline("stratified"))
+
+register("baseline_uniform", f"""
+WITH s AS ({_LBL_SPLIT_SQL}),
+c AS (SELECT toxic AS c, row_number() OVER (ORDER BY toxic) - 1 AS i, count(*) OVER () AS k
+      FROM (SELECT DISTINCT toxic FROM s WHERE split = 'train')),
+u AS (SELECT *, {_U_SQL} AS u FROM s)
+SELECT u.doc_id, u.toxic, u.split,
+       (SELECT c FROM c WHERE c.i = floor(u.u * c.k::DOUBLE)) AS prediction FROM u""")(_baseline("uniform"))
+
+
+@register("class_weights", """
+SELECT doc_id, toxic,
+       (count(*) OVER ())::DOUBLE / ((SELECT count(DISTINCT toxic) FROM labels) * count(*) OVER (PARTITION BY toxic))::DOUBLE AS weight
+FROM labels""")
+def q_class_weights(spark, sf):
+    return classify.class_weights(load(spark, sf, "labels").select("doc_id", "toxic"), "toxic")
+
+
+# fitted models are shared by the queries of one session and data folder
+_MODELS: dict = {}
+
+
+def _model(spark, sf, kind: str):
+    key = (id(spark), sf, kind)
+    if key not in _MODELS:
+        train = lineitem_split(spark, sf).where(F.col("split") == "train")
+        if kind == "tree":
+            _MODELS[key] = classify.train_decision_tree(train, MODEL_FEATURES, "big_order", max_depth=5)
+        else:
+            _MODELS[key] = classify.train_random_forest(train, MODEL_FEATURES, "big_order", n_estimators=100)
+    return _MODELS[key]
+
+
+@register("decision_tree")
+def q_decision_tree(spark, sf):
+    s = lineitem_split(spark, sf)
+    return _model(spark, sf, "tree").predict(s.where(F.col("split") == "test")) \
+        .select(*LI_KEY, "big_order", "prediction")
+
+
+@register("random_forest")
+def q_random_forest(spark, sf):
+    s = lineitem_split(spark, sf)
+    return _model(spark, sf, "forest").predict(s.where(F.col("split") == "test")) \
+        .select(*LI_KEY, "big_order", "prediction", "probability")
+
+
+@register("predict")
+def q_predict(spark, sf):
+    s = lineitem_split(spark, sf)
+    return _model(spark, sf, "tree").predict(s).select(*LI_KEY, "split", "prediction")
+
+
+@register("predict_proba")
+def q_predict_proba(spark, sf):
+    s = lineitem_split(spark, sf)
+    m = _model(spark, sf, "forest")
+    out = classify.probability_frame(m.predict(s.where(F.col("split") == "test")), m.classes)
+    return out.select(*LI_KEY, *[f"p_{c}" for c in m.classes])
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    m = _model(spark, sf, "tree")
+    path = shared_dir(spark, "model")
+    m.save(path)
+    again = classify.load_classifier(path, m.classes, m.features, m.label_col)
+    s = lineitem_split(spark, sf)
+    a = m.predict(s).select(*LI_KEY, F.col("prediction").alias("prediction"))
+    b = again.predict(s).select(*LI_KEY, F.col("prediction").alias("reloaded"))
+    return a.join(b, LI_KEY).withColumn("same", F.col("prediction") == F.col("reloaded"))
+
+
+@register("score_batch")
+def q_score_batch(spark, sf):
+    """Score every lineitem row with a saved, reloaded forest pipeline."""
+    m = _model(spark, sf, "forest")
+    path = shared_dir(spark, "forest")
+    m.save(path)
+    loaded = classify.load_classifier(path, m.classes, m.features, m.label_col)
+    rows = derived(spark, sf, "lineitem_model").select(*LI_KEY, *MODEL_FEATURES)
+    return loaded.predict(rows).select(*LI_KEY, "prediction", "probability")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf, top_n: int = 20):
+    m = _model(spark, sf, "forest")
+    imp = spark.createDataFrame(m.feature_importances(), "feature string, importance double")
+    return imp.orderBy(F.col("importance").desc(), "feature").limit(top_n)
+
+
+@register("tree_nodes")
+def q_tree_nodes(spark, sf):
+    m = _model(spark, sf, "tree")
+    path = shared_dir(spark, "tree")
+    m.estimator.write().overwrite().save(path)
+    return classify.tree_nodes(spark, path, m.features, max_depth=3)
