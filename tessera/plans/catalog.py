@@ -797,3 +797,134 @@ def q_tree_nodes(spark, sf):
     path = shared_dir(spark, "tree")
     m.estimator.write().overwrite().save(path)
     return classify.tree_nodes(spark, path, m.features, max_depth=3)
+
+
+# ---------------------------------------------------------------------------
+# 2.6 segmentation
+# ---------------------------------------------------------------------------
+
+from tessera.operators import segment  # noqa: E402
+from tessera.plans import segmentation  # noqa: E402
+
+_SEGS: dict = {}
+
+
+def _customer_kmeans(spark, sf, k: int = 4):
+    key = (id(spark), sf, k)
+    if key not in _SEGS:
+        feats = segment.cache_features(segmentation.scaled_features(spark, sf))
+        _SEGS[key] = (feats, segment.run_kmeans(feats, k, 42))
+    return _SEGS[key]
+
+
+@register("kmeans")
+def q_kmeans(spark, sf):
+    feats, res = _customer_kmeans(spark, sf)
+    return res.assign(feats).select("c_custkey", "cluster", F.lit(res.inertia).alias("inertia"))
+
+
+@register("kmeans_sweep")
+def q_kmeans_sweep(spark, sf):
+    feats, _ = _customer_kmeans(spark, sf)
+    return segment.find_optimal_k(feats, 2, 10, 42, id_col="c_custkey")
+
+
+@register("best_k")
+def q_best_k(spark, sf):
+    return segment.best_k(q_kmeans_sweep(spark, sf))
+
+
+@register("hierarchical")
+def q_hierarchical(spark, sf):
+    feats, _ = _customer_kmeans(spark, sf)
+    return segment.run_hierarchical(feats, 4, "ward").select("c_custkey", "cluster")
+
+
+@register("bisecting")
+def q_bisecting(spark, sf):
+    feats, _ = _customer_kmeans(spark, sf)
+    return segment.run_bisecting(feats, 4).select("c_custkey", "cluster")
+
+
+@register("dendrogram")
+def q_dendrogram(spark, sf):
+    feats, _ = _customer_kmeans(spark, sf)
+    return segment.dendrogram_table(feats, ["c_custkey"], "ward")
+
+
+@register("pca_2d")
+def q_pca_2d(spark, sf):
+    feats, res = _customer_kmeans(spark, sf)
+    return segment.pca_2d(res.assign(feats), ["c_custkey", "cluster"])
+
+
+_SIL_SQL = """
+WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum(list_distance(a.e, b.e)) AS s, count(*) AS n
+      FROM p a, p b GROUP BY ALL),
+per AS (SELECT vec_id, own, max(CASE WHEN c = own THEN s END) AS s_own, max(CASE WHEN c = own THEN n END) AS n_own,
+               min(CASE WHEN c <> own THEN s / n END) AS b FROM s GROUP BY vec_id, own),
+v AS (SELECT vec_id AS id, CAST(own AS BIGINT) AS cluster,
+        CASE WHEN n_own <= 1 OR b IS NULL THEN 0.0
+             ELSE (b - s_own / (n_own - 1)) / greatest(s_own / (n_own - 1), b) END AS silhouette FROM per)"""
+
+
+def _embedding_sil(spark, sf):
+    emb = load(spark, sf, "embeddings")
+    return segment.silhouette_samples(emb, "embedding", "label", id_col="vec_id")
+
+
+@register("silhouette_samples", _SIL_SQL + "\nSELECT id, cluster, round_even(silhouette, 9) AS silhouette FROM v")
+def q_silhouette_samples(spark, sf):
+    return _embedding_sil(spark, sf).select("id", "cluster", F.bround("silhouette", 9).alias("silhouette"))
+
+
+@register("silhouette", _SIL_SQL + "\nSELECT round_even(avg(silhouette), 9) AS silhouette, count(*) AS n FROM v")
+def q_silhouette(spark, sf):
+    return _embedding_sil(spark, sf).agg(F.bround(F.avg("silhouette"), 9).alias("silhouette"),
+                                         F.count(F.lit(1)).alias("n"))
+
+
+_PROFILE_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PROFILE_SQL = ("SELECT l_linenumber AS cluster, "
+                + ", ".join(f"round_even(avg(CAST({f} AS DOUBLE)), 4) AS {f}_mean, "
+                            f"round_even(stddev_samp(CAST({f} AS DOUBLE)), 4) AS {f}_std" for f in _PROFILE_FEATS)
+                + ", count(*) AS n_samples FROM lineitem GROUP BY l_linenumber")
+
+
+def _line_profiles(spark, sf):
+    li = load(spark, sf, "lineitem").select("l_linenumber", *_PROFILE_FEATS)
+    return segment.cluster_profiles(li, "l_linenumber", _PROFILE_FEATS)
+
+
+@register("cluster_profiles", _PROFILE_SQL)
+def q_cluster_profiles(spark, sf):
+    return _line_profiles(spark, sf)
+
+
+def _sql_trait(f: str) -> str:
+    v = f"p.{f}_mean"
+    txt = f"CAST(CAST(CAST({v} AS DECIMAL(38,4)) AS DECIMAL(38,2)) AS VARCHAR)"
+    ratio = f"({v} - g.{f}) / abs(g.{f})"
+    return (f"CASE WHEN g.{f} = 0 OR g.{f} IS NULL THEN NULL WHEN {ratio} > 0.15 THEN '{f} alto (' || {txt} || ')' "
+            f"WHEN {ratio} < -0.15 THEN '{f} bajo (' || {txt} || ')' END")
+
+
+@register("cluster_traits", f"""
+WITH p AS ({_PROFILE_SQL}),
+g AS (SELECT {', '.join(f'avg({f}_mean) AS {f}' for f in _PROFILE_FEATS)} FROM p),
+t AS (SELECT p.cluster, p.n_samples, list_filter([{', '.join(_sql_trait(f) for f in _PROFILE_FEATS)}], lambda x: x IS NOT NULL) AS tr
+      FROM p, g)
+SELECT cluster, 'Clúster ' || CAST(cluster AS VARCHAR) || ' (' || CAST(n_samples AS VARCHAR) || ' clientes): ' ||
+       CASE WHEN len(tr) > 0 THEN array_to_string(tr[1:4], ', ') ELSE 'perfil similar al promedio general' END AS description
+FROM t""")
+def q_cluster_traits(spark, sf):
+    return segment.describe_clusters(_line_profiles(spark, sf), _PROFILE_FEATS)
+
+
+@register("cluster_profile_long", f"""
+WITH p AS ({_PROFILE_SQL})
+UNPIVOT (SELECT cluster, {', '.join(f'{f}_mean' for f in _PROFILE_FEATS)} FROM p)
+ON {', '.join(f'{f}_mean' for f in _PROFILE_FEATS)} INTO NAME feature VALUE mean""")
+def q_cluster_profile_long(spark, sf):
+    return segment.profile_long(_line_profiles(spark, sf), _PROFILE_FEATS)
