@@ -928,3 +928,146 @@ UNPIVOT (SELECT cluster, {', '.join(f'{f}_mean' for f in _PROFILE_FEATS)} FROM p
 ON {', '.join(f'{f}_mean' for f in _PROFILE_FEATS)} INTO NAME feature VALUE mean""")
 def q_cluster_profile_long(spark, sf):
     return segment.profile_long(_line_profiles(spark, sf), _PROFILE_FEATS)
+
+
+# ---------------------------------------------------------------------------
+# 2.9 chart data
+# ---------------------------------------------------------------------------
+
+from tessera.operators import chartdata, experiments  # noqa: E402
+
+
+@register("missing_ranked", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE) * 100.0 AS null_pct FROM {LI_NULLS}"
+    for c in LI_NULLS_COLS))
+def q_missing_ranked(spark, sf):
+    return chartdata.missing_ranked(derived(spark, sf, "lineitem_nulls"))
+
+
+_CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _sql_corr_pair(a: str, b: str) -> str:
+    both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+    xa, yb = f"CASE WHEN {both} THEN CAST({a} AS DOUBLE) END", f"CASE WHEN {both} THEN CAST({b} AS DOUBLE) END"
+    den = f"(stddev_samp({xa}) * stddev_samp({yb}))"
+    return f"round_even(CASE WHEN {den} = 0 THEN NULL ELSE covar_samp({xa}, {yb}) / {den} END, 3) + 0.0"
+
+
+@register("correlation", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {_sql_corr_pair(a, b)} AS corr FROM {LI_NULLS}"
+    for a in _CORR_COLS for b in _CORR_COLS))
+def q_correlation(spark, sf):
+    return chartdata.correlation(derived(spark, sf, "lineitem_nulls").select(*_CORR_COLS))
+
+
+@register("histogram", """
+WITH st AS (SELECT count(value) AS n, min(value) AS lo, max(value) AS hi FROM events),
+p AS (SELECT *, CAST(ceil(log2(n) + 1) AS INTEGER) AS k FROM st),
+w AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / k ELSE 1.0 END AS width FROM p),
+b AS (SELECT CAST(least(floor((value - lo) / width), k - 1) AS INTEGER) AS bin, count(*) AS c
+      FROM events, w WHERE value IS NOT NULL GROUP BY ALL),
+g AS (SELECT CAST(r.range AS INTEGER) AS bin FROM w, range(w.k) r)
+SELECT g.bin, lo + g.bin * width AS lower, lo + (g.bin + 1) * width AS upper,
+       CAST(coalesce(b.c, 0) AS BIGINT) AS count, coalesce(b.c, 0) / (n * width) AS density
+FROM g LEFT JOIN b USING (bin), w""")
+def q_histogram(spark, sf):
+    return chartdata.histogram(load(spark, sf, "events"), "value")
+
+
+@register("kde", """
+WITH st AS (SELECT count(value) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd FROM events),
+p AS (SELECT *, sd * pow(n, -0.2) AS h, (hi - lo) / 99 AS step FROM st),
+g AS (SELECT CAST(range AS INTEGER) AS point FROM range(100))
+SELECT point, lo + point * step AS x,
+       round_even(sum(exp(-0.5 * ((lo + point * step - value) / h) * ((lo + point * step - value) / h)))
+                  / (n * h * sqrt(2 * pi())), 10) AS density
+FROM events, p, g WHERE value IS NOT NULL GROUP BY point, lo, step, n, h""")
+def q_kde(spark, sf):
+    return chartdata.kde(load(spark, sf, "events"), "value")
+
+
+@register("boxplot", """
+WITH l AS (UNPIVOT (SELECT CAST(event_id AS DOUBLE) AS event_id, CAST(user_id AS DOUBLE) AS user_id, value FROM events)
+           ON event_id, user_id, value INTO NAME col VALUE x),
+q AS (SELECT col, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q3 FROM l GROUP BY col)
+SELECT q.col AS "column", q1, med AS median, q3,
+       min(x) FILTER (WHERE x >= q1 - 1.5 * (q3 - q1)) AS lower_whisker,
+       max(x) FILTER (WHERE x <= q3 + 1.5 * (q3 - q1)) AS upper_whisker,
+       count(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM l JOIN q USING (col) GROUP BY q.col, q1, med, q3""")
+def q_boxplot(spark, sf):
+    return chartdata.boxplot(load(spark, sf, "events"))
+
+
+@register("value_counts", """
+SELECT 'events' AS table_name, 'event_type' AS column_name, event_type AS value, count(*) AS frequency
+FROM events WHERE event_type IS NOT NULL GROUP BY event_type
+UNION ALL
+SELECT 'conversations', 'role', role, count(*) FROM conversations WHERE role IS NOT NULL GROUP BY role""")
+def q_value_counts(spark, sf):
+    a = chartdata.value_counts(load(spark, sf, "events"), "event_type") \
+        .select(F.lit("events").alias("table_name"), F.lit("event_type").alias("column_name"), "value", "frequency")
+    b = chartdata.value_counts(load(spark, sf, "conversations"), "role") \
+        .select(F.lit("conversations").alias("table_name"), F.lit("role").alias("column_name"), "value", "frequency")
+    return a.unionByName(b)
+
+
+# ---------------------------------------------------------------------------
+# experiment log (V7, V8, S8, G15)
+# ---------------------------------------------------------------------------
+
+_MAJ_SQL = ("(SELECT doc_id, toxic, m.c AS prediction, CASE WHEN m.c = 1 THEN 1.0 ELSE 0.0 END AS score FROM labels, "
+            "(SELECT toxic AS c FROM labels GROUP BY toxic ORDER BY count(*) DESC, toxic LIMIT 1) m)")
+
+
+def _majority_scored(spark, sf) -> DataFrame:
+    lab = load(spark, sf, "labels").select("doc_id", "toxic")
+    m = classify.train_baseline(lab, "toxic", "most_frequent")
+    return m.transform(lab, ["doc_id"]).select("doc_id", "toxic", "prediction",
+                                               F.col("probability")[1].alias("score"))
+
+
+def _scored_metrics(df: DataFrame) -> DataFrame:
+    m = evaluate.classification_metrics(df, "toxic", "prediction", "binary", pos_label=1)
+    a = evaluate.auc_binary(df, "toxic", "score", pos_label=1)
+    return m.withColumn("_k", F.lit(1)).join(a.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def _experiment_log(spark, sf) -> str:
+    log_dir = shared_dir(spark, "experiments")
+    experiments.log_experiment(spark, log_dir, "score_model", {"threshold": 0.5, "weights": "0.3/0.7"},
+                               _scored_metrics(derived(spark, sf, "labels_scored")), "test")
+    experiments.log_experiment(spark, log_dir, "majority", {"strategy": "most_frequent"},
+                               _scored_metrics(_majority_scored(spark, sf)), "test")
+    return log_dir
+
+
+@register("log_experiment")
+def q_log_experiment(spark, sf):
+    log_dir = _experiment_log(spark, sf)
+    return spark.read.parquet(log_dir)
+
+
+@register("experiments_table")
+def q_experiments_table(spark, sf):
+    return experiments.experiments_table(spark, _experiment_log(spark, sf))
+
+
+@register("experiments_csv")
+def q_experiments_csv(spark, sf):
+    table = experiments.experiments_table(spark, _experiment_log(spark, sf))
+    path = experiments.export_csv(table, shared_dir(spark, "experiments-csv"))
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def _sql_model_metrics(name: str, src: str) -> str:
+    return (f"SELECT '{name}' AS model, m.*, a.auc FROM ({_sql_metrics(src, 'toxic', 'prediction', 'binary', pos=1)}) m, "
+            f"({_sql_auc(src, 'toxic', 'score', '1')}) a")
+
+
+@register("metrics_long", f"""
+UNPIVOT ({_sql_model_metrics('score_model', LBL_SCORED)} UNION ALL {_sql_model_metrics('majority', _MAJ_SQL)})
+ON accuracy, f1, precision, recall, auc INTO NAME metric VALUE value""")
+def q_metrics_long(spark, sf):
+    return experiments.metrics_long(experiments.experiments_table(spark, _experiment_log(spark, sf)))
