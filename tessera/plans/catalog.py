@@ -1071,3 +1071,88 @@ UNPIVOT ({_sql_model_metrics('score_model', LBL_SCORED)} UNION ALL {_sql_model_m
 ON accuracy, f1, precision, recall, auc INTO NAME metric VALUE value""")
 def q_metrics_long(spark, sf):
     return experiments.metrics_long(experiments.experiments_table(spark, _experiment_log(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# 2.1 sources, sinks, metadata
+# ---------------------------------------------------------------------------
+
+from tessera import sources  # noqa: E402
+from tessera.sources.delimited import separator_counts  # noqa: E402
+from tessera.sources.excel import write_xlsx_parts  # noqa: E402
+
+
+def _write_text(df: DataFrame, name: str, sep: str, spark) -> str:
+    path = shared_dir(spark, name)
+    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    return path
+
+
+@register("load_csv", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def q_load_csv(spark, sf):
+    path = _write_text(load(spark, sf, "customer"), "customer-semicolon", ";", spark)
+    return sources.read_delimited(spark, path)
+
+
+@register("load_tsv", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
+def q_load_tsv(spark, sf):
+    path = _write_text(load(spark, sf, "part"), "part-tab", "\t", spark)
+    return sources.read_delimited(spark, path, sep="\t")
+
+
+@register("load_json", "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier")
+def q_load_json(spark, sf):
+    path = shared_dir(spark, "supplier") + ".json"
+    load(spark, sf, "supplier").write.mode("overwrite").json(path)
+    return sources.read_table(spark, path)
+
+
+@register("load_excel", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def q_load_excel(spark, sf):
+    path = shared_dir(spark, "nation-books") + ".xlsx"
+    write_xlsx_parts(load(spark, sf, "nation"), path)
+    return sources.read_table(spark, path)
+
+
+@register("load_file", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def q_load_file(spark, sf):
+    path = shared_dir(spark, "region") + ".csv"
+    load(spark, sf, "region").write.mode("overwrite").option("header", True).csv(path)
+    return sources.read_table(spark, path)
+
+
+@register("detect_separator")
+def q_detect_separator(spark, sf):
+    path = _write_text(load(spark, sf, "customer"), "customer-pipe", "|", spark)
+    first = sources.delimited.list_files(spark, path)[0]
+    return separator_counts(spark, first).withColumn("chosen", F.lit(sources.detect_separator(spark, path)))
+
+
+@register("table_metadata", """
+SELECT count(*) AS n_rows, 6 AS n_cols,
+  'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns,
+  'bigint,bigint,string,double,timestamp_ntz,string' AS dtypes,
+  round_even(sum(8 + 8 + coalesce(strlen(o_orderstatus), 0) + 8 + 8 + coalesce(strlen(o_orderpriority), 0))::DOUBLE
+             / 1048576.0, 3) AS memory_mb
+FROM orders""")
+def q_table_metadata(spark, sf):
+    return sources.table_metadata(load(spark, sf, "orders"))
+
+
+# ---------------------------------------------------------------------------
+# streaming: incremental scoring of arriving files (M6 re-aimed)
+# ---------------------------------------------------------------------------
+
+from tessera.streaming import score_stream  # noqa: E402
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf):
+    m = _model(spark, sf, "tree")
+    src = shared_dir(spark, "stream-in")
+    rows = derived(spark, sf, "lineitem_model").select(*LI_KEY, *MODEL_FEATURES)
+    rows.repartition(4).write.mode("overwrite").parquet(src)
+    sink, ckpt = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-ckpt")
+    q = score_stream(spark, m, src, rows.schema, sink, ckpt, keep_cols=LI_KEY)
+    q.awaitTermination()
+    return spark.read.parquet(sink)
