@@ -1,0 +1,213 @@
+"""Many k-means fits in one pass per iteration.
+
+A k sweep with several seeded starts per k is dozens of independent fits;
+run one by one, each Lloyd iteration of each fit is its own scan of the
+data.  Here every (k, seed) start advances in the *same* scan: a
+``mapInPandas`` task assigns its rows to the nearest centre of every start
+(numpy over Arrow batches) and emits per-(start, cluster) partial sums,
+which a grouped sum completes; the driver only holds the centres (starts x
+k x d numbers).  Seeding is k-means++ with exact weighted sampling
+(exponential keys, one scan per seeding round for all starts); draws are
+a pure function of (row id, seed, round), so recomputed tasks agree.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MAX_ITER = 300
+TOL = 1e-4
+
+
+def _mix(a: np.ndarray) -> np.ndarray:
+    """splitmix64 finaliser on uint64 (wrapping arithmetic)."""
+    with np.errstate(over="ignore"):
+        z = a + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def _uniform(ids: np.ndarray, seed: int, rnd: int) -> np.ndarray:
+    """(0, 1] uniform per row id, independent per (seed, round)."""
+    with np.errstate(over="ignore"):
+        base = ids.astype(np.uint64) * np.uint64(0x100000001B3) + np.uint64((seed * 1_000_003 + rnd) & (2**64 - 1))
+    return ((_mix(base) >> np.uint64(11)).astype(np.float64) + 1.0) / float(2**53)
+
+
+def _matrix(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["x"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 0))
+
+
+def _sqdist(X: np.ndarray, C: np.ndarray) -> np.ndarray:
+    d = (X * X).sum(1)[:, None] - 2.0 * X @ C.T + (C * C).sum(1)[None, :]
+    return np.maximum(d, 0.0)
+
+
+@dataclass
+class FitResult:
+    k: int
+    seed: int
+    inertia: float
+    centres: np.ndarray  # sorted lexicographically; row i is cluster i
+    n_iter: int
+
+    def assign(self, df: DataFrame, x_col: str = "features", out: str = "cluster") -> DataFrame:
+        """Nearest-centre id as a JVM expression (no Python per row)."""
+        x = _as_array(df, x_col)
+        dists = []
+        for c in self.centres:
+            cl = F.array(*[F.lit(float(v)) for v in c])
+            sq = F.aggregate(F.zip_with(x, cl, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+            dists.append(sq)
+        arr = F.array(*dists)
+        return df.withColumn(out, (F.array_position(arr, F.array_min(arr)) - 1).cast("int"))
+
+
+def _as_array(df: DataFrame, col: str) -> Column:
+    dt = df.schema[col].dataType
+    return F.col(col).cast("array<double>") if isinstance(dt, T.ArrayType) else vector_to_array(F.col(col))
+
+
+def fit_many(df: DataFrame, id_col: str, configs: Sequence[tuple[int, int]], x_col: str = "features",
+             max_iter: int = MAX_ITER, tol: float = TOL) -> list[FitResult]:
+    """Fit k-means for every (k, seed) in ``configs``; ``df`` should be
+    cached.  Convergence per start: total squared centre shift <= tol x
+    mean feature variance (as scikit-learn)."""
+    spark = df.sparkSession
+    pts = df.select(F.col(id_col).cast("long").alias("id"), _as_array(df, x_col).alias("x"))
+    dim = len(pts.first()["x"])
+    n = pts.count()
+    var_row = pts.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.var_pop("v").alias("v")) \
+        .agg(F.avg("v")).first()
+    tol_abs = (var_row[0] or 0.0) * tol
+    ncfg = len(configs)
+    ks = [k for k, _ in configs]
+    seeds = [s for _, s in configs]
+
+    pick_schema = T.StructType([T.StructField("cfg", T.IntegerType()), T.StructField("key", T.DoubleType()),
+                                T.StructField("x", T.ArrayType(T.DoubleType()))])
+
+    def seeding_round(chosen: list[list[np.ndarray]], rnd: int):
+        todo = [i for i in range(ncfg) if len(chosen[i]) < min(ks[i], n)]
+        if not todo:
+            return {}
+        cents = {i: np.array(chosen[i]) for i in todo if chosen[i]}
+
+        def run(it):
+            best = {}
+            for pdf in it:
+                if pdf.empty:
+                    continue
+                X = _matrix(pdf)
+                ids = pdf["id"].to_numpy()
+                for i in todo:
+                    u = _uniform(ids, seeds[i], rnd)
+                    if i in cents:
+                        w = _sqdist(X, cents[i]).min(1)
+                        with np.errstate(divide="ignore"):
+                            key = np.where(w > 0, -np.log(u) / w, np.inf)
+                    else:
+                        key = -np.log(u)
+                    j = int(np.argmin(key))
+                    if np.isfinite(key[j]) and (i not in best or key[j] < best[i][0]):
+                        best[i] = (float(key[j]), X[j].tolist())
+            yield pd.DataFrame({"cfg": list(best), "key": [b[0] for b in best.values()],
+                                "x": [b[1] for b in best.values()]})
+
+        got = (pts.mapInPandas(run, pick_schema).groupBy("cfg")
+               .agg(F.min_by("x", "key").alias("x")).collect())
+        return {r["cfg"]: np.array(r["x"], dtype=np.float64) for r in got}
+
+    chosen: list[list[np.ndarray]] = [[] for _ in range(ncfg)]
+    for rnd in range(max(ks)):
+        new = seeding_round(chosen, rnd)
+        if not new:
+            break
+        for i, c in new.items():
+            chosen[i].append(c)
+    centres = [np.array(c) for c in chosen]
+
+    sums_schema = T.StructType([T.StructField("cfg", T.IntegerType()), T.StructField("cl", T.IntegerType()),
+                                T.StructField("cnt", T.LongType()), T.StructField("sse", T.DoubleType())]
+                               + [T.StructField(f"s{j}", T.DoubleType()) for j in range(dim)])
+
+    def lloyd_pass(active: list[int]):
+        cents = {i: centres[i] for i in active}
+
+        def run(it):
+            acc: dict[int, list] = {}
+            for pdf in it:
+                if pdf.empty:
+                    continue
+                X = _matrix(pdf)
+                for i in active:
+                    C = cents[i]
+                    d = _sqdist(X, C)
+                    lab = d.argmin(1)
+                    kk = len(C)
+                    cnt = np.bincount(lab, minlength=kk)
+                    s = np.zeros((kk, dim))
+                    np.add.at(s, lab, X)
+                    sse = np.bincount(lab, weights=d[np.arange(len(X)), lab], minlength=kk)
+                    if i in acc:
+                        acc[i][0] += cnt
+                        acc[i][1] += s
+                        acc[i][2] += sse
+                    else:
+                        acc[i] = [cnt, s, sse]
+            rows = []
+            for i, (cnt, s, sse) in acc.items():
+                for c in range(len(cnt)):
+                    rows.append((i, c, int(cnt[c]), float(sse[c]), *s[c].tolist()))
+            yield pd.DataFrame(rows, columns=[f.name for f in sums_schema.fields])
+
+        agg = pts.mapInPandas(run, sums_schema).groupBy("cfg", "cl").agg(
+            F.sum("cnt").alias("cnt"), F.sum("sse").alias("sse"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(dim)])
+        return agg.collect()
+
+    active = list(range(ncfg))
+    iters = [0] * ncfg
+    for _ in range(max_iter):
+        if not active:
+            break
+        rows = lloyd_pass(active)
+        moved = {i: 0.0 for i in active}
+        for r in rows:
+            i, c = r["cfg"], r["cl"]
+            if r["cnt"] > 0:
+                new = np.array([r[f"s{j}"] for j in range(dim)]) / r["cnt"]
+                moved[i] += float(((new - centres[i][c]) ** 2).sum())
+                centres[i][c] = new
+        for i in active:
+            iters[i] += 1
+        active = [i for i in active if moved[i] > tol_abs]
+
+    final = lloyd_pass(list(range(ncfg)))
+    inertia = [0.0] * ncfg
+    for r in final:
+        inertia[r["cfg"]] += r["sse"]
+    out = []
+    for i in range(ncfg):
+        order = sorted(range(len(centres[i])), key=lambda c: centres[i][c].tolist())
+        out.append(FitResult(ks[i], seeds[i], inertia[i], centres[i][order], iters[i]))
+    return out
+
+
+def best_of(results: Sequence[FitResult]) -> dict[int, FitResult]:
+    """Lowest inertia per k (ties: smaller seed)."""
+    best: dict[int, FitResult] = {}
+    for r in results:
+        cur = best.get(r.k)
+        if cur is None or (r.inertia, r.seed) < (cur.inertia, cur.seed):
+            best[r.k] = r
+    return best

@@ -813,7 +813,7 @@ def _customer_kmeans(spark, sf, k: int = 4):
     key = (id(spark), sf, k)
     if key not in _SEGS:
         feats = segment.cache_features(segmentation.scaled_features(spark, sf))
-        _SEGS[key] = (feats, segment.run_kmeans(feats, k, 42))
+        _SEGS[key] = (feats, segment.run_kmeans(feats, k, 42, id_col="c_custkey"))
     return _SEGS[key]
 
 
