@@ -103,7 +103,7 @@ def exact_quantiles(
                 b[3].update({r, r1})
                 wanted[key + (p,)] = (bkey, r, r1, frac)
 
-    _fix_offsets(spark, long, group_cols, brackets, seen, max_bracket)
+    _fix_offsets(spark, long, group_cols, brackets, seen, max_bracket, accuracy)
 
     picked = _pick(spark, long, group_cols, brackets)
     for k, (bkey, r, r1, frac) in wanted.items():
@@ -134,36 +134,67 @@ def _bracket_frame(spark, long, group_cols, brackets, keys):
     return spark.createDataFrame(rows, _bracket_schema(group_cols, long))
 
 
-def _fix_offsets(spark, long, group_cols, brackets, seen, max_bracket):
-    """For brackets taken from the sketch, count what lies below them and
-    check that the wanted ranks are inside; widen to [min, max] otherwise."""
+REFINE_GRID = 1000
+MAX_REFINE = 8
+
+
+def _fix_offsets(spark, long, group_cols, brackets, seen, max_bracket, accuracy=DEFAULT_ACCURACY):
+    """For brackets taken from a sketch, count what lies below them and
+    check that the wanted ranks are inside (widen to [min, max] if not).
+    A bracket holding one value needs no ranking.  A bracket still larger
+    than ``max_bracket`` is narrowed by a second sketch over its own rows,
+    read on a grid of probabilities, until it fits."""
     pending = [k for k, b in brackets.items() if b[2] is None]
-    while pending:
+    for _ in range(MAX_REFINE + 2):
+        if not pending:
+            return
         bf = _bracket_frame(spark, long, group_cols, brackets, pending)
         joined = long.join(F.broadcast(bf), on=[*group_cols, "column"])
         counts = {r["bid"]: (r["below"], r["upto"]) for r in joined.groupBy("bid").agg(
             F.count_if(F.col("x") < F.col("lo")).alias("below"),
             F.count_if(F.col("x") <= F.col("hi")).alias("upto"),
         ).collect()}
-        retry = []
+        refine = []
         for i, bkey in enumerate(pending):
             below, upto = counts.get(i, (0, 0))
             lo, hi, _, ranks = brackets[bkey]
-            if below <= min(ranks) and max(ranks) < upto and upto - below <= 4 * max_bracket:
-                brackets[bkey][2] = below
+            if below <= min(ranks) and max(ranks) < upto:
+                if lo == hi or upto - below <= max_bracket:
+                    brackets[bkey][2] = below
+                else:
+                    refine.append((bkey, below, upto))
             else:
                 row = seen[bkey[:-2]]
                 brackets[bkey][0], brackets[bkey][1] = row["mn"], row["mx"]
-                brackets[bkey][2] = 0
-                if row["n"] > 4 * max_bracket:
-                    raise RuntimeError(
-                        "quantile bracket check failed; raise accuracy for column "
-                        f"{bkey[-3]!r}")
-        pending = retry
+        pending = [k for k in pending if brackets[k][2] is None and k not in {r[0] for r in refine}]
+        if refine:
+            grid = [g / REFINE_GRID for g in range(REFINE_GRID + 1)]
+            keys = [r[0] for r in refine]
+            rf = _bracket_frame(spark, long, group_cols, brackets, keys)
+            inside = (long.join(F.broadcast(rf), on=[*group_cols, "column"])
+                      .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))))
+            sk = {r["bid"]: r["g"] for r in inside.groupBy("bid").agg(
+                F.percentile_approx("x", grid, accuracy).alias("g")).collect()}
+            for i, (bkey, below, upto) in enumerate(refine):
+                m = upto - below
+                lo_r, hi_r = (min(brackets[bkey][3]) - below) / m, (max(brackets[bkey][3]) - below) / m
+                a = max(0, int(lo_r * REFINE_GRID) - 3)
+                b = min(REFINE_GRID, int(hi_r * REFINE_GRID) + 4)
+                g = sk[i]
+                brackets[bkey][0], brackets[bkey][1] = g[a] if a > 0 else brackets[bkey][0], \
+                    g[b] if b < REFINE_GRID else brackets[bkey][1]
+                pending.append(bkey)
+    raise RuntimeError("exact quantile selection did not converge")
 
 
 def _pick(spark, long, group_cols, brackets) -> dict:
-    keys = list(brackets)
+    out = {}
+    for bkey, (lo, hi, off, ranks) in brackets.items():
+        if lo == hi:
+            out.update({(bkey, r - off): lo for r in ranks})
+    keys = [k for k, b in brackets.items() if b[0] != b[1]]
+    if not keys:
+        return out
     bf = _bracket_frame(spark, long, group_cols, brackets, keys)
     inside = (long.join(F.broadcast(bf), on=[*group_cols, "column"])
               .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))))
@@ -171,7 +202,8 @@ def _pick(spark, long, group_cols, brackets) -> dict:
     ranked = (inside.withColumn("rk", F.row_number().over(w) - 1)
               .where(F.array_contains("ranks", F.col("rk").cast("long")))
               .select("bid", "rk", "x").collect())
-    return {(keys[r["bid"]], r["rk"]): r["x"] for r in ranked}
+    out.update({(keys[r["bid"]], r["rk"]): r["x"] for r in ranked})
+    return out
 
 
 def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list]:

@@ -1,8 +1,7 @@
 """Delimited text (CSV / TSV) with encoding and separator detection.
 
-* encoding: read as UTF-8; if any line decodes to U+FFFD the files are
-  read as ISO-8859-1 instead (a distributed check that stops at the first
-  hit).  cp1252 is not offered (Spark's CSV reader rejects it).
+* encoding: if any line is not valid UTF-8 the files are read as
+  ISO-8859-1 instead (a distributed check that stops at the first hit).  cp1252 is not offered (Spark's CSV reader rejects it).
 * separator: of ``,`` ``;`` tab ``|``, the most frequent over the first
   five lines of the first file; ties go to that order.
 * header: taken from the first line; empty names become ``Unnamed: i`` and
@@ -49,7 +48,7 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    bad = spark.read.text(path).where(F.col("value").contains("\ufffd"))
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
