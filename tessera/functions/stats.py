@@ -140,12 +140,16 @@ MAX_REFINE = 8
 
 def _fix_offsets(spark, long, group_cols, brackets, seen, max_bracket, accuracy=DEFAULT_ACCURACY):
     """For brackets taken from a sketch, count what lies below them and
-    check that the wanted ranks are inside (widen to [min, max] if not).
-    A bracket holding one value needs no ranking.  A bracket still larger
-    than ``max_bracket`` is narrowed by a second sketch over its own rows,
-    read on a grid of probabilities, until it fits."""
+    check that the wanted ranks are inside.  A bracket holding one value
+    needs no ranking.  A bracket still larger than ``max_bracket`` is
+    narrowed by a second, finer sketch over its own rows, read on a grid of
+    probabilities, until it fits.  A failed check falls back to the last
+    verified bracket (first: [min, max]) and retries with a wider window."""
     pending = [k for k, b in brackets.items() if b[2] is None]
-    for _ in range(MAX_REFINE + 2):
+    verified = {k: (seen[k[:-2]]["mn"], seen[k[:-2]]["mx"], 0, seen[k[:-2]]["n"]) for k in pending}
+    widen = {k: 1 for k in pending}
+    fine = max(accuracy, 10 * REFINE_GRID)
+    for _ in range(4 * MAX_REFINE):
         if not pending:
             return
         bf = _bracket_frame(spark, long, group_cols, brackets, pending)
@@ -159,14 +163,19 @@ def _fix_offsets(spark, long, group_cols, brackets, seen, max_bracket, accuracy=
             below, upto = counts.get(i, (0, 0))
             lo, hi, _, ranks = brackets[bkey]
             if below <= min(ranks) and max(ranks) < upto:
+                verified[bkey] = (lo, hi, below, upto)
                 if lo == hi or upto - below <= max_bracket:
                     brackets[bkey][2] = below
-                else:
-                    refine.append((bkey, below, upto))
+                    continue
+            else:
+                widen[bkey] *= 4
+            lo, hi, below, upto = verified[bkey]
+            brackets[bkey][0], brackets[bkey][1] = lo, hi
+            if upto - below <= max_bracket:
+                brackets[bkey][2] = below
             else:
-                row = seen[bkey[:-2]]
-                brackets[bkey][0], brackets[bkey][1] = row["mn"], row["mx"]
-        pending = [k for k in pending if brackets[k][2] is None and k not in {r[0] for r in refine}]
+                refine.append((bkey, below, upto))
+        pending = []
         if refine:
             grid = [g / REFINE_GRID for g in range(REFINE_GRID + 1)]
             keys = [r[0] for r in refine]
@@ -174,15 +183,18 @@ def _fix_offsets(spark, long, group_cols, brackets, seen, max_bracket, accuracy=
             inside = (long.join(F.broadcast(rf), on=[*group_cols, "column"])
                       .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))))
             sk = {r["bid"]: r["g"] for r in inside.groupBy("bid").agg(
-                F.percentile_approx("x", grid, accuracy).alias("g")).collect()}
+                F.percentile_approx("x", grid, fine).alias("g")).collect()}
             for i, (bkey, below, upto) in enumerate(refine):
                 m = upto - below
+                pad = 3 * widen[bkey]
                 lo_r, hi_r = (min(brackets[bkey][3]) - below) / m, (max(brackets[bkey][3]) - below) / m
-                a = max(0, int(lo_r * REFINE_GRID) - 3)
-                b = min(REFINE_GRID, int(hi_r * REFINE_GRID) + 4)
+                a = max(0, int(lo_r * REFINE_GRID) - pad)
+                b = min(REFINE_GRID, int(hi_r * REFINE_GRID) + pad + 1)
                 g = sk[i]
-                brackets[bkey][0], brackets[bkey][1] = g[a] if a > 0 else brackets[bkey][0], \
-                    g[b] if b < REFINE_GRID else brackets[bkey][1]
+                if a > 0:
+                    brackets[bkey][0] = g[a]
+                if b < REFINE_GRID:
+                    brackets[bkey][1] = g[b]
                 pending.append(bkey)
     raise RuntimeError("exact quantile selection did not converge")
 
