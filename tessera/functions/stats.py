@@ -71,10 +71,18 @@ def exact_quantiles(
     sketch_ps = sorted({min(1.0, max(0.0, p + s * delta)) for p in probs for s in (-1, 1)})
 
     stats = (long.groupBy(*group_cols, "column")
-             .agg(F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-                  F.percentile_approx("x", sketch_ps, accuracy).alias("sk"))
+             .agg(F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
              .collect())
-    seen = {tuple(r[g] for g in group_cols) + (r["column"],): r for r in stats}
+    seen = {tuple(r[g] for g in group_cols) + (r["column"],): r.asDict() for r in stats}
+    big = [k for k, r in seen.items() if r["n"] > max_bracket]
+    if big:
+        # sketches only where a column is too large to rank whole
+        big_cols = sorted({k[-1] for k in big})
+        sk = (long.where(F.col("column").isin(big_cols)).groupBy(*group_cols, "column")
+              .agg(F.percentile_approx("x", sketch_ps, accuracy).alias("sk")).collect())
+        for r in sk:
+            key = tuple(r[g] for g in group_cols) + (r["column"],)
+            seen[key]["sk"] = r["sk"]
 
     result: dict[tuple, float | None] = {}
     # bracket key -> [lo, hi, offset, set(ranks)]

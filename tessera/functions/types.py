@@ -61,3 +61,12 @@ def as_text(col: Column, dt: T.DataType) -> Column:
 def qcol(name: str) -> Column:
     """Column reference that tolerates dots and spaces in the name."""
     return F.col(f"`{name}`")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small, unsplittable input (e.g. one Parquet row group) at
+    least one partition per core before heavy per-row work.  Inputs that
+    already have that many partitions -- any large table -- are untouched,
+    so this never adds a shuffle at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import row_key, uniform01
-from tessera.functions.types import qcol
+from tessera.functions.types import qcol, spread
 from tessera.operators.evaluate import class_values
 
 STRATEGIES = ("most_frequent", "stratified", "uniform")
@@ -29,7 +29,7 @@ MAX_DEPTH_CAP = 30  # MLlib's limit; the reference's "no limit" maps here
 # deep trees: keep per-row node ids cached (checkpointed every 10 levels, so
 # lineage stays short and a lost executor does not replay the whole fit) and
 # let each pass over the data grow more nodes
-DEEP_TREE_PARAMS = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024}
+DEEP_TREE_PARAMS = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024, "maxBins": 128}
 
 
 def _sql_literal(v) -> str:
@@ -157,6 +157,9 @@ def _fit(df: DataFrame, feature_cols: Sequence[str], label_col: str, estimator,
          ) -> TrainedClassifier:
     classes = class_values(df, label_col)
     train = df.where(qcol(label_col).isNotNull()).withColumn("__label", _index_label(df, label_col, classes))
+    # every tree level is a pass over the training rows; give those passes
+    # at least one task per core even when the input has few partitions
+    train = spread(train)
     if class_weight == "balanced":
         train = train.withColumn("__weight", balanced_weight(train, label_col))
         estimator.setWeightCol("__weight")

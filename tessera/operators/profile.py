@@ -115,50 +115,63 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 # P1 semantic types
 # ---------------------------------------------------------------------------
 
+def _date_columns(df: DataFrame, strs: Sequence[str]) -> tuple[dict, dict]:
+    """({column: non-null count}, {column: parses with one pattern}).
+
+    Every pattern starts with a digit and is 8-19 characters long, so one
+    cheap pass rules out most text columns; only the survivors are parsed
+    with each pattern, in a second pass."""
+    txt = {c: qcol(c).cast("string") for c in strs}
+    aggs = []
+    for c in strs:
+        x = txt[c]
+        shape_ok = (F.substring(x, 1, 1).between("0", "9")) & F.length(x).between(8, 19)
+        aggs += [F.count(x).alias(f"nn::{c}"), F.count_if(x.isNotNull() & ~shape_ok).alias(f"bad::{c}")]
+    r = df.agg(*aggs).first()
+    nn = {c: r[f"nn::{c}"] for c in strs}
+    is_date = {c: True for c in strs if nn[c] == 0}  # all-null parses trivially
+    cands = [c for c in strs if nn[c] > 0 and r[f"bad::{c}"] == 0]
+    for c in strs:
+        is_date.setdefault(c, False)
+    if cands:
+        aggs = []
+        for c in cands:
+            for i, fmt in enumerate(DATE_FORMATS):
+                bad = txt[c].isNotNull() & F.try_to_timestamp(txt[c], F.lit(fmt)).isNull()
+                aggs.append(F.count_if(bad).alias(f"b{i}::{c}"))
+        r2 = df.agg(*aggs).first()
+        for c in cands:
+            is_date[c] = any(r2[f"b{i}::{c}"] == 0 for i in range(len(DATE_FORMATS)))
+    return nn, is_date
+
+
 def semantic_types(df: DataFrame, freq_summary: DataFrame | None = None) -> DataFrame:
     """(position, column, semantic_type) in numeric | categorical |
     datetime | text.  Booleans count as numeric here."""
     fields = df.schema.fields
     strs = [f.name for f in fields if not (isinstance(f.dataType, (T.NumericType, T.BooleanType))
                                            or is_datetime_type(f.dataType))]
-    static = {}
+    kinds: dict[str, str] = {}
     for f in fields:
         if is_datetime_type(f.dataType):
-            static[f.name] = "datetime"
+            kinds[f.name] = "datetime"
         elif isinstance(f.dataType, (T.NumericType, T.BooleanType)):
-            static[f.name] = "numeric"
-    spark = df.sparkSession
-    parts = []
-    if static:
-        parts.append(spark.createDataFrame(list(static.items()), "column string, semantic_type string"))
+            kinds[f.name] = "numeric"
     if strs:
-        txt = {c: qcol(c).cast("string") for c in strs}
-        aggs = []
-        for c in strs:
-            aggs.append(F.count(txt[c]).alias(f"nn::{c}"))
-            for i, fmt in enumerate(DATE_FORMATS):
-                bad = txt[c].isNotNull() & F.try_to_timestamp(txt[c], F.lit(fmt)).isNull()
-                aggs.append(F.count_if(bad).alias(f"bad{i}::{c}"))
-        a = df.agg(*aggs)
-        stack = []
+        nn, is_date = _date_columns(df, strs)
+        rest = [c for c in strs if not is_date[c]]
         for c in strs:
-            any_fmt = F.lit(False)
-            for i in range(len(DATE_FORMATS)):
-                any_fmt = any_fmt | (F.col(f"`bad{i}::{c}`") == 0)
-            stack.append(F.struct(F.lit(c).alias("column"), F.col(f"`nn::{c}`").alias("nn"),
-                                  any_fmt.alias("is_date")))
-        checks = a.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
-        fs = freq_summary if freq_summary is not None else frequency_summary(value_frequencies(df, strs))
-        j = checks.join(fs.select("column", "n_unique"), "column", "left")
-        nu = F.coalesce(F.col("n_unique"), F.lit(0))
-        kind = (F.when(F.col("is_date"), "datetime")
-                .when((F.col("nn") > 0) & (nu / F.col("nn") > TEXT_UNIQUE_RATIO) & (nu > TEXT_MIN_UNIQUE), "text")
-                .otherwise("categorical"))
-        parts.append(j.select("column", kind.alias("semantic_type")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _attach(df, out, df.columns)
+            if is_date[c]:
+                kinds[c] = "datetime"
+        if rest:
+            fs = freq_summary if freq_summary is not None else frequency_summary(value_frequencies(df, rest))
+            nu = {r["column"]: r["n_unique"] for r in fs.where(F.col("column").isin(rest)).collect()}
+            for c in rest:
+                u = nu.get(c, 0)
+                kinds[c] = "text" if nn[c] > 0 and u / nn[c] > TEXT_UNIQUE_RATIO and u > TEXT_MIN_UNIQUE \
+                    else "categorical"
+    rows = [(i, c, kinds[c]) for i, c in enumerate(df.columns)]
+    return df.sparkSession.createDataFrame(rows, "position int, column string, semantic_type string")
 
 
 # ---------------------------------------------------------------------------
@@ -215,15 +228,16 @@ def describe_numeric(df: DataFrame, digits: int = 4) -> DataFrame:
                                          "q25", "q50", "q75", "max")
 
 
-def describe_categorical(df: DataFrame) -> DataFrame:
+def describe_categorical(df: DataFrame, freq_summary: DataFrame | None = None,
+                         n_rows: int | None = None) -> DataFrame:
     """Per non-numeric column (booleans and datetimes included): n_unique,
     top_value, top_freq and pct_top (share of *all* rows, 2 dp)."""
     cols = non_numeric_cols(df)
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "position int, column string, n_unique long, top_value string, top_freq long, pct_top double")
-    fs = frequency_summary(value_frequencies(df, cols))
-    n_rows = df.count()
+    fs = freq_summary if freq_summary is not None else frequency_summary(value_frequencies(df, cols))
+    n_rows = n_rows if n_rows is not None else df.count()
     out = _attach(df, fs, cols).withColumn("n_rows", F.lit(n_rows))
     return out.select(
         "position", "column", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "top_value",
@@ -236,16 +250,16 @@ def describe_categorical(df: DataFrame) -> DataFrame:
 # P7 target suggestion
 # ---------------------------------------------------------------------------
 
-def suggest_target(df: DataFrame, types: DataFrame | None = None) -> DataFrame:
+def suggest_target(df: DataFrame, types: DataFrame | None = None, freq_summary: DataFrame | None = None,
+                   nulls: DataFrame | None = None) -> DataFrame:
     """Ranked candidate targets: (rank, position, column, priority).
 
     priority 0: exactly two distinct values; 1: categorical with 3-10;
     2: numeric with at most 10 (two is already priority 0).  Columns with
     more than 30% nulls are skipped.  Stable by column order."""
-    freq = value_frequencies(df)
-    fs = frequency_summary(freq)
+    fs = freq_summary if freq_summary is not None else frequency_summary(value_frequencies(df))
     types = types if types is not None else semantic_types(df, fs)
-    nulls = null_percentages(df, rounded=False)
+    nulls = nulls if nulls is not None else null_percentages(df, rounded=False)
     j = (types.join(nulls.select("column", "null_pct"), "column")
          .join(fs.select("column", "n_unique"), "column", "left"))
     nu = F.coalesce(F.col("n_unique"), F.lit(0))
@@ -265,16 +279,22 @@ def suggest_target(df: DataFrame, types: DataFrame | None = None) -> DataFrame:
 
 def profile(df: DataFrame) -> DataFrame:
     """One row per column with type, nulls, cardinality, top value, numeric
-    statistics and target rank; table-level duplicate figures repeated."""
+    statistics and target rank; table-level duplicate figures repeated.
+    Each underlying table (frequencies, nulls, types, statistics) is
+    computed once; the small per-column results are materialised before
+    they are combined."""
+    spark = df.sparkSession
     freq = value_frequencies(df).persist()
-    fs = frequency_summary(freq)
+    fs = _small(spark, frequency_summary(freq))
+    freq.unpersist()
+    raw_nulls = _small(spark, null_percentages(df, rounded=False))
+    nulls = raw_nulls.select("column", F.bround("null_pct", 2).alias("null_pct"))
     types = semantic_types(df, fs)
-    nulls = null_percentages(df)
     num = describe_numeric(df).drop("position")
-    cat = describe_categorical(df).select("column", "top_value", "top_freq", "pct_top")
-    tgt = suggest_target(df, types).select("column", F.col("rank").alias("target_rank"))
+    cat = describe_categorical(df, fs, df.count()).select("column", "top_value", "top_freq", "pct_top")
+    tgt = suggest_target(df, types, fs, raw_nulls).select("column", F.col("rank").alias("target_rank"))
     dup = duplicate_count(df).first()
-    out = (types.join(nulls.select("column", "null_pct"), "column")
+    out = (types.join(nulls, "column")
            .join(fs.select("column", "n_unique"), "column", "left")
            .join(num, "column", "left")
            .join(cat, "column", "left")
@@ -286,3 +306,9 @@ def profile(df: DataFrame) -> DataFrame:
         F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
         F.col("count").alias("n_numeric"), "mean", "std", "min", "q25", "q50", "q75", "max",
         "top_value", "top_freq", "pct_top", "target_rank", "n_duplicates", "pct_duplicates")
+
+
+def _small(spark, df: DataFrame) -> DataFrame:
+    """Materialise a per-column result (one row per column) on the driver
+    and hand it back as a local relation, so later joins do not recompute it."""
+    return spark.createDataFrame(df.collect(), df.schema)
