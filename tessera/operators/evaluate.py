@@ -42,17 +42,19 @@ def class_values(df: DataFrame, col: str) -> list:
 
 def per_class_counts(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
     """(cls, tp, support, predicted) over the union of true and predicted
-    classes."""
+    classes, from one (label, prediction) count table: each count row
+    contributes to its true class, its predicted class and, on the
+    diagonal, to tp."""
     ltype = df.schema[label_col].dataType
     cnt = (df.select(qcol(label_col).alias("y"), qcol(pred_col).cast(ltype).alias("p"))
            .groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")))
-    tp = cnt.where(F.col("y") == F.col("p")).select(F.col("y").alias("cls"), F.col("n").alias("tp"))
-    sup = cnt.groupBy(F.col("y").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = cnt.groupBy(F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
-    classes = sup.select("cls").union(prd.select("cls")).distinct().where(F.col("cls").isNotNull())
-    return (classes.join(tp, "cls", "left").join(sup, "cls", "left").join(prd, "cls", "left")
-            .select("cls", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                             for c in ("tp", "support", "predicted")]))
+    zero = F.lit(0).cast("long")
+    parts = F.array(
+        F.struct(F.col("y").alias("cls"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(zero).alias("tp"),
+                 F.col("n").alias("support"), zero.alias("predicted")),
+        F.struct(F.col("p").alias("cls"), zero.alias("tp"), zero.alias("support"), F.col("n").alias("predicted")))
+    spread = cnt.select(F.explode(parts).alias("e")).select("e.*").where(F.col("cls").isNotNull())
+    return spread.groupBy("cls").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "support", "predicted")])
 
 
 def classification_metrics(df: DataFrame, label_col: str, pred_col: str, average: str = "weighted",
@@ -61,7 +63,8 @@ def classification_metrics(df: DataFrame, label_col: str, pred_col: str, average
 
     weighted: per-class values weighted by true support; macro: plain mean
     over the union of true and predicted classes; binary: the positive
-    class only (``pos_label``, default: the larger of two classes)."""
+    class only (``pos_label``, default: the larger of two classes).  The
+    scored rows are read once; the rest works on the per-class table."""
     if average not in AVERAGES:
         raise ValueError(f"unsupported average {average!r}")
     pc = per_class_counts(df, label_col, pred_col)
@@ -76,24 +79,18 @@ def classification_metrics(df: DataFrame, label_col: str, pred_col: str, average
             if len(classes) > 2:
                 raise ValueError("binary average needs at most two classes")
             pos_label = classes[-1]
-        sel = pc.where(F.col("cls") == F.lit(pos_label))
-        agg = [F.max("precision").alias("precision"), F.max("recall").alias("recall"), F.max("f1").alias("f1")]
+        is_pos = F.col("cls") == F.lit(pos_label)
+        agg = [F.max(F.when(is_pos, F.col(m))).alias(m) for m in ("precision", "recall", "f1")]
     elif average == "weighted":
-        sel = pc
         w = F.col("support").cast("double")
         agg = [_div(F.sum(F.col(m) * w), F.sum(w)).alias(m) for m in ("precision", "recall", "f1")]
     else:
-        sel = pc
         agg = [F.avg(m).alias(m) for m in ("precision", "recall", "f1")]
-    m = sel.agg(*agg)
-    acc = pc.agg(_div(F.sum("tp"), F.sum("support")).alias("accuracy"))
-    # both sides are single-row aggregates; combine them with a join on a constant key
-    out = (acc.withColumn("_k", F.lit(1)).join(m.withColumn("_k", F.lit(1)), "_k")
-           .select(_r4(F.col("accuracy")).alias("accuracy"),
-                   _r4(F.coalesce(F.col("f1"), F.lit(0.0))).alias("f1"),
-                   _r4(F.coalesce(F.col("precision"), F.lit(0.0))).alias("precision"),
-                   _r4(F.coalesce(F.col("recall"), F.lit(0.0))).alias("recall")))
-    return out
+    out = pc.agg(_div(F.sum("tp"), F.sum("support")).alias("accuracy"), *agg)
+    return out.select(_r4(F.col("accuracy")).alias("accuracy"),
+                      _r4(F.coalesce(F.col("f1"), F.lit(0.0))).alias("f1"),
+                      _r4(F.coalesce(F.col("precision"), F.lit(0.0))).alias("precision"),
+                      _r4(F.coalesce(F.col("recall"), F.lit(0.0))).alias("recall"))
 
 
 # ---------------------------------------------------------------------------
@@ -170,9 +167,20 @@ def roc_curve(df: DataFrame, label_col: str, score_col: str, group_cols: Sequenc
     st = st.withColumn("_one", F.lit(1).cast("long"))
     cum = running_totals(st, "score", ["pos", "neg", "_one"], group_cols)
     tot = cum.groupBy(*group_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                                       F.count(F.lit(1)).alias("D"))
-    # one totals row per group (groups are few: models, classes)
-    pts = cum.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), ["_k", *group_cols])
+                                       F.count(F.lit(1)).alias("D")).collect()
+    # one totals row per group (groups are few: models, classes): literals
+    def per_group(field):
+        if not group_cols:
+            return F.lit(tot[0][field] if tot else 0).cast("long")
+        expr = F.lit(None).cast("long")
+        for r in tot:
+            cond = F.lit(True)
+            for g in group_cols:
+                cond = cond & (F.col(g) == F.lit(r[g]))
+            expr = F.when(cond, F.lit(r[field]).cast("long")).otherwise(expr)
+        return expr
+
+    pts = cum.withColumn("P", per_group("P")).withColumn("N", per_group("N")).withColumn("D", per_group("D"))
     pts = pts.select(*group_cols, "score", "P", "N", "D",
                      (F.col("D") - F.col("cum__one")).alias("i"),
                      (F.col("P") - F.col("cum_pos") + F.col("pos")).alias("tps"),
@@ -190,9 +198,12 @@ def roc_curve(df: DataFrame, label_col: str, score_col: str, group_cols: Sequenc
     fpr = F.when(F.col("N") > 0, F.col("fps") / F.col("N").cast("double"))
     tpr = F.when(F.col("P") > 0, F.col("tps") / F.col("P").cast("double"))
     body = pts.select(*group_cols, F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
-    start = tot.select(*group_cols, F.lit(float("inf")).alias("threshold"),
-                       F.when(F.col("N") > 0, F.lit(0.0)).alias("fpr"),
-                       F.when(F.col("P") > 0, F.lit(0.0)).alias("tpr"))
+    gtypes = [body.schema[g] for g in group_cols]
+    start = spark.createDataFrame(
+        [tuple(r[g] for g in group_cols) + (float("inf"), 0.0 if r["N"] > 0 else None, 0.0 if r["P"] > 0 else None)
+         for r in tot],
+        T.StructType(gtypes + [T.StructField("threshold", T.DoubleType()), T.StructField("fpr", T.DoubleType()),
+                               T.StructField("tpr", T.DoubleType())]))
     return start.unionByName(body)
 
 

@@ -25,6 +25,7 @@ LOW_CARD_THRESHOLD = 10
 MAX_ONEHOT_LEVELS = 1000
 BROADCAST_MAX_LEVELS = 2_000_000
 MAX_STRATA = 100_000
+CASE_MAX_STRATA = 64
 NULL_LABEL = "nan"
 
 
@@ -223,7 +224,19 @@ def split_data(df: DataFrame, label_col: str | None, key_cols: Sequence[str], tr
     def below(hc: str, kc: str, cut: str) -> Column:
         return (~F.col(cut)) | (F.col("__h") < F.col(hc)) | ((F.col("__h") == F.col(hc)) & (F.col("__k") < F.col(kc)))
 
-    j = base.join(F.broadcast(cuts), base["__g"].eqNullSafe(cuts["__cg"]))
+    if len(rows) <= CASE_MAX_STRATA:
+        # few classes: the cut points become literals in one projection
+        def lit_cut(idx):
+            expr = F.lit(None)
+            for r in rows:
+                expr = F.when(F.col("__g").eqNullSafe(F.lit(r[0])), F.lit(r[idx])).otherwise(expr)
+            return expr
+        j = base
+        for idx, name in enumerate(["__cg", "__th", "__tk", "__vh", "__vk", "__tcut", "__vcut"]):
+            if idx:
+                j = j.withColumn(name, lit_cut(idx).cast(cuts.schema[name].dataType))
+    else:
+        j = base.join(F.broadcast(cuts), base["__g"].eqNullSafe(cuts["__cg"]))
     label = (F.when(below("__th", "__tk", "__tcut"), "test")
              .when(below("__vh", "__vk", "__vcut"), "val").otherwise("train"))
     return j.select(*[qcol(c) for c in df.columns], label.alias(split_col))
