@@ -142,7 +142,10 @@ def fit_many(df: DataFrame, id_col: str, configs: Sequence[tuple[int, int]], x_c
                                + [T.StructField(f"s{j}", T.DoubleType()) for j in range(dim)])
 
     def lloyd_pass(active: list[int]):
-        cents = {i: centres[i] for i in active}
+        # all active starts' centres stacked: one matrix product per batch
+        stack = np.vstack([centres[i] for i in active])
+        bounds = np.cumsum([0] + [len(centres[i]) for i in active])
+        c2 = (stack * stack).sum(1)
 
         def run(it):
             acc: dict[int, list] = {}
@@ -150,14 +153,13 @@ def fit_many(df: DataFrame, id_col: str, configs: Sequence[tuple[int, int]], x_c
                 if pdf.empty:
                     continue
                 X = _matrix(pdf)
-                for i in active:
-                    C = cents[i]
-                    d = _sqdist(X, C)
+                d_all = np.maximum((X * X).sum(1)[:, None] - 2.0 * X @ stack.T + c2[None, :], 0.0)
+                for a, i in enumerate(active):
+                    d = d_all[:, bounds[a]:bounds[a + 1]]
+                    kk = d.shape[1]
                     lab = d.argmin(1)
-                    kk = len(C)
                     cnt = np.bincount(lab, minlength=kk)
-                    s = np.zeros((kk, dim))
-                    np.add.at(s, lab, X)
+                    s = np.stack([np.bincount(lab, weights=X[:, j], minlength=kk) for j in range(dim)], axis=1)
                     sse = np.bincount(lab, weights=d[np.arange(len(X)), lab], minlength=kk)
                     if i in acc:
                         acc[i][0] += cnt
