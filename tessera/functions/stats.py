@@ -218,6 +218,9 @@ def _pick(spark, long, group_cols, brackets) -> dict:
     bf = _bracket_frame(spark, long, group_cols, brackets, keys)
     inside = (long.join(F.broadcast(bf), on=[*group_cols, "column"])
               .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))))
+    # one task per bracket: an explicit partition count is not coalesced by
+    # AQE, so bracket sorts run side by side
+    inside = inside.repartition(len(keys), "bid")
     w = Window.partitionBy("bid").orderBy("x")
     ranked = (inside.withColumn("rk", F.row_number().over(w) - 1)
               .where(F.array_contains("ranks", F.col("rk").cast("long")))
@@ -305,6 +308,7 @@ def rank_select(
     inside = (df.join(F.broadcast(bf), df[group_col].eqNullSafe(bf["g"]))
               .where((F.col("lo").isNull() | (F.col(order_col) >= F.col("lo")))
                      & (F.col("hi").isNull() | (F.col(order_col) <= F.col("hi")))))
+    inside = inside.repartition(max(1, len(brackets)), "bid")
     w = Window.partitionBy("bid").orderBy(order_col, tie_col)
     got = (inside.withColumn("rk", F.row_number().over(w) - 1)
            .where(F.array_contains("ranks", F.col("rk").cast("long")))

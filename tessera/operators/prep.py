@@ -20,6 +20,7 @@ from tessera.functions.hashing import order_hash, row_key
 from tessera.functions.ranking import dense_codes
 from tessera.functions.stats import exact_quantiles, rank_select
 from tessera.functions.types import numeric_cols, qcol, string_cols
+from tessera.session import ensure_checkpoint_dir
 
 LOW_CARD_THRESHOLD = 10
 MAX_ONEHOT_LEVELS = 1000
@@ -134,6 +135,7 @@ def fit_encoder(df: DataFrame, method: str = "auto", low_card_threshold: int = L
                     list(zip(values, range(len(values)))), "value string, code long")
                 enc.label_sizes[c] = len(values)
             else:
+                ensure_checkpoint_dir(df.sparkSession)
                 table = dense_codes(filled, c).checkpoint()
                 enc.label_sizes[c] = table.count()
             enc.label[c] = table
