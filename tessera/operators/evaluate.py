@@ -21,6 +21,7 @@ from tessera.functions.types import qcol
 
 AVERAGES = ("weighted", "macro", "binary")
 MAX_CLASSES = 10_000
+MAX_GRID_CLASSES = 1_000
 
 
 def _r4(c: Column) -> Column:
@@ -227,9 +228,12 @@ def confusion_matrix(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
     ltype = df.schema[label_col].dataType
     cnt = (df.select(qcol(label_col).alias("true"), qcol(pred_col).cast(ltype).alias("predicted"))
            .groupBy("true", "predicted").agg(F.count(F.lit(1)).alias("count")))
-    grid = spark.createDataFrame([(a, b) for a in classes for b in classes],
-                                 T.StructType([T.StructField("true", ltype), T.StructField("predicted", ltype)]))
-    return (grid.join(F.broadcast(cnt) if len(classes) <= 1000 else cnt, ["true", "predicted"], "left")
+    if len(classes) > MAX_GRID_CLASSES:
+        raise ValueError(f"{len(classes)} classes; a dense confusion matrix is capped at {MAX_GRID_CLASSES}")
+    # k class rows; the k x k cells are generated on the executors
+    grid = (spark.createDataFrame([(c,) for c in classes], T.StructType([T.StructField("true", ltype)]))
+            .select("true", F.explode(F.array(*[F.lit(c).cast(ltype) for c in classes])).alias("predicted")))
+    return (grid.join(cnt, ["true", "predicted"], "left")
             .select("true", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 

@@ -80,27 +80,30 @@ class FittedEncoder:
         return out.select(*keep, *dummies)
 
 
-def _levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
-    """Sorted distinct non-null levels per column with counts, if at most
-    MAX_ONEHOT_LEVELS; otherwise the column maps to None."""
+def _levels(df: DataFrame, cols: Sequence[str]) -> tuple[dict, dict, dict]:
+    """From one value-frequency table: ({column: sorted levels or None if
+    more than MAX_ONEHOT_LEVELS}, {column: n_unique}, {column: has nulls})."""
     if not cols:
-        return {}
-    long = df.select(*[qcol(c).cast("string").alias(c) for c in cols]) \
-        .unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull())
-    card = {r["column"]: r["n"] for r in long.groupBy("column", "value").count()
-            .groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return {}, {}, {}
+    long = (df.select(*[qcol(c).cast("string").alias(c) for c in cols])
+            .unpivot([], list(cols), "column", "value"))
+    freq = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).persist()
+    summary = freq.groupBy("column").agg(
+        F.count("value").alias("n_unique"),
+        F.max(F.col("value").isNull()).alias("has_null")).collect()
+    card = {r["column"]: r["n_unique"] for r in summary}
+    nulls = {r["column"]: bool(r["has_null"]) for r in summary}
     small = [c for c in cols if card.get(c, 0) <= MAX_ONEHOT_LEVELS]
-    out: dict[str, list] = {c: None for c in cols}
+    levels: dict[str, list | None] = {c: None for c in cols}
+    for c in small:
+        levels[c] = []
     if small:
-        rows = (long.where(F.col("column").isin(small)).groupBy("column", "value").count().collect())
-        for c in small:
-            out[c] = []
-        for r in rows:
-            out[r["column"]].append(r["value"])
-        for c in small:
-            out[c] = sorted(out[c])
-    out["__card__"] = card  # type: ignore[assignment]
-    return out
+        for r in freq.where(F.col("column").isin(small) & F.col("value").isNotNull()).select("column", "value").collect():
+            levels[r["column"]].append(r["value"])
+    freq.unpersist()
+    for c in small:
+        levels[c] = sorted(levels[c])
+    return levels, card, nulls
 
 
 def fit_encoder(df: DataFrame, method: str = "auto", low_card_threshold: int = LOW_CARD_THRESHOLD,
@@ -116,8 +119,7 @@ def fit_encoder(df: DataFrame, method: str = "auto", low_card_threshold: int = L
     if method not in ("auto", "onehot", "label"):
         enc.skipped = cats
         return enc
-    lv = _levels(df, cats)
-    card = lv.pop("__card__", {})
+    lv, card, has_null_col = _levels(df, cats)
     for c in cats:
         n_unique = card.get(c, 0)
         use = method if method != "auto" else ("onehot" if n_unique < low_card_threshold else "label")
@@ -129,8 +131,7 @@ def fit_encoder(df: DataFrame, method: str = "auto", low_card_threshold: int = L
             filled = df.select(F.coalesce(qcol(c).cast("string"), F.lit(NULL_LABEL)).alias(c))
             if lv[c] is not None:
                 # few levels: codes from the sorted list (nulls become 'nan')
-                has_null = df.where(qcol(c).isNull()).limit(1).count() > 0
-                values = sorted(set(lv[c]) | ({NULL_LABEL} if has_null else set()))
+                values = sorted(set(lv[c]) | ({NULL_LABEL} if has_null_col.get(c) else set()))
                 table = df.sparkSession.createDataFrame(
                     list(zip(values, range(len(values)))), "value string, code long")
                 enc.label_sizes[c] = len(values)
