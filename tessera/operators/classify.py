@@ -231,3 +231,47 @@ def probability_frame(pred: DataFrame, classes: Sequence) -> DataFrame:
     """Probability array spread to one column per class (p_<class>)."""
     return pred.select("*", *[F.col("probability")[i].alias(f"p_{c}") for i, c in enumerate(classes)])
 
+
+
+# ---------------------------------------------------------------------------
+# model-level conveniences (the reference's evaluate / ROC / single-record
+# entry points, expressed over DataFrames)
+# ---------------------------------------------------------------------------
+
+def evaluate_model(model: TrainedClassifier, df: DataFrame, average: str = "weighted") -> DataFrame:
+    """One row: accuracy, f1, precision, recall and AUC (binary: positive =
+    larger class; multi-class: one-vs-rest weighted by prevalence; null for
+    a single class) of ``model`` on the labelled rows of ``df``."""
+    from tessera.operators import evaluate
+
+    pred = probability_frame(model.predict(df), model.classes).persist()
+    m = evaluate.classification_metrics(pred, model.label_col, "prediction", average)
+    present = evaluate.class_values(pred, model.label_col)
+    if len(present) == 2:
+        a = evaluate.auc_binary(pred, model.label_col, f"p_{present[-1]}", pos_label=present[-1])
+    else:
+        a = evaluate.auc_ovr(pred, model.label_col, [f"p_{c}" for c in model.classes], model.classes)
+    auc = a.first()["auc"]
+    return m.withColumn("auc", F.lit(auc).cast("double"))
+
+
+def roc_for_model(model: TrainedClassifier, df: DataFrame) -> DataFrame:
+    """ROC points of a binary model (empty unless the labels have two classes)."""
+    from tessera.operators import evaluate
+
+    pred = probability_frame(model.predict(df), model.classes)
+    present = evaluate.class_values(pred, model.label_col)
+    if len(present) != 2:
+        return df.sparkSession.createDataFrame([], "threshold double, fpr double, tpr double")
+    return evaluate.roc_curve(pred, model.label_col, f"p_{present[-1]}", pos_label=present[-1])
+
+
+def score_records(spark, model: TrainedClassifier, records: Sequence[dict], scaler=None) -> DataFrame:
+    """Score a handful of records given as dicts (feature name -> value):
+    one small DataFrame, optionally scaled with a fitted scaler, then the
+    model's prediction and probabilities."""
+    rows = [tuple(r.get(f) for f in model.features) for r in records]
+    df = spark.createDataFrame(rows, ", ".join(f"`{f}` double" for f in model.features))
+    if scaler is not None:
+        df = scaler.transform(df)
+    return model.predict(df)

@@ -1156,3 +1156,17 @@ def q_stream_scoring(spark, sf):
     q = score_stream(spark, m, src, rows.schema, sink, ckpt, keep_cols=LI_KEY)
     q.awaitTermination()
     return spark.read.parquet(sink)
+
+
+@register("evaluate_model")
+def q_evaluate_model(spark, sf):
+    """Forest metrics and AUC on the test split."""
+    s = lineitem_split(spark, sf).where(F.col("split") == "test")
+    return classify.evaluate_model(_model(spark, sf, "forest"), s, "weighted")
+
+
+@register("roc_model")
+def q_roc_model(spark, sf):
+    """ROC points of the decision tree on the test split."""
+    s = lineitem_split(spark, sf).where(F.col("split") == "test")
+    return classify.roc_for_model(_model(spark, sf, "tree"), s)

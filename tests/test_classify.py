@@ -44,3 +44,14 @@ def test_baselines(spark):
     assert {r.prediction for r in uni.collect()} == {"a", "b"}
     w = {r.y: r.weight for r in classify.class_weights(df, "y").collect()}
     assert w["b"] == pytest.approx(200 / (2 * 50))
+
+
+def test_evaluate_model_and_single_records(spark):
+    df = _separable(spark)
+    dt = classify.train_decision_tree(df, ["x", "z"], "y", max_depth=4)
+    r = classify.evaluate_model(dt, df).first()
+    assert r.accuracy > 0.95 and r.auc > 0.95
+    roc = classify.roc_for_model(dt, df).collect()
+    assert min(p.fpr for p in roc) == 0.0 and max(p.tpr for p in roc) == 1.0
+    one = classify.score_records(spark, dt, [{"x": 40.0, "z": 1.0}, {"x": 3.0, "z": 2.0}]).collect()
+    assert [p.prediction for p in one] == ["hi", "lo"]
