@@ -251,17 +251,28 @@ def q_outlier_summary(spark, sf):
     return out
 
 
+SHOW_DIGITS = 6
+
+
+def _show(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Values that come from a floating mean or deviation depend on the
+    summation order (partitioning) in their last bits; the query shows them
+    with 6 decimals (both sides).  The library returns full precision."""
+    return df.select(*[F.bround(c, SHOW_DIGITS).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def _mean_fill(c: str) -> str:
     return f"coalesce({c}, (SELECT avg({c}) FROM {LI_NULLS}))"
 
 
 @register("impute_mean", f"""
-SELECT l_orderkey, l_linenumber, {_mean_fill('l_quantity')} AS l_quantity,
-       {_mean_fill('l_tax')} AS l_tax
+SELECT l_orderkey, l_linenumber, round_even({_mean_fill('l_quantity')}, 6) AS l_quantity,
+       round_even({_mean_fill('l_tax')}, 6) AS l_tax
 FROM {LI_NULLS}""")
 def q_impute_mean(spark, sf):
     df = derived(spark, sf, "lineitem_nulls").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
-    return clean.handle_missing(df, {"l_quantity": "mean", "l_tax": "mean"})
+    out = clean.handle_missing(df, {"l_quantity": "mean", "l_tax": "mean"})
+    return _show(out, ["l_quantity", "l_tax"])
 
 
 @register("impute_median", f"""
@@ -290,13 +301,14 @@ def q_impute_mode(spark, sf):
 
 @register("impute_drop", f"""
 SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag,
-  coalesce(l_extendedprice, (SELECT avg(l_extendedprice) FROM {LI_NULLS})) AS l_extendedprice
+  round_even(coalesce(l_extendedprice, (SELECT avg(l_extendedprice) FROM {LI_NULLS})), 6) AS l_extendedprice
 FROM {LI_NULLS} WHERE l_quantity IS NOT NULL AND l_returnflag IS NOT NULL""")
 def q_impute_drop(spark, sf):
     df = derived(spark, sf, "lineitem_nulls").select("l_orderkey", "l_linenumber", "l_quantity",
                                                      "l_returnflag", "l_extendedprice")
-    return clean.handle_missing(df, {"l_quantity": "drop", "l_returnflag": "drop", "l_extendedprice": "mean",
-                                     "no_such_column": "mean"})
+    out = clean.handle_missing(df, {"l_quantity": "drop", "l_returnflag": "drop", "l_extendedprice": "mean",
+                                    "no_such_column": "mean"})
+    return _show(out, ["l_extendedprice"])
 
 
 @register("impute_constant", f"""
@@ -354,12 +366,12 @@ def q_outliers_cap_iqr(spark, sf):
 
 @register("outliers_cap_z", f"""
 SELECT d.doc_id, d.lang,
-  CASE WHEN d.n_chars IS NULL THEN NULL
-       ELSE least(greatest(CAST(d.n_chars AS DOUBLE), m.m - 3.0 * m.s), m.m + 3.0 * m.s) END AS n_chars
+  round_even(CASE WHEN d.n_chars IS NULL THEN NULL
+       ELSE least(greatest(CAST(d.n_chars AS DOUBLE), m.m - 3.0 * m.s), m.m + 3.0 * m.s) END, 6) AS n_chars
 FROM documents d, (SELECT avg(CAST(n_chars AS DOUBLE)) AS m, stddev_samp(CAST(n_chars AS DOUBLE)) AS s FROM documents) m""")
 def q_outliers_cap_z(spark, sf):
     df = load(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    return clean.handle_outliers(df, "zscore", "cap", columns=["n_chars"])
+    return _show(clean.handle_outliers(df, "zscore", "cap", columns=["n_chars"]), ["n_chars"])
 
 
 # ---------------------------------------------------------------------------
@@ -491,7 +503,7 @@ FROM s, p"""
 
 # standard scaling divides by a mean and deviation whose last bits depend on
 # summation order, so that query (both sides) shows 9 decimals
-_SCALE_DIGITS = {"standard": 9}
+_SCALE_DIGITS = {"standard": 6}
 
 
 def _scaled(method):
