@@ -735,7 +735,7 @@ _MODELS: dict = {}
 
 
 def _model(spark, sf, kind: str):
-    key = (id(spark), sf, kind)
+    key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _MODELS:
         train = lineitem_split(spark, sf).where(F.col("split") == "train")
         if kind == "tree":
@@ -822,7 +822,7 @@ _SEGS: dict = {}
 
 
 def _customer_kmeans(spark, sf, k: int = 4):
-    key = (id(spark), sf, k)
+    key = (spark.sparkContext.applicationId, sf, k)
     if key not in _SEGS:
         feats = segment.cache_features(segmentation.scaled_features(spark, sf))
         _SEGS[key] = (feats, segment.run_kmeans(feats, k, 42, id_col="c_custkey"))

@@ -31,7 +31,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     over the cores once and kept in memory for the session, so the several
     passes of an operator run in parallel; large tables are read as they are."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    key = (spark.sparkContext.applicationId, path)
     if key in _SMALL:
         return _SMALL[key]
     df = nan_to_null(spark.read.parquet(path))
