@@ -184,7 +184,7 @@ def split_quotas(counts: dict, val_size: float, test_size: float) -> dict:
 
 def split_data(df: DataFrame, label_col: str | None, key_cols: Sequence[str], train_size: float = 0.7,
                val_size: float = 0.15, test_size: float = 0.15, stratify: bool = True,
-               seed: int = 42, split_col: str = "split") -> DataFrame:
+               seed: int = 42, split_col: str = "split", max_bracket: int | None = None) -> DataFrame:
     """Add ``split`` in train | val | test.
 
     Rows are ordered by a seeded hash of their key within each class
@@ -207,7 +207,8 @@ def split_data(df: DataFrame, label_col: str | None, key_cols: Sequence[str], tr
     # also fetch the row just before each cut: equal neighbours mean the
     # key does not identify rows, and no order could cut exactly there
     wanted = {g: sorted({x for r in rs for x in (r - 1, r)}) for g, rs in cut_ranks.items() if rs}
-    picked = rank_select(base, "__g", "__h", "__k", wanted, counts) if wanted else {}
+    extra = {} if max_bracket is None else {"max_bracket": max_bracket}
+    picked = rank_select(base, "__g", "__h", "__k", wanted, counts, **extra) if wanted else {}
     for g, rs in cut_ranks.items():
         for r in rs:
             if picked[(g, r - 1)] == picked[(g, r)]:
