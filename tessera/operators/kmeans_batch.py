@@ -13,7 +13,6 @@ a pure function of (row id, seed, round), so recomputed tasks agree.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 

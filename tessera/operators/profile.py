@@ -26,7 +26,6 @@ from tessera.functions.types import (
     non_numeric_cols,
     numeric_cols,
     qcol,
-    string_cols,
 )
 
 # Date patterns tried on text columns (one pattern must parse
