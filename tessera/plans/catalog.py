@@ -821,10 +821,17 @@ from tessera.plans import segmentation  # noqa: E402
 _SEGS: dict = {}
 
 
+def _customer_features(spark, sf):
+    key = (spark.sparkContext.applicationId, sf, "features")
+    if key not in _SEGS:
+        _SEGS[key] = segment.cache_features(segmentation.scaled_features(spark, sf))
+    return _SEGS[key]
+
+
 def _customer_kmeans(spark, sf, k: int = 4):
     key = (spark.sparkContext.applicationId, sf, k)
     if key not in _SEGS:
-        feats = segment.cache_features(segmentation.scaled_features(spark, sf))
+        feats = _customer_features(spark, sf)
         _SEGS[key] = (feats, segment.run_kmeans(feats, k, 42, id_col="c_custkey"))
     return _SEGS[key]
 
@@ -839,7 +846,7 @@ def q_kmeans(spark, sf):
 def q_kmeans_sweep(spark, sf):
     key = (spark.sparkContext.applicationId, sf, "sweep")
     if key not in _SEGS:  # shared with best_k
-        feats, _ = _customer_kmeans(spark, sf)
+        feats = _customer_features(spark, sf)
         _SEGS[key] = segment.find_optimal_k(feats, 2, 10, 42, id_col="c_custkey")
     return _SEGS[key]
 
@@ -851,19 +858,19 @@ def q_best_k(spark, sf):
 
 @register("hierarchical")
 def q_hierarchical(spark, sf):
-    feats, _ = _customer_kmeans(spark, sf)
+    feats = _customer_features(spark, sf)
     return segment.run_hierarchical(feats, 4, "ward").select("c_custkey", "cluster")
 
 
 @register("bisecting")
 def q_bisecting(spark, sf):
-    feats, _ = _customer_kmeans(spark, sf)
+    feats = _customer_features(spark, sf)
     return segment.run_bisecting(feats, 4).select("c_custkey", "cluster")
 
 
 @register("dendrogram")
 def q_dendrogram(spark, sf):
-    feats, _ = _customer_kmeans(spark, sf)
+    feats = _customer_features(spark, sf)
     return segment.dendrogram_table(feats, ["c_custkey"], "ward")
 
 
