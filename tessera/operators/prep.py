@@ -87,7 +87,7 @@ def _levels(df: DataFrame, cols: Sequence[str]) -> tuple[dict, dict, dict]:
         return {}, {}, {}
     long = (df.select(*[qcol(c).cast("string").alias(c) for c in cols])
             .unpivot([], list(cols), "column", "value"))
-    freq = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).persist()
+    freq = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     summary = freq.groupBy("column").agg(
         F.count("value").alias("n_unique"),
         F.max(F.col("value").isNull()).alias("has_null")).collect()
@@ -98,9 +98,13 @@ def _levels(df: DataFrame, cols: Sequence[str]) -> tuple[dict, dict, dict]:
     for c in small:
         levels[c] = []
     if small:
-        for r in freq.where(F.col("column").isin(small) & F.col("value").isNotNull()).select("column", "value").collect():
+        # second, narrower pass: only the few-level columns' cells are grouped
+        # (the filter is applied before the shuffle); at most
+        # MAX_ONEHOT_LEVELS values per column reach the driver
+        few = long.where(F.col("column").isin(small) & F.col("value").isNotNull()) \
+            .select("column", "value").distinct().collect()
+        for r in few:
             levels[r["column"]].append(r["value"])
-    freq.unpersist()
     for c in small:
         levels[c] = sorted(levels[c])
     return levels, card, nulls

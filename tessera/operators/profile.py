@@ -283,9 +283,9 @@ def profile(df: DataFrame) -> DataFrame:
     computed once; the small per-column results are materialised before
     they are combined."""
     spark = df.sparkSession
-    freq = value_frequencies(df).persist()
-    fs = _small(spark, frequency_summary(freq))
-    freq.unpersist()
+    # the frequency table can be as large as the data; it is read once and
+    # only its per-column summary is kept
+    fs = _small(spark, frequency_summary(value_frequencies(df)))
     raw_nulls = _small(spark, null_percentages(df, rounded=False))
     nulls = raw_nulls.select("column", F.bround("null_pct", 2).alias("null_pct"))
     types = semantic_types(df, fs)
