@@ -824,7 +824,7 @@ _SEGS: dict = {}
 def _customer_features(spark, sf):
     key = (spark.sparkContext.applicationId, sf, "features")
     if key not in _SEGS:
-        _SEGS[key] = segment.cache_features(segmentation.scaled_features(spark, sf))
+        _SEGS[key] = segmentation.scaled_features(spark, sf)
     return _SEGS[key]
 
 
