@@ -44,7 +44,13 @@ def _lookup(values: Sequence, idx: Column) -> Column:
 
 
 def class_counts(df: DataFrame, label_col: str) -> dict:
-    rows = df.where(qcol(label_col).isNotNull()).groupBy(qcol(label_col).alias("c")).count().collect()
+    """{class: rows}; a label with more than MAX_CLASSES values is refused."""
+    from tessera.operators.evaluate import MAX_CLASSES
+
+    rows = (df.where(qcol(label_col).isNotNull()).groupBy(qcol(label_col).alias("c")).count()
+            .limit(MAX_CLASSES + 1).collect())
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label_col!r} has more than {MAX_CLASSES} classes")
     return {r["c"]: r["count"] for r in rows}
 
 
