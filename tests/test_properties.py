@@ -29,3 +29,24 @@ def test_running_totals_equal_cumsum(spark, rows, parts):
     got = {(r.g, r.o): r.cum_v for r in running_totals(df, "o", ["v"], ["g"], num_partitions=parts).collect()}
     for g, o in rows:
         assert got[(g, o)] == sum(oo + 1 for gg, oo in rows if gg == g and oo <= o)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=5))
+def test_split_sizes_and_quotas(spark, sizes):
+    import math
+
+    from tessera.operators import prep
+
+    rows = [(i, f"c{c}") for c, n in enumerate(sizes) for i in range(sum(sizes[:c]), sum(sizes[:c]) + n)]
+    df = spark.createDataFrame(rows, "id long, y string")
+    got = {r.id: (r.y, r.split) for r in prep.split_data(df, "y", ["id"], seed=3).collect()}
+    n = len(rows)
+    assert len(got) == n
+    held = sum(1 for _, s in got.values() if s != "train")
+    test = sum(1 for _, s in got.values() if s == "test")
+    assert held == math.ceil(0.3 * n) and test == math.ceil(0.5 * held)
+    quotas = prep.split_quotas({f"c{c}": s for c, s in enumerate(sizes)}, 0.15, 0.15)
+    for cls, (t, v) in quotas.items():
+        assert sum(1 for y, s in got.values() if y == cls and s == "test") == t
+        assert sum(1 for y, s in got.values() if y == cls and s == "val") == v
