@@ -6,7 +6,7 @@ import public_tokenizers as tokenizer_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, containment, line_rules, orc_tokens, token_counts
+from . import bpe_tree, containment, line_rules, orc_tokens, segment_join, token_counts
 from .common import load
 
 WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", *line_rules.STATS, "base_failed", "n_removed_lines", "n_left_words", "kept")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_join.join_groups(load(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = tokenizer_files.path(BYTE_VOCAB)
     return bpe_tree.digests(bpe_tree.decode_documents(bpe_tree.encode_documents(load(spark, sf_dir, "documents"), vocab), vocab))
@@ -34,5 +38,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op5_bpe_round_trip, op6_orc_tokens, op9_decontamination)}
-ORACLE = {"op2_quality_rules": line_rules.SQL, "op9_decontamination": containment.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_ngram_join, op5_bpe_round_trip, op6_orc_tokens, op9_decontamination)}
+ORACLE = {"op2_quality_rules": line_rules.SQL, "op4_ngram_join": segment_join.SQL, "op9_decontamination": containment.SQL}
