@@ -6,7 +6,7 @@ import public_tokenizers as tokenizer_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, containment, line_rules, orc_tokens, segment_join, token_counts
+from . import bpe_tree, containment, line_rules, orc_tokens, pii, segment_join, token_counts
 from .common import load
 
 WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -38,5 +38,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_ngram_join, op5_bpe_round_trip, op6_orc_tokens, op9_decontamination)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(load(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_ngram_join, op5_bpe_round_trip, op6_orc_tokens, op9_decontamination, op10_personal_data)}
 ORACLE = {"op2_quality_rules": line_rules.SQL, "op4_ngram_join": segment_join.SQL, "op9_decontamination": containment.SQL}
