@@ -28,8 +28,11 @@ def _with_text(df: DataFrame, text: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines above their host's limit leave the others."""
-    ruled = line_rules.apply_rules(docs.select(*COLUMNS))
-    return _with_text(ruled.where("kept"), "clean_text")
+    ruled = line_rules.apply_rules(docs.select(*COLUMNS)).select("doc_id", "clean_text", "lang", "source", "n_chars", "n_removed_lines", "kept")
+    # Written before it is filtered, or the optimizer copies the rules' expressions into the filter.
+    done = stored(ruled, "ruled").where("kept")
+    n = F.when(F.col("n_removed_lines") == 0, F.col("n_chars")).otherwise(F.length("clean_text").cast("long"))
+    return done.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", n.alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

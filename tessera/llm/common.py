@@ -11,6 +11,7 @@ from tessera.session import ensure_checkpoint_dir
 
 #: ASCII white space, the separator of words in every operator here.
 WS = " \t\n\x0b\f\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WS_CLASS = r"[\x20\x09-\x0D]"
 
 
@@ -25,10 +26,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder and read it back.
-    A lost executor then costs a re-read, never a recomputation."""
+    A lost executor then costs a re-read, never a recomputation. What the
+    write shuffled is dropped as soon as it has ended."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

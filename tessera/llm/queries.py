@@ -6,7 +6,7 @@ import public_tokenizers as tokenizer_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, containment, line_rules, orc_tokens, pii, segment_join, token_counts
+from . import bpe_tree, containment, cross_entropy, licences, line_rules, orc_tokens, pii, segment_join, token_counts, toxicity
 from .common import load
 
 WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", *line_rules.STATS, "base_failed", "n_removed_lines", "n_left_words", "kept")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_join.join_groups(load(spark, sf_dir, "documents"))
 
@@ -34,6 +38,14 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.round_trip(load(spark, sf_dir, "documents"), tokenizer_files.path(WORD_VOCAB))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(load(spark, sf_dir, "documents"))
+
+
+def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -42,5 +54,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_ngram_join, op5_bpe_round_trip, op6_orc_tokens, op9_decontamination, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op4_ngram_join, op5_bpe_round_trip, op6_orc_tokens, op7_licence_scan, op8_cross_entropy, op9_decontamination, op10_personal_data)}
 ORACLE = {"op2_quality_rules": line_rules.SQL, "op4_ngram_join": segment_join.SQL, "op9_decontamination": containment.SQL}

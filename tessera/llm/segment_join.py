@@ -21,7 +21,10 @@ Frequent ones are a cost estimate only: any list gives the same links.
 
 Sets are compared once for all documents that have them. Signatures are
 scanned in sorted order; a signature shared by many sets links each to the
-first and to its neighbour. Candidates are verified exactly: first each set
+first and to its neighbour. A profile of each set (shingles counted in up to
+4096 buckets, about a third of a byte a shingle) bounds the difference of a
+pair from below and drops most pairs that only share a passage, before any
+set moves. What is left is verified exactly: first each set
 with the partner it shares most signatures with; then every candidate pair,
 and every pair sharing a crowded signature, whose ends are still apart.
 
@@ -135,6 +138,22 @@ def name_of(s: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(s ^ _M1)), np.uint64(len(s))], "u8")).sum(dtype="u8").view("i8")) if len(s) else 0
 
 
+def profile(s: np.ndarray) -> bytes:
+    """Shingles by their top bits, a byte each, held at 255: a difference of
+    two counts is never more than that of the sets."""
+    bits = min(12, max(4, (len(s) // 3).bit_length() - 1))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype("i8"), minlength=1 << bits), 255).astype("u1").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    u, v = np.frombuffer(x, "u1").astype("i4"), np.frombuffer(y, "u1").astype("i4")
+    while len(u) > len(v):
+        u = u.reshape(-1, 2).sum(axis=1)
+    while len(v) > len(u):
+        v = v.reshape(-1, 2).sum(axis=1)
+    return int(np.abs(u - v).sum())
+
+
 def parts(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the shingles by segment, the start of each filled segment, and its number."""
     if m == 0:
@@ -195,14 +214,14 @@ def _slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             yield batch.slice(k, n)
 
 
-_INFO = "kind int, id {id}, n int, name long, band int, short int, band2 int, short2 int"
+_INFO = "kind int, id {id}, n int, name long, band int, short int, band2 int, short2 int, profile binary"
 
 
 def _describe(id_type: pa.DataType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, met = Shingles(), set()
         for batch in _slices(batches, DOCS):
-            n, names, info, fresh = [], [], [], []
+            n, names, info, fresh, shapes = [], [], [], [], []
             for text in batch.column(1):
                 s = make.set(text.as_py())
                 names.append(name_of(s))
@@ -212,20 +231,22 @@ def _describe(id_type: pa.DataType) -> Callable:
                     fresh.append(s)
                     own = [(b, shortfall(s, b)) for b in bands_of(len(s))]
                     info.append((*own[0], *(own[1] if len(own) > 1 else (None, None))))
+                    shapes.append(profile(s))
                 else:
                     info.append((None,) * 4)
-            columns = [pa.array(np.zeros(len(n), "i4")), batch.column(0), pa.array(n, pa.int32()), pa.array(names, pa.int64()), *(pa.array([i[k] for i in info], pa.int32()) for k in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, names=list("abcdefgh"))
+                    shapes.append(None)
+            columns = [pa.array(np.zeros(len(n), "i4")), batch.column(0), pa.array(n, pa.int32()), pa.array(names, pa.int64()), *(pa.array([i[k] for i in info], pa.int32()) for k in range(4)), pa.array(shapes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=list("abcdefghi"))
             if fresh:
                 keys, counts = np.unique(np.concatenate(fresh), return_counts=True)
                 often = counts >= max(8, len(fresh) // 100)
                 k = int(often.sum())
                 none = pa.nulls(k, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, "i4")), pa.nulls(k, id_type), pa.array(counts[often].astype("i4")), pa.array(keys[often].view("i8")), none, none, none, none], names=list("abcdefgh"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, "i4")), pa.nulls(k, id_type), pa.array(counts[often].astype("i4")), pa.array(keys[often].view("i8")), none, none, none, none, pa.nulls(k, pa.binary())], names=list("abcdefghi"))
 
     def named(batches):
         for b in run(batches):
-            yield b.rename_columns(["kind", "id", "n", "name", "band", "short", "band2", "short2"])
+            yield b.rename_columns(["kind", "id", "n", "name", "band", "short", "band2", "short2", "profile"])
 
     return named
 
@@ -339,10 +360,25 @@ def _scanner(crowd: int) -> Callable:
     return run
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose profiles allow a link."""
+    for batch in batches:
+        near = [least_difference(x.as_py(), y.as_py()) * (DEN + NUM) <= (na.as_py() + nb.as_py()) * (DEN - NUM) for na, nb, x, y in zip(batch.column(1), batch.column(3), batch.column(5), batch.column(6))]
+        yield pa.RecordBatch.from_arrays(batch.columns[:5], names=["a", "na", "b", "nb", "times"]).filter(pa.array(near))
+
+
+def likely(pairs: DataFrame, holders: DataFrame) -> DataFrame:
+    one = pairs.join(holders.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("profile").alias("x")), ["a", "na"])
+    two = one.join(holders.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("y")), ["b", "nb"])
+    return two.select("a", "na", "b", "nb", "times", "x", "y").mapInArrow(_likely, "a long, na int, b long, nb int, times long")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    make = Shingles()
+    make, met = Shingles(), set()
     for batch in _slices(batches, DOCS):
         sets = [make.set(t.as_py()) for t in batch.column(0)]
+        # Rows of one id meet in one task: a repeated row adds nothing.
+        sets = [s for s in sets if (key := (name_of(s), len(s))) not in met and not met.add(key)]
         yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["name", "n", "items"])
 
 
@@ -397,14 +433,14 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = slim.select("text").mapInArrow(_signer(spared, hot), "sig long, name long, n int")
     shared = signed.repartition("sig").sortWithinPartitions("sig", "n", "name").mapInArrow(_scanner(crowd), _PAIRS)
     found = stored(shared.groupBy("kind", "a", "na", "b", "nb").agg(F.sum("times").alias("times")), "pairs")
-    pairs, crowds = found.where("kind = 0").drop("kind"), found.where("kind = 1").select(F.col("b").alias("sig"), F.col("a").alias("name"), F.col("na").alias("n"))
+    holders = stored(rows.where("n > 0").groupBy("name", "n").agg(F.min("id").alias("id"), F.max("profile").alias("profile")), "holders")
+    pairs, crowds = stored(likely(found.where("kind = 0").drop("kind"), holders), "likely"), found.where("kind = 1").select(F.col("b").alias("sig"), F.col("a").alias("name"), F.col("na").alias("n"))
 
     # The sets in question, each from one document that has it.
-    asked = pairs.select(F.col("a").alias("name"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("name"), F.col("nb").alias("n"))).distinct()
-    holders = rows.where("n > 0").groupBy("name", "n").agg(F.min("id").alias("id"))
+    asked = pairs.select(F.col("a").alias("name"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("name"), F.col("nb").alias("n"))).unionByName(crowds.select("name", "n")).distinct()
     chosen = holders.join(asked, ["name", "n"], "left_semi")
     texts = slim.join(chosen.select("id"), "id", "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_sets, "name long, n int, items binary").dropDuplicates(["name", "n"]), "sets")
+    sets = stored(texts.mapInArrow(_sets, "name long, n int, items binary"), "sets")
 
     ends = pairs.select("a", "na", "b", "nb", "times", F.col("a").alias("u"), F.col("na").alias("nu")).unionByName(pairs.select("a", "na", "b", "nb", "times", F.col("b").alias("u"), F.col("nb").alias("nu")))
     best = ends.groupBy("u", "nu").agg(F.max(F.struct("times", "a", "na", "b", "nb")).alias("p")).select("p.a", "p.na", "p.b", "p.nb").distinct()
@@ -426,13 +462,14 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crowded = x.join(y, "sig").where((F.col("ra") < F.col("rb")) & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))).select("a", "na", "b", "nb")
     turn = F.struct("na", "a") > F.struct("nb", "b")
     crowded = crowded.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+    crowded = likely(crowded.distinct().withColumn("times", F.lit(1).cast("long")), holders).drop("times")
     rest = stored(apart(pairs).unionByName(crowded).distinct(), "rest")
     more = stored(verified(rest, sets), "links")
     if not more.isEmpty():
         groups = stored(components(links.unionByName(more)), "groups")
 
     root = F.coalesce("root", F.struct("name", "n"))
-    held = holders.join(groups, ["name", "n"], "left").select("name", "n", "id", root.alias("root"))
+    held = holders.drop("profile").join(groups, ["name", "n"], "left").select("name", "n", "id", root.alias("root"))
     smallest = held.groupBy("root").agg(F.min("id").alias("component_id"))
     members = held.join(smallest, "root").select("name", "n", "component_id")
     full = rows.select("id", "n", "name").where("n > 0").join(members, ["name", "n"]).select("id", "n", "component_id")
