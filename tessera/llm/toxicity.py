@@ -58,8 +58,12 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = k
         self.exact = {t: k for k, t in enumerate(terms)}
-        # One edit leaves the first two or the last two letters as they are.
-        self.heads, self.tails = {t[:2] for t in terms}, {t[-2:] for t in terms}
+        # One edit leaves the first or the second half of a term as it is.
+        self.heads, self.tails = {(len(t), t[: len(t) // 2]) for t in terms}, {(len(t), t[len(t) // 2 :]) for t in terms}
+
+    def possible(self, word: str) -> bool:
+        """Whether half of some term stands at an end of the word, as one edit requires."""
+        return any((m, word[: m // 2]) in self.heads or (m, word[m // 2 - m :]) in self.tails for m in (len(word) - 1, len(word), len(word) + 1))
 
     def near(self, word: str, edits: int = 1) -> tuple[int, int] | None:
         """(term, distance) of the nearest term within `edits`; ties: the first term.
@@ -106,9 +110,9 @@ class Lexicon:
         k = self.trie.exact.get(word)
         if k is not None:
             found = (self.weights[k], 0)
-        elif FUZZY_LENGTH <= len(word) <= 40 and (word[:2] in self.trie.heads or word[-2:] in self.trie.tails):
+        elif FUZZY_LENGTH <= len(word) <= 40 and self.trie.possible(word):
             near = self.trie.near(word)
-            if near and len(self.trie.exact) and len(word) + near[1] >= FUZZY_LENGTH:
+            if near and len(word) + near[1] >= FUZZY_LENGTH:
                 found = (self.weights[near[0]], near[1])
         if len(self.seen) >= self.cache:
             self.seen.clear()
