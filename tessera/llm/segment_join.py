@@ -52,7 +52,7 @@ SHINGLE = 5
 RATIO = 16 / 9  # of a band's largest size to its smallest
 TOKEN_LEVEL = 48  # bands up to this size: a segment for each shingle
 CROWD = 24
-HOT_KEYS = 50_000
+HOT_KEYS = 200_000
 DOCS = 1000  # worked on at once within a task
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -166,7 +166,7 @@ def parts(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def shortfall(s: np.ndarray, band: int) -> int:
     m = segments(band)
-    filled = len(s) if m == 0 else len(np.unique(mix(s + salt(band)) % np.uint64(m)))
+    filled = len(s) if m == 0 else np.count_nonzero(np.bincount((mix(s + salt(band)) % np.uint64(m)).view("i8"), minlength=m))
     return budget(len(s), band) + 1 - filled
 
 
@@ -239,7 +239,7 @@ def _describe(id_type: pa.DataType) -> Callable:
             yield pa.RecordBatch.from_arrays(columns, names=list("abcdefghi"))
             if fresh:
                 keys, counts = np.unique(np.concatenate(fresh), return_counts=True)
-                often = counts >= max(8, len(fresh) // 100)
+                often = counts >= max(3, len(fresh) // 200)
                 k = int(often.sum())
                 none = pa.nulls(k, pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, "i4")), pa.nulls(k, id_type), pa.array(counts[often].astype("i4")), pa.array(keys[often].view("i8")), none, none, none, none, pa.nulls(k, pa.binary())], names=list("abcdefghi"))
@@ -466,7 +466,15 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = stored(apart(pairs).unionByName(crowded).distinct(), "rest")
     more = stored(verified(rest, sets), "links")
     if not more.isEmpty():
-        groups = stored(components(links.unionByName(more)), "groups")
+        # Only groups are still to be linked, each by the name of its root.
+        of = lambda x, n, r: groups.select(F.col("name").alias(x), F.col("n").alias(n), F.col("root").alias(r))
+        ends = more.join(of("a", "na", "ra"), ["a", "na"], "left").join(of("b", "nb", "rb"), ["b", "nb"], "left")
+        ends = ends.select(F.coalesce("ra", F.struct(F.col("a").alias("name"), F.col("na").alias("n"))).alias("x"), F.coalesce("rb", F.struct(F.col("b").alias("name"), F.col("nb").alias("n"))).alias("y"))
+        upper = stored(components(ends.select(F.col("x.name").alias("a"), F.col("x.n").alias("na"), F.col("y.name").alias("b"), F.col("y.n").alias("nb")).distinct()), "upper")
+        above = upper.select(F.struct("name", "n").alias("root"), F.col("root").alias("top"))
+        own = groups.join(above, "root", "left").select("name", "n", F.coalesce("top", "root").alias("root"))
+        fresh = upper.join(groups.select("name", "n"), ["name", "n"], "left_anti")
+        groups = stored(own.unionByName(fresh.select("name", "n", "root")), "groups")
 
     root = F.coalesce("root", F.struct("name", "n"))
     held = holders.drop("profile").join(groups, ["name", "n"], "left").select("name", "n", "id", root.alias("root"))
