@@ -1,23 +1,49 @@
 """Distributed running totals and ranks.
 
-A global ``sum() over (order by ...)`` runs in one task.  Here the rows are
-range-partitioned on (group, order) -- so one hot group is still cut into
-many partitions -- summed locally per (partition, group), and shifted by
-the totals of the earlier partitions of the same group.  The totals table
-has at most ``partitions + groups`` rows.
-
-The range exchange feeds both the local window and the totals aggregate;
-Spark reuses that one exchange, so both sides see the same partition
-contents.  Order values must be unique within a group (aggregate first).
+A global ``sum() over (order by ...)`` runs in one task.  Here the order
+values are cut into buckets -- so one hot group is still cut into many parts
+-- summed locally per (bucket, group), and shifted by the totals of the
+earlier buckets of the same group.  The totals table has at most ``buckets x
+groups`` rows.
+
+The bucket bounds are drawn once, from the distinct order values with the
+smallest hashes, and enter both sides as literals.  A row's bucket is thus a
+function of its value alone; nothing depends on an exchange being reused.
+Order values must be unique within a group (aggregate first).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.types import qcol
+
+
+#: Literal bounds in one expression; rows beyond a few hundred buckets gain nothing.
+MAX_BUCKETS = 256
+SAMPLE_PER_BUCKET = 32
+
+
+def bucket_bounds(df: DataFrame, order_col: str, buckets: int) -> list:
+    """At most ``buckets - 1`` ascending cut points of near-even buckets."""
+    if buckets < 2:
+        return []
+    values = df.select(qcol(order_col).alias("v")).where(F.col("v").isNotNull()).distinct()
+    drawn = sorted(r.v for r in values.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_PER_BUCKET * buckets).collect())
+    step = len(drawn) / buckets
+    return sorted({drawn[int(k * step)] for k in range(1, buckets) if drawn})
+
+
+def _bucket(x: Column, cuts: list[Column], low: int, high: int) -> Column:
+    """Number of cuts <= x, by halving."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(x < cuts[mid], _bucket(x, cuts, low, mid)).otherwise(_bucket(x, cuts, mid + 1, high))
+
 
 def running_totals(
     df: DataFrame,
@@ -29,11 +55,11 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<v>`` = inclusive sum of ``v`` over rows of the same group
     whose ``order_col`` is <= this row's (ascending order)."""
-    spark = df.sparkSession
     if num_partitions is None:
-        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = (df.repartitionByRange(num_partitions, *group_cols, order_col)
-            .withColumn("_pid", F.spark_partition_id()))
+        num_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = bucket_bounds(df, order_col, min(num_partitions, MAX_BUCKETS))
+    kind = df.schema[order_col].dataType
+    part = df.withColumn("_pid", _bucket(qcol(order_col), [F.lit(b).cast(kind) for b in bounds], 0, len(bounds)))
     w = (Window.partitionBy("_pid", *group_cols).orderBy(order_col)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = part.select("*", *[F.sum(v).over(w).alias(f"_l_{v}") for v in value_cols])
