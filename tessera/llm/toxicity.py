@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 FOLDS = 5
 MIN_DF = 4
-MIN_G2 = 12.0
+MIN_G2 = 30.0
 MIN_SHARE = 0.6
 MAX_TERMS = 2_000
 MAX_CANDIDATES = 50_000
@@ -51,52 +51,57 @@ class Trie:
     """Lexicon terms by letter; '' marks the end of a term and holds its number."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.root: dict = {}
+        self.ahead: dict = {}
+        self.back: dict = {}
         for k, term in enumerate(terms):
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = k
+            for node, letters in ((self.ahead, term), (self.back, term[::-1])):
+                for c in letters:
+                    node = node.setdefault(c, {})
+                node[""] = k
         self.exact = {t: k for k, t in enumerate(terms)}
         # One edit leaves the first or the second half of a term as it is.
         self.heads, self.tails = {(len(t), t[: len(t) // 2]) for t in terms}, {(len(t), t[len(t) // 2 :]) for t in terms}
 
-    def possible(self, word: str) -> bool:
-        """Whether half of some term stands at an end of the word, as one edit requires."""
-        return any((m, word[: m // 2]) in self.heads or (m, word[m // 2 - m :]) in self.tails for m in (len(word) - 1, len(word), len(word) + 1))
-
-    def near(self, word: str, edits: int = 1) -> tuple[int, int] | None:
-        """(term, distance) of the nearest term within `edits`; ties: the first term.
+    @staticmethod
+    def _walk(node: dict, word: str, at: int) -> list[tuple[int, int]]:
+        """(distance, term) of the terms under `node`, which spells word[:at], within one edit.
         A state of the automaton is (letters of the word read, edits spent)."""
-        best: tuple[int, int] | None = None
-        n = len(word)
-
-        def closed(states: dict[int, int]) -> dict[int, int]:
-            out = dict(states)
-            for i in sorted(states):
-                for j in range(i + 1, min(n, i + edits - states[i]) + 1):  # letters of the word left out
-                    out[j] = min(out.get(j, edits + 1), states[i] + j - i)
-            return out
-
-        todo = [(self.root, closed({0: 0}))]
+        found, todo, n = [], [(node, ((at, 0), (at + 1, 1)) if at < len(word) else ((at, 0),))], len(word)
         while todo:
             node, states = todo.pop()
-            if "" in node and n in states and states[n] <= edits and (best is None or (states[n], node[""]) < (best[1], best[0])):
-                best = (node[""], states[n])
+            if "" in node and (spent := [e for i, e in states if i == n]):
+                found.append((min(spent), node[""]))
             for c, child in node.items():
                 if not c:
                     continue
-                after: dict[int, int] = {}
-                for i, e in states.items():
+                after = set()
+                for i, e in states:
                     if i < n and word[i] == c:
-                        after[i + 1] = min(after.get(i + 1, edits + 1), e)
-                    if e < edits:
-                        after[i] = min(after.get(i, edits + 1), e + 1)
+                        after.add((i + 1, e))
+                        if e == 0 and i + 1 < n:
+                            after.add((i + 2, 1))  # the next letter of the word left out
+                    if e == 0:
+                        after.add((i, 1))
                         if i < n:
-                            after[i + 1] = min(after.get(i + 1, edits + 1), e + 1)
+                            after.add((i + 1, 1))
                 if after:
-                    todo.append((child, closed(after)))
-        return best
+                    todo.append((child, tuple(after)))
+        return found
+
+    def near(self, word: str) -> tuple[int, int] | None:
+        """(term, distance) of the nearest term within one edit; ties: the first term.
+        The automaton starts below the half that is intact, from either end."""
+        n, found = len(word), []
+        for m in (n - 1, n, n + 1):
+            h = m // 2
+            for known, root, letters, k in ((self.heads, self.ahead, word, h), (self.tails, self.back, word[::-1], m - h)):
+                half = letters[:k]
+                if (m, half if root is self.ahead else half[::-1]) in known:
+                    node = root
+                    for c in half:
+                        node = node[c]
+                    found += self._walk(node, letters, k)
+        return min(found)[::-1] if found else None
 
 
 class Lexicon:
@@ -110,7 +115,7 @@ class Lexicon:
         k = self.trie.exact.get(word)
         if k is not None:
             found = (self.weights[k], 0)
-        elif FUZZY_LENGTH <= len(word) <= 40 and self.trie.possible(word):
+        elif FUZZY_LENGTH <= len(word) <= 40:
             near = self.trie.near(word)
             if near and len(word) + near[1] >= FUZZY_LENGTH:
                 found = (self.weights[near[0]], near[1])
