@@ -25,8 +25,12 @@ first and to its neighbour. A profile of each set (shingles counted in up to
 4096 buckets, about a third of a byte a shingle) bounds the difference of a
 pair from below and drops most pairs that only share a passage, before any
 set moves. What is left is verified exactly: first each set
-with the partner it shares most signatures with; then every candidate pair,
-and every pair sharing a crowded signature, whose ends are still apart.
+with the partner it shares most signatures with. Crowded signatures are then
+dealt at random into parts of about `deal` sets, a few times over, and sets of two
+groups in one part are compared: a large group of near copies grows together
+in a few turns, long before its pairs have all been seen. Last, every
+candidate pair, and every pair sharing a crowded signature, whose ends are
+still apart is verified, so no link is lost.
 
 Shingles and sets are named by 64-bit hashes; sizes go with the names of sets.
 
@@ -53,6 +57,8 @@ RATIO = 16 / 9  # of a band's largest size to its smallest
 TOKEN_LEVEL = 48  # bands up to this size: a segment for each shingle
 CROWD = 24
 HOT_KEYS = 200_000
+DEAL = 8  # sets compared at once when a crowded signature is dealt
+FEW = 16  # lowest crowded signatures of a set, to meet a partner once
 DOCS = 1000  # worked on at once within a task
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -145,13 +151,27 @@ def profile(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype("i8"), minlength=1 << bits), 255).astype("u1").tobytes()
 
 
-def least_difference(x: bytes, y: bytes) -> int:
-    u, v = np.frombuffer(x, "u1").astype("i4"), np.frombuffer(y, "u1").astype("i4")
-    while len(u) > len(v):
-        u = u.reshape(-1, 2).sum(axis=1)
-    while len(v) > len(u):
-        v = v.reshape(-1, 2).sum(axis=1)
-    return int(np.abs(u - v).sum())
+def _taken(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts and lengths of a binary column without nulls."""
+    kind = "i8" if pa.types.is_large_binary(column.type) else "i4"
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype("i8")
+    return np.frombuffer(column.buffers()[2], "u1"), at[:-1], np.diff(at)
+
+
+def least_differences(x: pa.Array, y: pa.Array, cells: int = 1 << 20) -> np.ndarray:
+    """For each row, the least difference of two sets with these profiles;
+    the longer profile is folded to the length of the shorter one."""
+    (xs, at_x, len_x), (ys, at_y, len_y) = _taken(x), _taken(y)
+    out = np.zeros(len(x), "i8")
+    for p, q in np.unique(np.column_stack([len_x, len_y]), axis=0):
+        rows, short = np.flatnonzero((len_x == p) & (len_y == q)), min(p, q)
+        step = max(1, cells // max(p, q))
+        for k in range(0, len(rows), step):
+            r = rows[k : k + step]
+            u = xs[at_x[r][:, None] + np.arange(p)].reshape(len(r), short, -1).sum(axis=2, dtype="i4")
+            v = ys[at_y[r][:, None] + np.arange(q)].reshape(len(r), short, -1).sum(axis=2, dtype="i4")
+            out[r] = np.abs(u - v).sum(axis=1)
+    return out
 
 
 def parts(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -363,8 +383,10 @@ def _scanner(crowd: int) -> Callable:
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose profiles allow a link."""
     for batch in batches:
-        near = [least_difference(x.as_py(), y.as_py()) * (DEN + NUM) <= (na.as_py() + nb.as_py()) * (DEN - NUM) for na, nb, x, y in zip(batch.column(1), batch.column(3), batch.column(5), batch.column(6))]
-        yield pa.RecordBatch.from_arrays(batch.columns[:5], names=["a", "na", "b", "nb", "times"]).filter(pa.array(near))
+        if batch.num_rows:
+            sizes = batch.column(1).to_numpy().astype("i8") + batch.column(3).to_numpy()
+            near = least_differences(batch.column(5), batch.column(6)) * (DEN + NUM) <= sizes * (DEN - NUM)
+            yield pa.RecordBatch.from_arrays(batch.columns[:5], names=["a", "na", "b", "nb", "times"]).filter(pa.array(near))
 
 
 def likely(pairs: DataFrame, holders: DataFrame) -> DataFrame:
@@ -418,7 +440,31 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("u.name", "u.n", "root")
 
 
-def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, hot_keys: int = HOT_KEYS) -> DataFrame:
+def rooted_ends(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs with `ra` and `rb`, the roots of their ends; a set without links is its own root."""
+    of = lambda x, n, r: groups.select(F.col("name").alias(x), F.col("n").alias(n), F.col("root").alias(r))
+    far = pairs.join(of("a", "na", "ra"), ["a", "na"], "left").join(of("b", "nb", "rb"), ["b", "nb"], "left")
+    own = lambda r, x, n: F.coalesce(r, F.struct(F.col(x).alias("name"), F.col(n).alias("n"))).alias(r)
+    return far.select("a", "na", "b", "nb", own("ra", "a", "na"), own("rb", "b", "nb"))
+
+
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs whose ends are not yet in one group."""
+    return rooted_ends(pairs, groups).where("ra != rb").select("a", "na", "b", "nb")
+
+
+def merged(groups: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """Groups after further links, and how many went into another one.
+    Only groups are linked, each by the name of its root."""
+    ends = rooted_ends(links, groups).select(F.col("ra.name").alias("a"), F.col("ra.n").alias("na"), F.col("rb.name").alias("b"), F.col("rb.n").alias("nb"))
+    upper = stored(components(ends.distinct()), "upper")
+    above = upper.select(F.struct("name", "n").alias("root"), F.col("root").alias("top"))
+    own = groups.join(above, "root", "left").select("name", "n", F.coalesce("top", "root").alias("root"))
+    fresh = upper.join(groups.select("name", "n"), ["name", "n"], "left_anti").select("name", "n", "root")
+    return stored(own.unionByName(fresh), "groups"), upper.where(F.struct("name", "n") != F.col("root")).count()
+
+
+def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, hot_keys: int = HOT_KEYS, deal: int = DEAL) -> DataFrame:
     """(id, n_shingles, component_id), one row per input row."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -447,34 +493,46 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = stored(verified(best, sets), "links")
     groups = stored(components(links), "groups")
 
-    def apart(p: DataFrame) -> DataFrame:
-        """Pairs whose ends are not yet in one group."""
-        own = lambda x, n, r: groups.select(F.col("name").alias(x), F.col("n").alias(n), F.col("root").alias(r))
-        far = p.join(own("a", "na", "ra"), ["a", "na"], "left").join(own("b", "nb", "rb"), ["b", "nb"], "left")
-        ra, rb = F.coalesce("ra", F.struct(F.col("a").alias("name"), F.col("na").alias("n"))), F.coalesce("rb", F.struct(F.col("b").alias("name"), F.col("nb").alias("n")))
-        return far.where(ra != rb).select("a", "na", "b", "nb")
-
-    member = crowds.join(groups, ["name", "n"], "left").withColumn("root", F.coalesce("root", F.struct("name", "n")))
-    mixed = member.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
-    member = member.join(mixed, "sig", "left_semi")
-    x = member.select("sig", F.col("name").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = member.select("sig", F.col("name").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    crowded = x.join(y, "sig").where((F.col("ra") < F.col("rb")) & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))).select("a", "na", "b", "nb")
+    member = stored(crowds.distinct(), "crowds")
+    size = stored(member.groupBy("sig").agg(F.count(F.lit(1)).alias("k")), "crowd_sizes")
+    near = (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")) & (F.col("ra") < F.col("rb"))
     turn = F.struct("na", "a") > F.struct("nb", "b")
-    crowded = crowded.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("nb"))
-    crowded = likely(crowded.distinct().withColumn("times", F.lit(1).cast("long")), holders).drop("times")
-    rest = stored(apart(pairs).unionByName(crowded).distinct(), "rest")
+    pair = [F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]
+
+    def mixed(groups: DataFrame) -> DataFrame:
+        """Members, with their groups, of the crowded signatures that hold more than one group."""
+        rooted = member.join(groups, ["name", "n"], "left").withColumn("root", F.coalesce("root", F.struct("name", "n")))
+        several = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
+        return rooted.join(several, "sig", "left_semi")
+
+    def candidates(rows: DataFrame, keys: list[str], cond=None) -> DataFrame:
+        """Pairs of sets of two groups that share `keys` and whose profiles allow a link."""
+        side = lambda v, m, r, f: rows.select(*keys, F.col("name").alias(v), F.col("n").alias(m), F.col("root").alias(r), *([F.col("few").alias(f)] if "few" in rows.columns else []))
+        both = side("a", "na", "ra", "fa").join(side("b", "nb", "rb", "fb"), keys).where(near if cond is None else near & cond)
+        return likely(both.select(*pair).distinct().withColumn("times", F.lit(1).cast("long")), holders).drop("times")
+
+    crowd_sets, turns = member.select("name", "n").distinct().count(), 0
+    while crowd_sets:
+        # A crowded signature is dealt at random into small parts, other ones each turn.
+        dealt = mixed(groups).join(size, "sig").withColumn("part", F.pmod(F.xxhash64("name", "n", F.lit(turns)), F.ceil(F.col("k") / deal)))
+        more = stored(verified(candidates(dealt, ["sig", "part"]), sets), "links")
+        if more.isEmpty():
+            break
+        groups, gone = merged(groups, more)
+        turns += 1
+        # When a turn brings few groups together, all pairs that are left are compared.
+        if gone * 20 < crowd_sets:
+            break
+
+    # Two sets meet at one of their shared signatures: not where both lists of their lowest ones hold a lower one.
+    last = mixed(groups)
+    few = last.groupBy("name", "n").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, FEW).alias("few"))
+    lower = F.array_min(F.array_intersect("fa", "fb"))
+    crowded = candidates(last.join(few, ["name", "n"]), ["sig"], F.coalesce(lower >= F.col("sig"), F.lit(True)))
+    rest = stored(apart(pairs, groups).unionByName(crowded).distinct(), "rest")
     more = stored(verified(rest, sets), "links")
     if not more.isEmpty():
-        # Only groups are still to be linked, each by the name of its root.
-        of = lambda x, n, r: groups.select(F.col("name").alias(x), F.col("n").alias(n), F.col("root").alias(r))
-        ends = more.join(of("a", "na", "ra"), ["a", "na"], "left").join(of("b", "nb", "rb"), ["b", "nb"], "left")
-        ends = ends.select(F.coalesce("ra", F.struct(F.col("a").alias("name"), F.col("na").alias("n"))).alias("x"), F.coalesce("rb", F.struct(F.col("b").alias("name"), F.col("nb").alias("n"))).alias("y"))
-        upper = stored(components(ends.select(F.col("x.name").alias("a"), F.col("x.n").alias("na"), F.col("y.name").alias("b"), F.col("y.n").alias("nb")).distinct()), "upper")
-        above = upper.select(F.struct("name", "n").alias("root"), F.col("root").alias("top"))
-        own = groups.join(above, "root", "left").select("name", "n", F.coalesce("top", "root").alias("root"))
-        fresh = upper.join(groups.select("name", "n"), ["name", "n"], "left_anti")
-        groups = stored(own.unionByName(fresh.select("name", "n", "root")), "groups")
+        groups, _ = merged(groups, more)
 
     root = F.coalesce("root", F.struct("name", "n"))
     held = holders.drop("profile").join(groups, ["name", "n"], "left").select("name", "n", "id", root.alias("root"))
