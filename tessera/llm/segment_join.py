@@ -48,6 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from xxhash import xxh3_64_intdigest
 
 from .common import stored
 
@@ -105,38 +106,23 @@ def bands_of(size: int) -> list[int]:
     return [own] + ([own - 1] if own and size * NUM <= (int(EDGES[own]) - 1) * DEN else [])
 
 
-class Shingles:
-    """Sets of 64-bit shingle hashes. Words seen before come from a bounded cache."""
+def distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique of hashes, without its overhead on short arrays."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
-    def __init__(self, cache: int = 300_000) -> None:
-        from xxhash import xxh3_64_intdigest
 
-        self.hash, self.cache, self.seen = xxh3_64_intdigest, cache, {}
-
-    def word(self, w: bytes) -> int:
-        if len(self.seen) >= self.cache:
-            self.seen.clear()
-        h = self.hash(w)
-        if len(w) <= 64:
-            self.seen[w] = h
-        return h
-
-    def all(self, text: str | None) -> np.ndarray:
-        ws = text.encode().lower().split() if text else []
-        if not ws:
-            return np.zeros(0, "u8")
-        got = list(map(self.seen.get, ws))
-        if None in got:
-            got = [self.word(w) if g is None else g for w, g in zip(ws, got)]
-        h = np.array(got, "u8")
-        k = min(SHINGLE, len(h))
-        total = np.full(len(h) - k + 1, k, "u8")
-        for i in range(k):
-            total += mix(h[i : len(h) - k + 1 + i]) * _POWERS[i]
-        return mix(total)
-
-    def set(self, text: str | None) -> np.ndarray:
-        return np.unique(self.all(text))
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted set of 64-bit shingle hashes of a text."""
+    ws = text.encode().lower().split() if text else []
+    if not ws:
+        return np.zeros(0, "u8")
+    h = mix(np.fromiter(map(xxh3_64_intdigest, ws), "u8", len(ws)))
+    k = min(SHINGLE, len(h))
+    total = np.full(len(h) - k + 1, k, "u8")
+    for i in range(k):
+        total += h[i : len(h) - k + 1 + i] * _POWERS[i]
+    return distinct(mix(total))
 
 
 def name_of(s: np.ndarray) -> int:
@@ -179,9 +165,10 @@ def parts(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.
     if m == 0:
         return np.arange(len(s)), np.arange(len(s)), mix(s + _M1)
     seg = mix(s + salt(band)) % np.uint64(m)
-    order = np.argsort(seg, kind="stable")
-    starts = np.flatnonzero(np.diff(seg[order], prepend=np.uint64(m)))
-    return order, starts, seg[order][starts]
+    order = np.argsort(seg.astype("u2") if m < 1 << 16 else seg, kind="stable")
+    dealt = seg[order]
+    starts = np.flatnonzero(np.concatenate(([True], dealt[1:] != dealt[:-1])))
+    return order, starts, dealt[starts]
 
 
 def shortfall(s: np.ndarray, band: int) -> int:
@@ -190,8 +177,14 @@ def shortfall(s: np.ndarray, band: int) -> int:
     return budget(len(s), band) + 1 - filled
 
 
-def signatures(s: np.ndarray, band: int, spared: int, hot: np.ndarray) -> np.ndarray:
-    """Signatures by which a set is found in a band; `spared`: segments that allow one difference."""
+def frequent(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which shingles of a set are in the sorted list."""
+    return hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
+
+
+def signatures(s: np.ndarray, band: int, spared: int, often: np.ndarray) -> np.ndarray:
+    """Signatures by which a set is found in a band; `spared`: segments that
+    allow one difference, `often`: its frequent shingles."""
     m = segments(band)
     order, starts, numbers = parts(s, band, m)
     values = mix(s ^ _M1)[order]
@@ -216,16 +209,13 @@ def signatures(s: np.ndarray, band: int, spared: int, hot: np.ndarray) -> np.nda
         starts_kept = np.ones(len(starts), bool)
     if need > 0:
         sigs = sign(numbers, sums)
-        dear = np.zeros(len(starts), "i8")
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, s[order]), len(hot) - 1)
-            dear = (np.minimum.reduceat((hot[at] == s[order]).astype("i8"), starts))[starts_kept]
-        else:
-            dear = dear[starts_kept]
+        # The top bit says that all shingles of the segment are frequent: such signatures come last.
+        dear = np.minimum.reduceat(often[order], starts)[starts_kept]
+        sigs = (sigs >> np.uint64(1)) | (dear.astype("u8") << np.uint64(63))
         if need < len(sigs):
-            sigs = sigs[np.lexsort((sigs, dear))[:need]]
+            sigs = np.partition(sigs, need - 1)[:need]
         out.append(sigs)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, "u8")
+    return np.concatenate(out) if out else np.zeros(0, "u8")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -239,11 +229,11 @@ _INFO = "kind int, id {id}, n int, name long, band int, short int, band2 int, sh
 
 def _describe(id_type: pa.DataType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, met = Shingles(), set()
+        met = set()
         for batch in _slices(batches, DOCS):
             n, names, info, fresh, shapes = [], [], [], [], []
             for text in batch.column(1):
-                s = make.set(text.as_py())
+                s = shingle_set(text.as_py())
                 names.append(name_of(s))
                 n.append(len(s))
                 if len(s) and (names[-1], len(s)) not in met:
@@ -273,18 +263,19 @@ def _describe(id_type: pa.DataType) -> Callable:
 
 def _signer(spared: dict[int, int], hot) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, met, frequent = Shingles(), set(), hot.value
+        met = set()
         for batch in _slices(batches, DOCS):
             sigs, names, sizes = [], [], []
             for text in batch.column(0):
-                s = make.set(text.as_py())
+                s = shingle_set(text.as_py())
                 if not len(s):
                     continue
                 key = (name_of(s), len(s))
                 if key in met:  # the same set again in this task
                     continue
                 met.add(key)
-                found = np.concatenate([signatures(s, b, spared.get(b, 0), frequent) for b in bands_of(len(s))])
+                often = frequent(s, hot.value)
+                found = np.concatenate([signatures(s, b, spared.get(b, 0), often) for b in bands_of(len(s))])
                 sigs.append(found)
                 names.append(np.full(len(found), key[0], "i8"))
                 sizes.append(np.full(len(found), key[1], "i4"))
@@ -396,9 +387,9 @@ def likely(pairs: DataFrame, holders: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    make, met = Shingles(), set()
+    met = set()
     for batch in _slices(batches, DOCS):
-        sets = [make.set(t.as_py()) for t in batch.column(0)]
+        sets = [shingle_set(t.as_py()) for t in batch.column(0)]
         # Rows of one id meet in one task: a repeated row adds nothing.
         sets = [s for s in sets if (key := (name_of(s), len(s))) not in met and not met.add(key)]
         yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["name", "n", "items"])

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as tokenizer_files
 import pytest
 
@@ -123,8 +124,21 @@ def test_one_deletion_signatures_find_close_sets(monkeypatch):
         assert 4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y))
         band = segment_join.bands_of(min(len(x), len(y)))[0]
         spared = max(0, segment_join.shortfall(x, band), segment_join.shortfall(y, band))
-        none = np.zeros(0, "u8")
-        assert len(np.intersect1d(segment_join.signatures(x, band, spared, none), segment_join.signatures(y, band, spared, none)))
+        none = lambda s: np.zeros(len(s), bool)
+        assert len(np.intersect1d(segment_join.signatures(x, band, spared, none(x)), segment_join.signatures(y, band, spared, none(y))))
+
+
+def test_profile_bound_never_exceeds_the_difference():
+    """Profiles of other lengths are folded; the bound of equal sets is 0."""
+    rnd = np.random.default_rng(2)
+    pairs = []
+    for n in (1, 40, 100, 190, 200, 800):
+        x = np.unique(rnd.integers(0, 2**63, n).astype("u8") * np.uint64(2))
+        y = np.unique(np.concatenate([x[n // 8 :], rnd.integers(0, 2**63, n // 6).astype("u8") * np.uint64(2)]))
+        pairs += [(x, y), (x, x)]
+    got = segment_join.least_differences(*(pa.array([segment_join.profile(p[k]) for p in pairs]) for k in (0, 1)), cells=64)
+    for (x, y), d in zip(pairs, got):
+        assert 0 <= d <= len(np.setxor1d(x, y))
 
 
 def test_containment(spark, empty):
