@@ -21,10 +21,10 @@ Frequent ones are a cost estimate only: any list gives the same links.
 
 Sets are compared once for all documents that have them. Signatures are
 scanned in sorted order; a signature shared by many sets links each to the
-first and to its neighbour. A profile of each set (shingles counted in up to
-4096 buckets, about a third of a byte a shingle) bounds the difference of a
+first and to its neighbour. A profile of each set (parities of its shingles in 2 to
+4 buckets a shingle, up to 4096 bytes) bounds the difference of a
 pair from below and drops most pairs that only share a passage, before any
-set moves. What is left is verified exactly: first each set
+set moves. Folded to 1024 bits it is tested inside the join of crowded signatures. What is left is verified exactly: first each set
 with the partner it shares most signatures with. Crowded signatures are then
 dealt at random into parts of about `deal` sets, a few times over, and sets of two
 groups in one part are compared: a large group of near copies grows together
@@ -42,6 +42,8 @@ not read; an empty table gives no rows."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,7 @@ HOT_KEYS = 200_000
 DEAL = 8  # sets compared at once when a crowded signature is dealt
 FEW = 16  # lowest crowded signatures of a set, to meet a partner once
 DOCS = 1000  # worked on at once within a task
+SKETCH = 1024  # bits of the profile that a crowded signature carries
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], "u8")
@@ -131,10 +134,17 @@ def name_of(s: np.ndarray) -> int:
 
 
 def profile(s: np.ndarray) -> bytes:
-    """Shingles by their top bits, a byte each, held at 255: a difference of
-    two counts is never more than that of the sets."""
-    bits = min(12, max(4, (len(s) // 3).bit_length() - 1))
-    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype("i8"), minlength=1 << bits), 255).astype("u1").tobytes()
+    """Parities of the shingle counts in 2 to 4 buckets a shingle, by their low
+    bits, at least 1024: the sets of two profiles differ in no fewer shingles
+    than the profiles in bits."""
+    size = 1 << min(15, max(SKETCH.bit_length() - 1, (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(size - 1)).view("i8"), minlength=size) & 1
+    return np.packbits(odd.astype("u1")).tobytes()
+
+
+def sketch(profile: bytes) -> np.ndarray:
+    """A profile folded to 1024 bits, as 64-bit integers."""
+    return np.bitwise_xor.reduce(np.frombuffer(profile, "i8").reshape(-1, SKETCH // 64), axis=0)
 
 
 def _taken(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,9 +164,9 @@ def least_differences(x: pa.Array, y: pa.Array, cells: int = 1 << 20) -> np.ndar
         step = max(1, cells // max(p, q))
         for k in range(0, len(rows), step):
             r = rows[k : k + step]
-            u = xs[at_x[r][:, None] + np.arange(p)].reshape(len(r), short, -1).sum(axis=2, dtype="i4")
-            v = ys[at_y[r][:, None] + np.arange(q)].reshape(len(r), short, -1).sum(axis=2, dtype="i4")
-            out[r] = np.abs(u - v).sum(axis=1)
+            u = np.bitwise_xor.reduce(xs[at_x[r][:, None] + np.arange(p)].reshape(len(r), -1, short), axis=1)
+            v = np.bitwise_xor.reduce(ys[at_y[r][:, None] + np.arange(q)].reshape(len(r), -1, short), axis=1)
+            out[r] = np.bitwise_count(u ^ v).sum(axis=1, dtype="i8")
     return out
 
 
@@ -224,14 +234,14 @@ def _slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             yield batch.slice(k, n)
 
 
-_INFO = "kind int, id {id}, n int, name long, band int, short int, band2 int, short2 int, profile binary"
+_INFO = "kind int, id {id}, n int, name long, band int, short int, band2 int, short2 int, profile binary, sketch array<long>"
 
 
 def _describe(id_type: pa.DataType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
         for batch in _slices(batches, DOCS):
-            n, names, info, fresh, shapes = [], [], [], [], []
+            n, names, info, fresh, shapes, folded = [], [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py())
                 names.append(name_of(s))
@@ -242,21 +252,23 @@ def _describe(id_type: pa.DataType) -> Callable:
                     own = [(b, shortfall(s, b)) for b in bands_of(len(s))]
                     info.append((*own[0], *(own[1] if len(own) > 1 else (None, None))))
                     shapes.append(profile(s))
+                    folded.append(sketch(shapes[-1]))
                 else:
                     info.append((None,) * 4)
                     shapes.append(None)
-            columns = [pa.array(np.zeros(len(n), "i4")), batch.column(0), pa.array(n, pa.int32()), pa.array(names, pa.int64()), *(pa.array([i[k] for i in info], pa.int32()) for k in range(4)), pa.array(shapes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=list("abcdefghi"))
+                    folded.append(None)
+            columns = [pa.array(np.zeros(len(n), "i4")), batch.column(0), pa.array(n, pa.int32()), pa.array(names, pa.int64()), *(pa.array([i[k] for i in info], pa.int32()) for k in range(4)), pa.array(shapes, pa.binary()), pa.array(folded, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=list("abcdefghij"))
             if fresh:
                 keys, counts = np.unique(np.concatenate(fresh), return_counts=True)
                 often = counts >= max(3, len(fresh) // 200)
                 k = int(often.sum())
                 none = pa.nulls(k, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, "i4")), pa.nulls(k, id_type), pa.array(counts[often].astype("i4")), pa.array(keys[often].view("i8")), none, none, none, none, pa.nulls(k, pa.binary())], names=list("abcdefghi"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, "i4")), pa.nulls(k, id_type), pa.array(counts[often].astype("i4")), pa.array(keys[often].view("i8")), none, none, none, none, pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))], names=list("abcdefghij"))
 
     def named(batches):
         for b in run(batches):
-            yield b.rename_columns(["kind", "id", "n", "name", "band", "short", "band2", "short2", "profile"])
+            yield b.rename_columns(["kind", "id", "n", "name", "band", "short", "band2", "short2", "profile", "sketch"])
 
     return named
 
@@ -470,12 +482,12 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = slim.select("text").mapInArrow(_signer(spared, hot), "sig long, name long, n int")
     shared = signed.repartition("sig").sortWithinPartitions("sig", "n", "name").mapInArrow(_scanner(crowd), _PAIRS)
     found = stored(shared.groupBy("kind", "a", "na", "b", "nb").agg(F.sum("times").alias("times")), "pairs")
-    holders = stored(rows.where("n > 0").groupBy("name", "n").agg(F.min("id").alias("id"), F.max("profile").alias("profile")), "holders")
+    holders = stored(rows.where("n > 0").groupBy("name", "n").agg(F.min("id").alias("id"), F.max("profile").alias("profile"), F.max("sketch").alias("sketch")), "holders")
     pairs, crowds = stored(likely(found.where("kind = 0").drop("kind"), holders), "likely"), found.where("kind = 1").select(F.col("b").alias("sig"), F.col("a").alias("name"), F.col("na").alias("n"))
 
     # The sets in question, each from one document that has it.
     asked = pairs.select(F.col("a").alias("name"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("name"), F.col("nb").alias("n"))).unionByName(crowds.select("name", "n")).distinct()
-    chosen = holders.join(asked, ["name", "n"], "left_semi")
+    chosen = holders.select("name", "n", "id").join(asked, ["name", "n"], "left_semi")
     texts = slim.join(chosen.select("id"), "id", "left_semi").select("text")
     sets = stored(texts.mapInArrow(_sets, "name long, n int, items binary"), "sets")
 
@@ -484,9 +496,10 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = stored(verified(best, sets), "links")
     groups = stored(components(links), "groups")
 
-    member = stored(crowds.distinct(), "crowds")
+    member = stored(crowds.distinct().join(holders.select("name", "n", "sketch"), ["name", "n"]), "crowds")
     size = stored(member.groupBy("sig").agg(F.count(F.lit(1)).alias("k")), "crowd_sizes")
-    near = (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")) & (F.col("ra") < F.col("rb"))
+    differ = reduce(add, (F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(SKETCH // 64)))
+    near = (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")) & (F.col("ra") < F.col("rb")) & ((DEN + NUM) * differ <= (DEN - NUM) * (F.col("na") + F.col("nb")))
     turn = F.struct("na", "a") > F.struct("nb", "b")
     pair = [F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]
 
@@ -498,8 +511,8 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def candidates(rows: DataFrame, keys: list[str], cond=None) -> DataFrame:
         """Pairs of sets of two groups that share `keys` and whose profiles allow a link."""
-        side = lambda v, m, r, f: rows.select(*keys, F.col("name").alias(v), F.col("n").alias(m), F.col("root").alias(r), *([F.col("few").alias(f)] if "few" in rows.columns else []))
-        both = side("a", "na", "ra", "fa").join(side("b", "nb", "rb", "fb"), keys).where(near if cond is None else near & cond)
+        side = lambda v, m, r, w, f: rows.select(*keys, F.col("name").alias(v), F.col("n").alias(m), F.col("root").alias(r), F.col("sketch").alias(w), *([F.col("few").alias(f)] if "few" in rows.columns else []))
+        both = side("a", "na", "ra", "wa", "fa").join(side("b", "nb", "rb", "wb", "fb"), keys).where(near if cond is None else near & cond)
         return likely(both.select(*pair).distinct().withColumn("times", F.lit(1).cast("long")), holders).drop("times")
 
     crowd_sets, turns = member.select("name", "n").distinct().count(), 0
@@ -526,7 +539,7 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups, _ = merged(groups, more)
 
     root = F.coalesce("root", F.struct("name", "n"))
-    held = holders.drop("profile").join(groups, ["name", "n"], "left").select("name", "n", "id", root.alias("root"))
+    held = holders.drop("profile", "sketch").join(groups, ["name", "n"], "left").select("name", "n", "id", root.alias("root"))
     smallest = held.groupBy("root").agg(F.min("id").alias("component_id"))
     members = held.join(smallest, "root").select("name", "n", "component_id")
     full = rows.select("id", "n", "name").where("n > 0").join(members, ["name", "n"]).select("id", "n", "component_id")
