@@ -43,6 +43,13 @@ def _lookup(values: Sequence, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), idx.cast("int") + 1)
 
 
+def _of_class(label: Column, values: dict) -> Column:
+    """The number of each label's class, null for others: one literal map, however many classes."""
+    if not values:
+        return F.lit(None).cast("double")
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), label)
+
+
 def class_counts(df: DataFrame, label_col: str) -> dict:
     """{class: rows}; a label with more than MAX_CLASSES values is refused."""
     from tessera.operators.evaluate import MAX_CLASSES
@@ -58,10 +65,7 @@ def balanced_weight(df: DataFrame, label_col: str, counts: dict | None = None) -
     """n / (k * n_c) as a column (class counts are few, so a literal map)."""
     counts = counts if counts is not None else class_counts(df, label_col)
     n, k = sum(counts.values()), len(counts)
-    w = F.lit(None).cast("double")
-    for c, nc in counts.items():
-        w = F.when(qcol(label_col) == F.lit(c), F.lit(n / (k * nc))).otherwise(w)
-    return w
+    return _of_class(qcol(label_col), {c: n / (k * nc) for c, nc in counts.items()})
 
 
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:
@@ -100,10 +104,9 @@ class BaselineModel:
                 for c in self.classes:
                     running += self.counts[c]
                     cum.append(running / n)
-                pred = F.lit(self.classes[-1])
-                for c, edge in reversed(list(zip(self.classes, cum))[:-1]):
-                    pred = F.when(u < F.lit(edge), F.lit(c)).otherwise(pred)
-                prob = F.array(*[F.when(pred == F.lit(c), 1.0).otherwise(0.0) for c in self.classes])
+                # The class of the first share above the draw.
+                pred = _lookup(self.classes, F.size(F.filter(F.array(*[F.lit(e) for e in cum[:-1]]).cast("array<double>"), lambda e: e <= u)))
+                prob = F.transform(F.array(*[F.lit(c) for c in self.classes]), lambda c: (c == F.col("prediction")).cast("double"))
         if self.dtype is not None:
             pred = pred.cast(self.dtype)
         return df.withColumn("prediction", pred).withColumn("probability", prob)
@@ -147,10 +150,7 @@ class TrainedClassifier:
 
 
 def _index_label(df: DataFrame, label_col: str, classes: Sequence) -> Column:
-    idx = F.lit(None).cast("double")
-    for i, c in enumerate(classes):
-        idx = F.when(qcol(label_col) == F.lit(c), F.lit(float(i))).otherwise(idx)
-    return idx
+    return _of_class(qcol(label_col), {c: float(i) for i, c in enumerate(classes)})
 
 
 def _decoder(classes: Sequence) -> SQLTransformer:
@@ -275,8 +275,12 @@ def roc_for_model(model: TrainedClassifier, df: DataFrame) -> DataFrame:
 def score_records(spark, model: TrainedClassifier, records: Sequence[dict], scaler=None) -> DataFrame:
     """Score a handful of records given as dicts (feature name -> value):
     one small DataFrame, optionally scaled with a fitted scaler, then the
-    model's prediction and probabilities."""
-    rows = [tuple(r.get(f) for f in model.features) for r in records]
+    model's prediction and probabilities.  Any numbers will do; a record
+    without one of the features is an error."""
+    for r in records:
+        if missing := [f for f in model.features if f not in r]:
+            raise KeyError(f"record without {', '.join(map(repr, missing))}")
+    rows = [tuple(None if r[f] is None else float(r[f]) for f in model.features) for r in records]
     df = spark.createDataFrame(rows, ", ".join(f"`{f}` double" for f in model.features))
     if scaler is not None:
         df = scaler.transform(df)

@@ -36,8 +36,14 @@ def _mode_value(df: DataFrame, c: str):
     return None if row is None or row["m"] is None else row["m"]["v"]
 
 
+def fits(value: int, dtype: T.DataType) -> bool:
+    """Whether an integer is in the range of an integer type."""
+    bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}[type(dtype)]
+    return -(1 << bits - 1) <= value < 1 << bits - 1
+
+
 def fit_imputer(df: DataFrame, strategy: Mapping[str, object]) -> dict[str, tuple[str, object]]:
-    """{column: (kind, fill)} for kinds mean | median | mode | drop | const.
+    """{column: (kind, fill)} for kinds mean | median | mode | drop | const | wide.
     Unknown columns are ignored; statistics include rows later dropped."""
     types = {f.name: f.dataType for f in df.schema.fields}
     plan = {c: s for c, s in strategy.items() if c in types}
@@ -64,6 +70,8 @@ def fit_imputer(df: DataFrame, strategy: Mapping[str, object]) -> dict[str, tupl
                isinstance(dt, T.StringType) and not isinstance(s, str):
                 raise TypeError(f"constant {s!r} does not fit column {c!r} of type {dt.simpleString()}")
             fitted[c] = ("const", s)
+            if isinstance(dt, T.IntegralType):
+                fitted[c] = ("const", int(s)) if float(s).is_integer() else ("wide", float(s))
     return fitted
 
 
@@ -75,6 +83,10 @@ def apply_imputer(df: DataFrame, fitted: Mapping[str, tuple[str, object]]) -> Da
         col = qcol(c)
         if kind in ("mean", "median") and val is not None:
             out.append(F.coalesce(col.cast("double"), F.lit(float(val))).alias(c))
+        elif kind == "wide":  # a fraction in an integer column, which becomes double
+            out.append(F.coalesce(col.cast("double"), F.lit(val)).alias(c))
+        elif kind == "const" and isinstance(types[c], T.IntegralType) and not fits(val, types[c]):
+            out.append(F.coalesce(col.cast("long"), F.lit(val).cast("long")).alias(c))
         elif kind in ("mode", "const") and val is not None:
             out.append(F.coalesce(col, F.lit(val).cast(types[c])).alias(c))
         else:

@@ -10,43 +10,60 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions.types import qcol
 
 METRICS = ["accuracy", "f1", "precision", "recall", "auc"]
 LOG_SCHEMA = ("timestamp string, model string, split string, params map<string,string>, "
-              "accuracy double, f1 double, precision double, recall double, auc double")
+              "accuracy double, f1 double, precision double, recall double, auc double, metrics map<string,double>")
 
 
 def log_experiment(spark: SparkSession, log_dir: str, name: str, params: Mapping[str, object],
                    metrics: DataFrame | Mapping[str, float | None], split: str = "test") -> DataFrame:
     """Append one entry.  ``metrics`` is a one-row metrics DataFrame (as
-    returned by the evaluators) or a mapping; missing metrics are null."""
+    returned by the evaluators; its numeric columns) or a mapping; of METRICS,
+    the missing ones are null, and all further ones are kept by name."""
     if isinstance(metrics, DataFrame):
         m = metrics
     else:
-        m = spark.createDataFrame([tuple(metrics.get(k) for k in METRICS)],
-                                  ", ".join(f"{k} double" for k in METRICS))
+        names = list(dict.fromkeys([*METRICS, *map(str, metrics)]))
+        given = {str(k): v for k, v in metrics.items()}
+        m = spark.createDataFrame([tuple(None if given.get(k) is None else float(given[k]) for k in names)],
+                                  T.StructType([T.StructField(k, T.DoubleType()) for k in names]))
+    more = [f.name for f in m.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in METRICS]
+    extra = F.create_map(*[x for k in more for x in (F.lit(k), qcol(k).cast("double"))]) if more else F.create_map()
     p = F.create_map(*[x for k, v in params.items() for x in (F.lit(str(k)), F.lit(str(v)))]) if params \
         else F.create_map().cast("map<string,string>")
     row = m.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         F.lit(name).alias("model"), F.lit(split).alias("split"), p.alias("params"),
-        *[(F.col(k) if k in m.columns else F.lit(None)).cast("double").alias(k) for k in METRICS])
+        *[(F.col(k) if k in m.columns else F.lit(None)).cast("double").alias(k) for k in METRICS],
+        extra.cast("map<string,double>").alias("metrics"))
     row.coalesce(1).write.mode("append").parquet(log_dir)
     return row
 
 
 def experiments_table(spark: SparkSession, log_dir: str) -> DataFrame:
-    """All entries with one ``param_<name>`` column per parameter name seen
-    (null where an entry lacks it); empty frame when nothing is logged."""
+    """All entries with one ``param_<name>`` column per parameter name seen,
+    METRICS, and one column per further metric seen (null where an entry
+    lacks it); empty frame when the folder is not there."""
     try:
         log = spark.read.schema(LOG_SCHEMA).parquet(log_dir)
-    except Exception:  # noqa: BLE001 - folder not created yet
-        return spark.createDataFrame([], LOG_SCHEMA).drop("params")
-    keys = sorted(r["k"] for r in log.select(F.explode(F.map_keys("params")).alias("k")).distinct().collect())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LOG_SCHEMA).drop("params", "metrics")
+
+    def names(column: str) -> list[str]:
+        return sorted(r["k"] for r in log.select(F.explode(F.map_keys(column)).alias("k")).distinct().collect())
+
     return log.select("timestamp", "model", "split",
-                      *[F.col("params")[k].alias(f"param_{k}") for k in keys], *METRICS)
+                      *[F.try_element_at("params", F.lit(k)).alias(f"param_{k}") for k in names("params")], *METRICS,
+                      *[F.try_element_at("metrics", F.lit(k)).alias(k) for k in names("metrics")])
 
 
 def export_csv(df: DataFrame, path: str) -> str:

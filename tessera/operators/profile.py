@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,12 +49,17 @@ TARGET_MAX_NULL_FRACTION = 0.3
 # scan B: value frequencies
 # ---------------------------------------------------------------------------
 
+def one_zero(col: Column, dtype: T.DataType) -> Column:
+    """-0.0 as 0.0, so that they count as one value."""
+    return F.when(col == 0, F.lit(0.0).cast(dtype)).otherwise(col) if isinstance(dtype, (T.FloatType, T.DoubleType)) else col
+
+
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, value, n) for every non-null value of every column, values
     rendered as text.  Map-side partial counts keep hot values cheap."""
     columns = list(df.columns if columns is None else columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    texts = df.select(*[as_text(qcol(c), types[c]).alias(c) for c in columns])
+    texts = df.select(*[as_text(one_zero(qcol(c), types[c]), types[c]).alias(c) for c in columns])
     long = texts.unpivot([], columns, "column", "value").where(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 

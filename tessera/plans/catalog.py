@@ -390,9 +390,16 @@ def q_features_target(spark, sf):
                                         MODEL_FEATURES + ["l_revenue"])
 
 
+#: Levels of the provided tables: a view needs the columns of a pivot by name.
+LEVELS = {"o_orderstatus": ["F", "O", "P"],
+          "o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+          "p_type": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]}
+
+
 def _sql_onehot(table: str, key: str, col: str) -> str:
+    names = ", ".join(f"'{col}_{v}'" for v in LEVELS[col])
     return (f"(PIVOT (SELECT {key}, '{col}_' || {col} AS lvl FROM {table} WHERE {col} IS NOT NULL) "
-            f"ON lvl USING count(*) GROUP BY {key})")
+            f"ON lvl IN ({names}) USING count(*) GROUP BY {key})")
 
 
 @register("encode_onehot", f"""

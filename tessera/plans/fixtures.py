@@ -15,31 +15,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-_SMALL: dict = {}
-
-
-def _input_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A provided table, NaN turned into null.  A small table that arrives in
-    fewer partitions than there are cores (one Parquet row group) is spread
-    over the cores once and kept in memory for the session, so the several
-    passes of an operator run in parallel; large tables are read as they are."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key in _SMALL:
-        return _SMALL[key]
-    df = nan_to_null(spark.read.parquet(path))
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par and _input_bytes(spark, path) <= SMALL_INPUT_BYTES:
-        df = df.repartition(par).persist()
-        _SMALL[key] = df
-    return df
+    """A provided table, NaN turned into null; the same plain scan at every size."""
+    return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 # name -> (base table, select expressions)

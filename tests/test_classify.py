@@ -55,3 +55,19 @@ def test_evaluate_model_and_single_records(spark):
     assert min(p.fpr for p in roc) == 0.0 and max(p.tpr for p in roc) == 1.0
     one = classify.score_records(spark, dt, [{"x": 40.0, "z": 1.0}, {"x": 3.0, "z": 2.0}]).collect()
     assert [p.prediction for p in one] == ["hi", "lo"]
+
+
+def test_many_classes(spark):
+    df = spark.range(6000).select(F.col("id"), (F.col("id") % 3000).cast("int").alias("c"))
+    weights = df.select(classify.balanced_weight(df, "c").alias("w")).distinct().collect()
+    assert [r.w for r in weights] == [1.0]
+    drawn = classify.train_baseline(df, "c", "stratified").transform(df, ["id"])
+    assert drawn.select("prediction").distinct().count() > 1000
+
+
+def test_score_records_values(spark):
+    df = spark.range(200).select((F.col("id") / 10).alias("f"), (F.col("id") > 100).cast("int").alias("y"))
+    model = classify.train_decision_tree(df, ["f"], "y", max_depth=2)
+    assert [r.prediction for r in classify.score_records(spark, model, [{"f": 5}, {"f": 15}]).collect()] == [0, 1]
+    with pytest.raises(KeyError):
+        classify.score_records(spark, model, [{"g": 5}])

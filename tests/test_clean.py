@@ -61,3 +61,13 @@ def test_cap_keeps_nulls_and_validates(spark):
 def test_outlier_summary_counts_all_numeric(spark):
     rows = {r.column: (r.n_outliers, r.pct_outliers) for r in clean.outlier_summary(_outliers(spark)).collect()}
     assert set(rows) == {"id", "x", "k"} and rows["k"] == (0, 0.0)
+
+
+def test_constant_widens_integers(spark):
+    df = spark.createDataFrame([(1, 1), (None, 2)], "a int, b int")
+    half = clean.handle_missing(df, {"a": 0.5})
+    assert sorted(r.a for r in half.collect()) == [0.5, 1.0]
+    big = clean.handle_missing(df, {"a": 1 << 40})
+    assert sorted(r.a for r in big.collect()) == [1, 1 << 40]
+    whole = clean.handle_missing(df, {"a": 7.0})
+    assert whole.schema["a"].dataType.simpleString() == "int" and sorted(r.a for r in whole.collect()) == [1, 7]

@@ -66,3 +66,12 @@ def test_hierarchical_exact_on_few_rows_and_pca(spark):
     assert lab[0] == lab[1] == lab[2] and lab[3] == lab[4] and len(set(lab.values())) == 3
     pca = segment.pca_2d(feats, ["id"]).collect()
     assert pca[0].var_ratio_1 == pytest.approx(1.0) and abs(sum(r.pc1 for r in pca)) < 1e-9
+
+
+def test_log_keeps_all_metrics(spark, tmpdir_path):
+    d = tmpdir_path + "/all-metrics"
+    assert experiments.experiments_table(spark, d).count() == 0
+    experiments.log_experiment(spark, d, "m", {}, {"accuracy": 1, "specificity": 0.25})
+    experiments.log_experiment(spark, d, "n", {"a.b": 1}, {"f1": 0.5})
+    rows = {r.model: r for r in experiments.experiments_table(spark, d).collect()}
+    assert (rows["m"]["accuracy"], rows["m"]["specificity"], rows["n"]["specificity"], rows["n"]["param_a.b"]) == (1.0, 0.25, None, "1")

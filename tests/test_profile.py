@@ -51,3 +51,9 @@ def test_describe_numeric_rounds_half_even(spark):
     df = spark.createDataFrame([(0.125,), (0.125,)], "x double")
     r = profile.describe_numeric(df).first()
     assert r.mean == 0.125 and r.q50 == 0.125 and r.std == 0.0
+
+
+def test_one_zero(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "x double")
+    counts = {r.value: r.n for r in profile.value_frequencies(df).collect()}
+    assert sorted(counts.values()) == [1, 2]
