@@ -209,3 +209,15 @@ def test_cross_entropy_paths_agree(spark, empty):
     assert all(a[i].n_tokens == b[i].n_tokens and a[i].score == pytest.approx(b[i].score, rel=1e-5, abs=1e-6) for i in range(120))
     assert a[101].score < a[102].score and a[500].score is None
     assert cross_entropy.score(empty, labels).count() == 0
+
+
+def test_profiles_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n, m = rng.integers(1, 40000, 2)
+        both = rng.integers(0, 1 << 63, rng.integers(0, min(n, m) + 1)).astype("u8")
+        x, y = (segment_join.distinct(np.concatenate([both, rng.integers(0, 1 << 63, k - len(both)).astype("u8")])) for k in (n, m))
+        p, q = segment_join.profile(x), segment_join.profile(y)
+        far = segment_join.least_differences(pa.array([p]), pa.array([q]))[0]
+        near = np.bitwise_count((segment_join.sketch(p) ^ segment_join.sketch(q)).view("u8")).sum()
+        assert near <= far <= len(np.setxor1d(x, y))
