@@ -1,14 +1,18 @@
 """Toxicity by lexicon, Levenshtein automata and context windows.
 
-The lexicon is learned: words of toxic training texts, kept when the G-squared
-statistic and the share of toxic texts among those that hold them are high.
-A trie holds it; the Levenshtein automaton of a text's word runs over the trie
-and finds the terms within one edit. Every hit is scored by its window: quoting
+The lexicon is learned: words (4 to 40 letters) of at least `MIN_DF` toxic
+training texts, kept when the G-squared statistic and the share of toxic texts
+among those that hold them reach `MIN_G2` and `MIN_SHARE`. Counts and statistics
+are computed in Spark for every word, and all words that pass are terms.
+Up to `BROADCAST_TERMS` terms go to every task, where a trie holds them; the Levenshtein automaton of a text's word runs over the trie
+and finds the terms within one edit. Beyond that size the words of the texts are
+joined with the terms on what is left of either with one letter out, which finds
+the same terms. Every hit is scored by its window: quoting
 marks and words of report around it speak for quotation, address and emphasis
 for abuse. A logistic regression over the summed scores gives the probability.
 
 Labels are read only for training rows: those whose crc32(id as text) mod 5 is
-not 0; remainders 1 to 3 make the lexicon (`MAX_TERMS` terms at most), 4 fits
+not 0; remainders 1 to 3 make the lexicon, 4 fits
 the regression on the `FIT_ROWS` rows of the smallest hashes. Label, language,
 source and id are no inputs of a score.
 
@@ -30,12 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 FOLDS = 5
 MIN_DF = 4
 MIN_G2 = 30.0
 MIN_SHARE = 0.6
-MAX_TERMS = 2_000
-MAX_CANDIDATES = 50_000
+BROADCAST_TERMS = 20_000  # tries of so many terms take about 100 MB in a task
+FLUSH = 200_000  # words counted in a task before they are handed on
+SALTS = 16
 FIT_ROWS = 20_000
 BROADCAST_LABELS = 1_000_000
 WINDOW = 6
@@ -130,18 +137,23 @@ class Lexicon:
         got = list(map(self.seen.get, ws))
         if None in got:
             got = [self.look(w) if g is None else g for w, g in zip(ws, got)]
-        exact = fuzzy = abuse = quoted = most = 0.0
-        hits = [i for i, g in enumerate(got) if g[0]]
-        for i in hits:
-            weight, edits = got[i]
-            low = max(0, i - WINDOW)
-            window = ws[low : i + WINDOW + 1]
-            before, after = " ".join(ws[low : i + 1]), " ".join(ws[i : i + WINDOW + 1])
-            quote = bool(_QUOTES.search(before) and _QUOTES.search(after)) + any(w.strip(_TRIM) in _REPORT for w in ws[low:i])
-            heat = any(w.strip(_TRIM) in _ADDRESS for w in window) + ws[i].endswith("!") + sum(got[j][0] > 0 for j in range(low, min(len(ws), i + WINDOW + 1)) if j != i) / 2
-            exact, fuzzy = exact + (edits == 0) * weight, fuzzy + (edits > 0) * weight
-            quoted, abuse, most = quoted + quote * weight, abuse + heat * weight, max(most, weight / (1 + edits))
-        return [math.log1p(exact), math.log1p(fuzzy), math.log1p(abuse), math.log1p(quoted), most, float(len(hits) > 0), math.log1p(100 * len(hits) / (len(ws) + 20)), math.log1p(len(ws))]
+        return window_features(ws, got)
+
+
+def window_features(ws: list[str], got: list[tuple[float, int]]) -> list[float]:
+    """Features of a text from its words and what the lexicon says of each."""
+    exact = fuzzy = abuse = quoted = most = 0.0
+    hits = [i for i, g in enumerate(got) if g[0]]
+    for i in hits:
+        weight, edits = got[i]
+        low = max(0, i - WINDOW)
+        window = ws[low : i + WINDOW + 1]
+        before, after = " ".join(ws[low : i + 1]), " ".join(ws[i : i + WINDOW + 1])
+        quote = bool(_QUOTES.search(before) and _QUOTES.search(after)) + any(w.strip(_TRIM) in _REPORT for w in ws[low:i])
+        heat = any(w.strip(_TRIM) in _ADDRESS for w in window) + ws[i].endswith("!") + sum(got[j][0] > 0 for j in range(low, min(len(ws), i + WINDOW + 1)) if j != i) / 2
+        exact, fuzzy = exact + (edits == 0) * weight, fuzzy + (edits > 0) * weight
+        quoted, abuse, most = quoted + quote * weight, abuse + heat * weight, max(most, weight / (1 + edits))
+    return [math.log1p(exact), math.log1p(fuzzy), math.log1p(abuse), math.log1p(quoted), most, float(len(hits) > 0), math.log1p(100 * len(hits) / (len(ws) + 20)), math.log1p(len(ws))]
 
 
 N_FEATURES = 8
@@ -160,37 +172,42 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
 
 
-def _word_counts(only: frozenset[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count: Counter = Counter()
-            for text in batch.column(0):
-                found = {w.strip(_TRIM) for w in (text.as_py() or "").lower().split()}
-                count.update(found & only if only is not None else (w for w in found if 4 <= len(w) <= 40))
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n_toxic, n_clean) from (text, label): in how many texts of each class a word stands."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
 
-    return run
+    def handed_on() -> pa.RecordBatch:
+        ws = list(counts[0].keys() | counts[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), *(pa.array([c[w] for w in ws], pa.int64()) for c in counts[::-1])], names=["word", "n_toxic", "n_clean"])
+        for c in counts:
+            c.clear()
+        return out
 
+    for batch in batches:
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+            found = {w.strip(_TRIM) for w in (text.as_py() or "").lower().split()}
+            counts[label].update(w for w in found if 4 <= len(w) <= 40)
+            if len(counts[0]) + len(counts[1]) >= FLUSH:
+                yield handed_on()
+    yield handed_on()
 
-def learn_lexicon(train: DataFrame) -> list[tuple[str, float]]:
-    """(term, weight): log odds of the terms, most telling first."""
+
+def learn_lexicon(train: DataFrame) -> DataFrame:
+    """(term, weight, g2) of every word that passes; the weight is its log odds."""
     sizes = {r.label: r.n for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     nt, nc = sizes.get(1, 0), sizes.get(0, 0)
-    if not nt or not nc:
-        return []
-    df = train.where("label = 1").select("text").mapInArrow(_word_counts(None), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    toxic = {r.word: r.n for r in df.where(F.col("n") >= MIN_DF).orderBy(F.desc("n"), "word").limit(MAX_CANDIDATES).collect()}
-    df = train.where("label = 0").select("text").mapInArrow(_word_counts(frozenset(toxic)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    clean = {r.word: r.n for r in df.collect()}
-    terms = []
-    for w, t in toxic.items():
-        c, total = clean.get(w, 0), nt + nc
-        held = t + c
-        g2 = 2 * sum(o * math.log(o * total / (h * s)) for o, h, s in ((t, held, nt), (c, held, nc), (nt - t, total - held, nt), (nc - c, total - held, nc)) if o > 0 and h > 0)
-        if t * nc > c * nt and g2 >= MIN_G2 and t >= MIN_SHARE * held:
-            terms.append((w, math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1)), g2))
-    terms.sort(key=lambda x: (-x[2], x[0]))
-    return [(w, o) for w, o, _ in terms[:MAX_TERMS]]
+    counts = train.where("label in (0, 1)").select("text", "label").mapInArrow(_word_counts, "word string, n_toxic long, n_clean long")
+    t, c, total = F.col("t").cast("double"), F.col("c").cast("double"), float(nt + nc)
+    held = t + c
+
+    def cell(o: Column, h: Column, n: int) -> Column:
+        return F.when((o > 0) & (h > 0) & (n > 0), o * F.log(o * total / (h * float(n)))).otherwise(0.0)
+
+    g2 = 2 * (cell(t, held, nt) + cell(c, held, nc) + cell(nt - t, total - held, nt) + cell(nc - c, total - held, nc))
+    kept = counts.groupBy("word").agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c")).where(F.col("t") >= MIN_DF).withColumn("g2", g2)
+    kept = kept.where((t * nc > c * nt) & (F.col("g2") >= MIN_G2) & (t >= MIN_SHARE * held))
+    weight = F.log((t + 0.5) / (nt + 1.0)) - F.log((c + 0.5) / (nc + 1.0))
+    return kept.select(F.col("word").alias("term"), weight.alias("weight"), "g2")
 
 
 def _scorer(terms: list[tuple[str, float]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -203,6 +220,65 @@ def _scorer(terms: list[tuple[str, float]]) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
+def keys(word: str) -> set[str]:
+    """The word, and what is left of it with one letter out: words within one edit share one of them."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def _term_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(k, *r) for r in zip(*(c.to_pylist() for c in batch.columns)) for k in sorted(keys(r[0]))]
+        yield pa.RecordBatch.from_pylist([dict(zip(("key", "term", "weight", "g2"), r)) for r in rows], schema=pa.schema([("key", pa.string()), ("term", pa.string()), ("weight", pa.float64()), ("g2", pa.float64())]))
+
+
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(k, w) for w in batch.column(0).to_pylist() for k in (sorted(keys(w)) if len(w) >= FUZZY_LENGTH else [w])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["key", "word"])
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (word, term, ...) that the lexicon takes, with their edits."""
+    for batch in batches:
+        found = [Lexicon([(t, 1.0)]).look(w) for w, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        at = pa.array([i for i, (weight, _) in enumerate(found) if weight], pa.int32())
+        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array([e for weight, e in found if weight], pa.int32())], names=["word", "term", "weight", "g2", "edits"])
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, word) of the distinct words of each text that can be or nearly be a term."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            some = batch.slice(k, 512)
+            rows = [(h, w) for h, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()) for w in {w.strip(_TRIM) for w in (t or "").lower().split()} if 4 <= len(w) <= 40]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["h", "word"])
+
+
+def _found_scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text, hits in zip(batch.column(1), batch.column(2)):
+            found = {x["word"]: (x["weight"], x["edits"]) for x in hits.as_py() or []}
+            ws = (text.as_py() or "").lower().split()
+            rows.append(window_features(ws, [found.get(w.strip(_TRIM), (0.0, 0)) for w in ws]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "f"])
+
+
+def _joined_features(rows: DataFrame, kind: str, lexicon: DataFrame) -> DataFrame:
+    """(id, f) of (id, text) by joins: the lexicon is in no task as a whole."""
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).alias("salt")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    known = rows.withColumn("h", F.sha2("text", 256))
+    held = stored(known.select("h", "text").where("text is not null").mapInArrow(_held, "h string, word string").distinct(), "held")
+    near = held.select("word").distinct().mapInArrow(_word_keys, "key string, word string").join(lexicon.mapInArrow(_term_keys, "key string, term string, weight double, g2 double"), "key")
+    near = near.select("word", "term", "weight", "g2").distinct().mapInArrow(_checked, "word string, term string, weight double, g2 double, edits int")
+    best = near.groupBy("word").agg(F.min(F.struct("edits", (-F.col("g2")).alias("rank"), "term", "weight")).alias("b")).select("word", "b.weight", "b.edits")
+    best = stored(best, "near_terms")
+    hits = held.withColumn("salt", salt("h")).join(salted(best), ["word", "salt"]).groupBy("h").agg(F.collect_list(F.struct("word", "weight", "edits")).alias("hits"))
+    full = known.withColumn("salt", salt("id")).join(salted(stored(hits, "hits")), ["h", "salt"], "left")
+    return full.select("id", "text", "hits").mapInArrow(_found_scorer, f"id {kind}, f array<double>")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     """Weights and intercept by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -218,20 +294,24 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(id, held_out, score, predicted), one row per input row."""
     kind = docs.schema[id_col].dataType.simpleString()
     train = _labelled(docs, labels, id_col, text_col, label_col)
-    terms = learn_lexicon(train.where("fold < 4"))
+    lexicon = stored(learn_lexicon(train.where("fold < 4")), "lexicon")
+    if lexicon.count() <= broadcast_terms:
+        terms = [(r.term, r.weight) for r in lexicon.orderBy(F.desc("g2"), "term").collect()]
+        features = lambda df, kind: df.mapInArrow(_scorer(terms), f"id {kind}, f array<double>")
+    else:
+        features = lambda df, kind: _joined_features(df, kind, lexicon)
     part = train.where("fold = 4")
-    rows = part.select(F.struct("id", "label").alias("id"), "text").mapInArrow(_scorer(terms), f"id struct<id: {kind}, label: int>, f array<double>")
+    rows = features(part.select(F.struct("id", "label").alias("id"), "text"), f"struct<id: {kind}, label: int>")
     fit = rows.orderBy(F.xxhash64("id.id"), "id.id", "f").limit(FIT_ROWS).collect()
     y = np.array([r.id.label for r in fit], float)
     if len(fit):
         w = logistic(np.array([r.f for r in fit]).reshape(-1, N_FEATURES), y)
     else:
         w = np.zeros(N_FEATURES + 1)
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    scored = slim.mapInArrow(_scorer(terms), f"id {kind}, f array<double>")
+    scored = features(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), kind)
     z = F.lit(float(w[-1])) + sum((F.col("f")[k] * F.lit(float(w[k])) for k in range(N_FEATURES)), F.lit(0.0))
     return scored.select(F.col("id").alias(id_col), (fold(F.col("id")) == 0).alias("held_out"), (1 / (1 + F.exp(-z))).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

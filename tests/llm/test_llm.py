@@ -192,6 +192,19 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, labels).count() == 0 and toxicity.score(df, labels.limit(0)).count() == len(rows)
 
 
+def test_toxicity_keeps_every_term(spark):
+    """More terms pass than the earlier limit of 2,000; the join finds what the trie finds."""
+    bad = [f"bad{'abcdefghij'[k % 10]}{k:04d}x" for k in range(2300)]
+    rows = [(i, " ".join(bad[i // 2 % 2 :: 2]) if i % 2 else f"fine words number{i} you", "en", "s", 0) for i in range(210)]
+    rows += [(1000, "you " + bad[3][:-1] + "!", "en", "s", 0), (1000, "said quoted " + bad[4], "en", "s", 0), (None, None, "en", "s", 0), (None, bad[5], "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(210)], "doc_id long, quality int, toxic int")
+    train = toxicity._labelled(df, labels, "doc_id", "text", "toxic").where("fold < 4")
+    assert {r[0] for r in train.transform(toxicity.learn_lexicon).collect()} == set(bad)
+    a, b = (sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.score(df, labels, **k).collect()) for k in ({}, {"broadcast_terms": 0}))
+    assert a == b and len(a) == len(rows)
+
+
 def test_licences(spark, empty):
     rows = [(1, "Hello\nReleased under the MIT License.", "en", "s", 0), (2, "the license of the car is under review", "en", "s", 0), (3, None, "en", "s", 0)]
     got = [(r.doc_id, r.paragraph, r.family) for r in licences.scan(spark.createDataFrame(rows, SCHEMA)).collect()]
