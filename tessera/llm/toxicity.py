@@ -5,9 +5,12 @@ training texts, kept when the G-squared statistic and the share of toxic texts
 among those that hold them reach `MIN_G2` and `MIN_SHARE`. Counts and statistics
 are computed in Spark for every word, and all words that pass are terms.
 Up to `BROADCAST_TERMS` terms go to every task, where a trie holds them; the Levenshtein automaton of a text's word runs over the trie
-and finds the terms within one edit. Beyond that size the words of the texts are
-joined with the terms on what is left of either with one letter out, which finds
-the same terms. Every hit is scored by its window: quoting
+and finds the terms within one edit. A swap of two neighbouring letters is one
+edit; terms of `LONG` letters or more are found within two edits. Words shorter
+than `FUZZY_LENGTH` are found by one substitution or swap, and such a hit counts
+only where its window speaks for abuse rather than quotation. Beyond that size
+the words of the texts are joined with the terms on what is left of either with
+one or two letters out, which finds the same terms. Every hit is scored by its window: quoting
 marks and words of report around it speak for quotation, address and emphasis
 for abuse. A logistic regression over the summed scores gives the probability.
 
@@ -38,7 +41,7 @@ from .common import stored
 
 FOLDS = 5
 MIN_DF = 4
-MIN_G2 = 30.0
+MIN_G2 = 12.0
 MIN_SHARE = 0.6
 BROADCAST_TERMS = 20_000  # tries of so many terms take about 100 MB in a task
 FLUSH = 200_000  # words counted in a task before they are handed on
@@ -46,7 +49,9 @@ SALTS = 16
 FIT_ROWS = 20_000
 BROADCAST_LABELS = 1_000_000
 WINDOW = 6
-FUZZY_LENGTH = 5  # shorter words are matched exactly
+FUZZY_LENGTH = 5  # shorter words are found by substitution or swap, under the guard of their window
+LONG = 10  # terms of so many letters are found within two edits
+MAX_WORD = 40
 _TRIM = "\"'`.,;:!?()[]{}<>*#$%&|~_-+=/\\«»“”„‘’…"
 _QUOTES = re.compile("[\"«»“”„]")
 #: Words of report and of address.
@@ -54,6 +59,44 @@ _REPORT = frozenset("said says wrote quoted quote quoting called word words term
 _ADDRESS = frozenset("you your youre u du dich dein ihr tu te toi vous votre tú usted eres sois".split())
 
 
+def distance(a: str, b: str) -> int:
+    """Edits between two words; a swap of neighbours is one, no letter is edited twice."""
+    old, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, old[j - 2] + 1)
+            new.append(d)
+        old, row = row, new
+    return row[-1]
+
+
+def taken(word: str, term: str) -> int | None:
+    """The edits of a word that is taken for a term, else None."""
+    if word == term:
+        return 0
+    if len(word) > MAX_WORD or len(word) < FUZZY_LENGTH and len(word) != len(term) or abs(len(word) - len(term)) > 2:
+        return None
+    edits = distance(word, term)
+    return edits if edits <= (2 if len(term) >= LONG and len(word) >= FUZZY_LENGTH else 1) else None
+
+
+def keys(word: str, edits: int) -> set[str]:
+    """The word, and what is left of it with up to `edits` letters out: words within so many edits share one of them."""
+    out = last = {word}
+    for _ in range(edits):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def cut(w: str) -> tuple[str, ...]:
+    """Five letters with one of them out."""
+    return w[1:], w[0] + w[2:], w[:2] + w[3:], w[:3] + w[4], w[:4]
+
+
 class Trie:
     """Lexicon terms by letter; '' marks the end of a term and holds its number."""
 
@@ -68,6 +111,19 @@ class Trie:
         self.exact = {t: k for k, t in enumerate(terms)}
         # One edit leaves the first or the second half of a term as it is.
         self.heads, self.tails = {(len(t), t[: len(t) // 2]) for t in terms}, {(len(t), t[len(t) // 2 :]) for t in terms}
+        self.terms, self.left, self.gaps, self.letters = terms, {}, {}, {}
+        for k, term in enumerate(terms):
+            self.letters.setdefault("".join(sorted(term)), []).append(k)
+            if len(term) >= LONG:
+                for x in keys(term, 2):
+                    self.left.setdefault(x, []).append(k)
+            elif len(term) < FUZZY_LENGTH:
+                for i in range(len(term)):
+                    self.gaps.setdefault((i, term[:i] + term[i + 1 :]), []).append(k)
+        # Two edits leave the first or the last five letters of a long term within one edit of the word's,
+        # so that both have something left in common with one letter out.
+        self.lengths = {len(t) + d for t in terms if len(t) >= LONG for d in (-2, -1, 0, 1, 2)}
+        self.starts, self.ends = ({x for t in terms if len(t) >= LONG for x in cut(part(t))} for part in (lambda t: t[:5], lambda t: t[-5:]))
 
     @staticmethod
     def _walk(node: dict, word: str, at: int) -> list[tuple[int, int]]:
@@ -110,6 +166,23 @@ class Trie:
                     found += self._walk(node, letters, k)
         return min(found)[::-1] if found else None
 
+    def nearest(self, word: str) -> tuple[int, int] | None:
+        """(term, edits) of the nearest term that the word is taken for; ties: the first term."""
+        k = self.exact.get(word)
+        if k is not None:
+            return k, 0
+        n = len(word)
+        found = [(1, k) for k in self.letters.get("".join(sorted(word)), ()) if distance(word, self.terms[k]) == 1]
+        if n < FUZZY_LENGTH:
+            found += [(1, k) for i in range(n) for k in self.gaps.get((i, word[:i] + word[i + 1 :]), ())]
+        elif n <= MAX_WORD:
+            if near := self.near(word):
+                found.append(near[::-1])
+            if not found and n in self.lengths and not (self.starts.isdisjoint(cut(word[:5])) and self.ends.isdisjoint(cut(word[-5:]))):
+                may = {k for x in keys(word, 2) if x in self.left for k in self.left[x]}
+                found += [(e, k) for k in may if (e := taken(word, self.terms[k])) is not None]
+        return min(found)[::-1] if found and n <= MAX_WORD else None
+
 
 class Lexicon:
     def __init__(self, terms: list[tuple[str, float]], cache: int = 300_000) -> None:
@@ -119,13 +192,9 @@ class Lexicon:
     def look(self, raw: str) -> tuple[float, int]:
         """(weight, edits) of a word as it stands in the text, lower-cased; weight 0: no term."""
         word, found = raw.strip(_TRIM), (0.0, 0)
-        k = self.trie.exact.get(word)
-        if k is not None:
-            found = (self.weights[k], 0)
-        elif FUZZY_LENGTH <= len(word) <= 40:
-            near = self.trie.near(word)
-            if near and len(word) + near[1] >= FUZZY_LENGTH:
-                found = (self.weights[near[0]], near[1])
+        near = self.trie.nearest(word)
+        if near:
+            found = (self.weights[near[0]], near[1])
         if len(self.seen) >= self.cache:
             self.seen.clear()
         if len(raw) <= 64:
@@ -143,17 +212,21 @@ class Lexicon:
 def window_features(ws: list[str], got: list[tuple[float, int]]) -> list[float]:
     """Features of a text from its words and what the lexicon says of each."""
     exact = fuzzy = abuse = quoted = most = 0.0
-    hits = [i for i, g in enumerate(got) if g[0]]
+    unsure = {i for i, g in enumerate(got) if g[0] and g[1] and len(ws[i].strip(_TRIM)) < FUZZY_LENGTH}
+    hits, n_hits = [i for i, g in enumerate(got) if g[0]], 0
     for i in hits:
         weight, edits = got[i]
         low = max(0, i - WINDOW)
         window = ws[low : i + WINDOW + 1]
         before, after = " ".join(ws[low : i + 1]), " ".join(ws[i : i + WINDOW + 1])
         quote = bool(_QUOTES.search(before) and _QUOTES.search(after)) + any(w.strip(_TRIM) in _REPORT for w in ws[low:i])
-        heat = any(w.strip(_TRIM) in _ADDRESS for w in window) + ws[i].endswith("!") + sum(got[j][0] > 0 for j in range(low, min(len(ws), i + WINDOW + 1)) if j != i) / 2
+        heat = any(w.strip(_TRIM) in _ADDRESS for w in window) + ws[i].endswith("!") + sum(got[j][0] > 0 for j in range(low, min(len(ws), i + WINDOW + 1)) if j != i and j not in unsure) / 2
+        if i in unsure and heat <= quote:
+            continue
+        n_hits += 1
         exact, fuzzy = exact + (edits == 0) * weight, fuzzy + (edits > 0) * weight
         quoted, abuse, most = quoted + quote * weight, abuse + heat * weight, max(most, weight / (1 + edits))
-    return [math.log1p(exact), math.log1p(fuzzy), math.log1p(abuse), math.log1p(quoted), most, float(len(hits) > 0), math.log1p(100 * len(hits) / (len(ws) + 20)), math.log1p(len(ws))]
+    return [math.log1p(exact), math.log1p(fuzzy), math.log1p(abuse), math.log1p(quoted), most, float(n_hits > 0), math.log1p(100 * n_hits / (len(ws) + 20)), math.log1p(len(ws))]
 
 
 N_FEATURES = 8
@@ -220,29 +293,24 @@ def _scorer(terms: list[tuple[str, float]]) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def keys(word: str) -> set[str]:
-    """The word, and what is left of it with one letter out: words within one edit share one of them."""
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
-
-
 def _term_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(k, *r) for r in zip(*(c.to_pylist() for c in batch.columns)) for k in sorted(keys(r[0]))]
+        rows = [(k, *r) for r in zip(*(c.to_pylist() for c in batch.columns)) for k in sorted(keys(r[0], 2 if len(r[0]) >= LONG else 1))]
         yield pa.RecordBatch.from_pylist([dict(zip(("key", "term", "weight", "g2"), r)) for r in rows], schema=pa.schema([("key", pa.string()), ("term", pa.string()), ("weight", pa.float64()), ("g2", pa.float64())]))
 
 
 def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(k, w) for w in batch.column(0).to_pylist() for k in (sorted(keys(w)) if len(w) >= FUZZY_LENGTH else [w])]
+        rows = [(k, w) for w in batch.column(0).to_pylist() for k in sorted(keys(w, 2 if len(w) >= LONG - 2 else 1))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["key", "word"])
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (word, term, ...) that the lexicon takes, with their edits."""
     for batch in batches:
-        found = [Lexicon([(t, 1.0)]).look(w) for w, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        at = pa.array([i for i, (weight, _) in enumerate(found) if weight], pa.int32())
-        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array([e for weight, e in found if weight], pa.int32())], names=["word", "term", "weight", "g2", "edits"])
+        found = [taken(w, t) for w, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        at = pa.array([i for i, e in enumerate(found) if e is not None], pa.int32())
+        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array([e for e in found if e is not None], pa.int32())], names=["word", "term", "weight", "g2", "edits"])
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

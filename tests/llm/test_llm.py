@@ -192,6 +192,30 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, labels).count() == 0 and toxicity.score(df, labels.limit(0)).count() == len(rows)
 
 
+def test_nearest_term_equals_edit_distance_with_swaps():
+    rnd = random.Random(8)
+    terms = sorted({"".join(rnd.choice("abc") for _ in range(rnd.choice([4, 4, 5, 7, 10, 12]))) for _ in range(60)})
+    trie = toxicity.Trie(terms)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(3, 15))) for _ in range(800)]
+    for t in terms * 4:
+        w = list(t)
+        for _ in range(rnd.randrange(3)):
+            i = rnd.randrange(len(w) - 1)
+            w[i : i + 2] = rnd.choice([[w[i + 1], w[i]], [w[i]], [w[i], "d", w[i + 1]], ["d", w[i + 1]]])
+        words.append("".join(w))
+    for w in words:
+        want = min(((e, k) for k, t in enumerate(terms) if (e := toxicity.taken(w, t)) is not None), default=None)
+        assert trie.nearest(w) == (want and want[::-1])
+    look = toxicity.Lexicon([("idiot", 2.0), ("stupid", 2.0), ("scumbagging", 2.0), ("jerk", 2.0)]).look
+    assert [look(w) for w in ("idoit", "sutpid", "scmbaging", "jrek", "jexk", "jek", "jerk", "the")] == [(2.0, 1), (2.0, 1), (2.0, 2), (2.0, 1), (2.0, 1), (0.0, 0), (2.0, 0), (0.0, 0)]
+
+
+def test_short_misspelling_counts_only_where_the_window_is_abusive():
+    lexicon = toxicity.Lexicon([("jerk", 2.0)])
+    assert lexicon.features("you are a j3rk")[5] == 1 and lexicon.features("the red j3rk stands there")[5] == 0
+    assert lexicon.features('they said the word "j3rk" to you')[5] == 0 and lexicon.features("the red jerk stands there")[5] == 1
+
+
 def test_toxicity_keeps_every_term(spark):
     """More terms pass than the earlier limit of 2,000; the join finds what the trie finds."""
     bad = [f"bad{'abcdefghij'[k % 10]}{k:04d}x" for k in range(2300)]
