@@ -52,7 +52,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ .()/-]{0,2}[0-9]){5,}(?![0-9A-Za-z])")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\(dot\)|\[dot\]|\bdot\b) ?)[A-Za-z0-9-]{1,63}){1,4}")
+# What follows the local part of a written-out address, in either case; no address without it.
+_HOST = r"(?:@|\([Aa][Tt]\)|\[[Aa][Tt]\]|\b[Aa][Tt]\b) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\([Dd][Oo][Tt]\)|\[[Dd][Oo][Tt]\]|\b[Dd][Oo][Tt]\b) ?)[A-Za-z0-9-]{1,63}){1,4}"
+_SPELLED_HOST = re.compile(_HOST)
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?" + _HOST)
+_AT, _DOT = re.compile(r"@|\([Aa][Tt]\)|\[[Aa][Tt]\]| [Aa][Tt] "), re.compile(r"\.|\([Dd][Oo][Tt]\)|\[[Dd][Oo][Tt]\]| [Dd][Oo][Tt] ")
 _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 
 
@@ -99,7 +103,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def regions(text: str) -> list[tuple[int, int]]:
     found = [m.span() for m in _NUMBER.finditer(text)] if _DIGIT.search(text) else []
-    if "@" in text or "dot" in text:
+    if _SPELLED_HOST.search(text):
         found += [m.span() for m in _SPELLED.finditer(text)]
     merged: list[list[int]] = []
     for a, b in sorted(found):
@@ -129,8 +133,8 @@ def features(text: str, a: int, b: int) -> list[str]:
         out.append("phone length")
     if len(groups) == 4 and re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", s):
         out.append(f"octets {all(len(g) <= 3 and int(g) <= 255 for g in groups)}")
-    if at := re.search(r"@|\(at\)|\[at\]| at ", s):
-        tail = re.split(r"\.|\(dot\)|\[dot\]| dot ", s[at.end() :])
+    if at := _AT.search(s):
+        tail = _DOT.split(s[at.end() :])
         out.append(f"address {len(tail) > 1 and all(t.strip() for t in tail)} {2 <= len(tail[-1].strip()) <= 6}")
     return out
 
@@ -147,7 +151,7 @@ class Lattice:
                 continue
             for j in range(i + 1, min(n, i + MAX_ATOMS) + 1):
                 a, b = self.atoms[i][0], self.atoms[j - 1][1]
-                if not text[b - 1].isspace() and (_DIGIT.search(text, a, b) or "@" in text[a:b] or "at" in text[a:b]):
+                if not text[b - 1].isspace() and (_DIGIT.search(text, a, b) or "@" in text[a:b] or "at" in text[a:b].lower()):
                     self.segments.append((i, j, features(text, a, b)))
 
 

@@ -164,6 +164,36 @@ def test_personal_data(spark, docs, empty):
         assert pii.emails(t) == [m.span() for m in pii.EMAIL.finditer(t)]
 
 
+def test_personal_data_adds_every_rewritten_form(spark):
+    """Each form in a text without another hint of an address; the model learns from plain matches."""
+    rnd = random.Random(6)
+    name = lambda: "".join(rnd.choice("bcfgklmnprsuv") + rnd.choice("eiou") for _ in range(rnd.randrange(2, 5)))
+    digits = lambda n: "".join(rnd.choice("123456789") for _ in range(n))
+    texts = [f"please write to {name()}.{name()}@{name()}.{rnd.choice(['com', 'org', 'net'])} for the {name()} of us" for _ in range(300)]
+    texts += [f"please ring us on +1 {digits(3)} {digits(3)} {digits(4)} in the {name()} of us" for _ in range(150)]
+    cards = [f"4111 1111 1111 {k}" for k in range(1000, 10000) if pii.luhn(f"411111111111{k}")]
+    texts += [f"please charge {c} for the {name()} of us" for c in cards[:150]]
+    texts += [f"we met {name()} at noon on 2021-0{d}-1{d} with {digits(9)} {name()}" for d in range(1, 10)]
+    model = pii.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    plain = {0: "john.smith@example.com", 2: "4111 1111 1111 1111", 3: "+1 212 555 7713"}
+    planted = []
+    for kind, s in plain.items():
+        for form, a, b, k in pii.rewritten(s, (0, len(s), kind)):
+            if k == kind:
+                upper = form.replace(" at ", " AT ").replace("(at)", "(AT)").replace("[at]", "[At]").replace("dot", "DOT")
+                planted += [(f, kind) for f in sorted({form, upper})]
+    assert len(planted) == 12
+    for form, kind in planted:
+        text = f"please write to {form} for the rest"
+        at = text.index(form)
+        assert not pii.base_spans(text)
+        assert (at, at + len(form), kind) in pii.added_spans(model, text, []), form
+        found = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), model=model, with_text=True).first() if "(at)" in form else None
+        assert found is None or found.clean_text == "please write to [EMAIL] for the rest"
+    for text in ["we met at noon", "meet me at home. The door", "@ the dot", "antidote at work"]:
+        assert pii.added_spans(model, text, []) == [] and pii.regions(text) == [m.span() for m in pii._SPELLED.finditer(text)]
+
+
 def test_automaton_equals_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
