@@ -36,9 +36,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each group."""
-    first = segment_join.join_groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group stays: the first by id (null ids last), then by a
+    hash of all columns. Rows are told apart by all columns, so neither a null id nor
+    one that stands with several texts matters. Rows without words are in no group and stay."""
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.sha2(F.concat(*map(part, COLUMNS)), 256).alias("key")).alias("row"), *COLUMNS)
+    groups = stored(segment_join.join_groups(named, id_col="row"), "near_duplicates")
+    first = groups.where((F.col("row") == F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("row.key").alias("key"), (F.col("n_shingles") > 0).alias("linked")).distinct()
+    kept = named.withColumn("key", F.col("row.key")).join(first, "key")
+    # Exact repeats of a row share its key: one stays, but all of a row without words.
+    one = kept.where("linked").dropDuplicates(["key"])
+    return one.unionByName(kept.where("NOT linked")).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +70,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("encoding", encoding)]
 
-#: Encoding and span detection have no SQL; tests compare the pipeline with a brute-force version.
+#: Encoding and span detection have no SQL; a test compares near_duplicates with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 import public_tokenizers as tokenizer_files
 import pytest
 
+import corpus_pipeline
 from tessera.llm import bpe_tree, containment, cross_entropy, licences, line_rules, orc_tokens, pii, segment_join, token_counts, toxicity
 from tessera.llm.wordbpe import ByteBpe, WordBpe
 
@@ -114,6 +115,32 @@ def test_segment_join_equals_brute_force(spark, empty, monkeypatch):
     assert segment_join.join_groups(empty).count() == 0
 
 
+def test_near_duplicates_stage_equals_brute_force(spark, empty):
+    """Null ids, ids with several texts, copies across them and rows without words."""
+    rnd = random.Random(9)
+    base = [" ".join(f"g{g}w{rnd.randrange(400)}" for _ in range(60)) for g in range(8)]
+    texts = base + [b.replace(b.split()[30], "other") for b in base[:5]] + [base[0], base[0].upper(), None, "", "x y"]
+    rows = [(rnd.choice([None, 1, 2, 3, 4, 5]), t, "en", rnd.choice(["a", None]), len(t or "")) for t in texts * 2]
+    rows += [(None, "a clean text that has no id and no copy", "en", "a", 7), (9, base[6], "en", "a", 1), (9, "a clean text beside a copy under one id", "en", "a", 1)] + [(None, None, "de", None, None)] * 2
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    group = _jaccard_groups([(i, r[1]) for i, r in enumerate(rows)])
+    lone = [r for i, r in enumerate(rows) if not group[i][0]]
+    members = {}
+    for i, r in enumerate(rows):
+        if group[i][0]:
+            members.setdefault(group[i][1], []).append(r)
+    kept = [tuple(r) for r in got]
+    assert len(kept) == len(members) + len(lone)
+    assert sorted(map(str, lone)) == sorted(str(r) for r in kept if not (r[1] or "").split())
+    for rs in members.values():
+        here = [r for r in kept if r in rs]
+        low = min((r[0] is None, r[0] or 0) for r in rs)
+        assert len(here) == 1 and (here[0][0] is None, here[0][0] or 0) == low
+    again = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows[::-1], SCHEMA).repartition(3), "").collect()
+    assert sorted(map(str, map(tuple, again))) == sorted(map(str, kept))
+    assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+
+
 def test_one_deletion_signatures_find_close_sets(monkeypatch):
     """With few segments sets fall short, and the spared segments make up for it."""
     monkeypatch.setattr(segment_join, "segments", lambda band: 14)
