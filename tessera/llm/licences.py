@@ -1,24 +1,30 @@
 """Licence scans: a trained passage classifier confirmed by templates.
 
 Templates of the licence families (fixed texts) give the vocabulary of word
-n-grams (1 to 3). In a paragraph (a line), stretches where template bigrams
-stand close together are passages. A softmax regression over the sparse
+n-grams (1 to 3). In a line, and in a block (lines up to one without words, as
+notices are wrapped), stretches where template bigrams stand close together are
+passages. A softmax regression over the sparse
 n-grams of a passage names the family or "unknown". It is trained here on
 windows of the templates with words dropped, against shuffled template words
 and passages of the corpus (`SAMPLE` at most, of the smallest hashes), where a
 passage that holds a whole template sentence is not taken as unknown. Its
 temperature is then calibrated on passages kept back. A prediction counts when its
 probability reaches `MIN_PROBABILITY` and a template confirms it: the passage
-holds at least `MIN_OVERLAP` of the word trigrams of one of its sentences.
+holds at least `MIN_OVERLAP` of the word trigrams of one of its sentences. A block
+is then searched for sentences that no line gave: the one with the most trigrams
+there is taken, its trigrams are spent, and so on, so that each family with
+enough trigrams of its own is returned.
 
 Defined results: null or blank texts have no passages; a null id and repeated
-rows pass through; the result has one row per licence passage; other columns
+rows pass through; the result has one row per licence passage, whose paragraph is
+the line it begins in; other columns
 are not read; an empty table gives no rows."""
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -75,11 +81,8 @@ _BIGRAMS = frozenset(g for g in VOCABULARY if g.count(" ") == 1)
 _HINT = re.compile(r"licen|copyright|permission|redistribut|cc0|cc by|public domain|unencumbered", re.I)
 
 
-def passages(line: str) -> list[list[str]]:
-    """Word stretches of a paragraph in which template bigrams stand close together."""
-    if not _HINT.search(line):
-        return []
-    ws = words(line)
+def _stretches(ws: list[str]) -> list[tuple[int, int]]:
+    """(first word, word after the last) where template bigrams stand close together."""
     at = [i for i in range(len(ws) - 1) if f"{ws[i]} {ws[i + 1]}" in _BIGRAMS]
     out, k = [], 0
     while k < len(at):
@@ -87,11 +90,77 @@ def passages(line: str) -> list[list[str]]:
         while j + 1 < len(at) and at[j + 1] - at[j] <= GAP:
             j += 1
         if j > k:
-            out.append(ws[at[k] : at[j] + 2])
+            out.append((at[k], at[j] + 2))
         k = j + 1
     return out
 
 
+def passages(line: str) -> list[list[str]]:
+    """Word stretches of a paragraph in which template bigrams stand close together."""
+    if not _HINT.search(line):
+        return []
+    ws = words(line)
+    return [ws[a:b] for a, b in _stretches(ws)]
+
+
+def blocks(text: str) -> Iterator[list[tuple[int, str]]]:
+    """(line number, line) of the lines between lines without words, where one of them has a hint."""
+    block: list[tuple[int, str]] = []
+    for k, line in enumerate([*text.split("\n"), ""]):
+        if WORD.search(line.lower()):
+            block.append((k, line))
+        else:
+            if block and _HINT.search(" ".join(x for _, x in block)):
+                yield block
+            block = []
+
+
+_SENTENCES = [(f, words(t)) for f, ts in TEMPLATES.items() for t in ts]
+_HOLDERS: dict[str, list[int]] = {}
+for _k, (_, _ws) in enumerate(_SENTENCES):
+    for _g in sorted(set(grams(_ws, 3, 3))):
+        _HOLDERS.setdefault(_g, []).append(_k)
+_SIZES = [len(set(grams(ws, 3, 3))) for _, ws in _SENTENCES]
+
+
+def confirmed(ws: list[str]) -> list[tuple[int, int, str, float]]:
+    """(first word, word after the last, family, share) of the template sentences in a passage.
+    A trigram of the passage counts for one sentence only."""
+    at: dict[int, list[tuple[int, str]]] = {}
+    for i in range(len(ws) - 2):
+        g = f"{ws[i]} {ws[i + 1]} {ws[i + 2]}"
+        for k in _HOLDERS.get(g, ()):
+            at.setdefault(k, []).append((i, g))
+    spent: set[int] = set()
+    out = []
+
+    def best_of(k: int) -> tuple[int, float, int, list[int]] | None:
+        """(trigrams, share, -first, positions) of the fullest window of a sentence."""
+        free, best, low = [x for x in at[k] if x[0] not in spent], None, 0
+        if len(free) < MIN_OVERLAP * _SIZES[k]:
+            return None
+        wide, held = 2 * len(_SENTENCES[k][1]) + GAP, Counter()
+        for high, (i, g) in enumerate(free):
+            held[g] += 1
+            while i - free[low][0] > wide or held[free[low][1]] > 1:
+                held[free[low][1]] -= 1
+                if not held[free[low][1]]:
+                    del held[free[low][1]]
+                low += 1
+            if len(held) >= MIN_OVERLAP * _SIZES[k] and (best is None or len(held) > best[0]):
+                best = (len(held), len(held) / _SIZES[k], -free[low][0], [x for x, _ in free[low : high + 1]])
+        return best
+
+    found = {k: b for k in at if (b := best_of(k))}
+    while found:
+        k = max(found, key=lambda k: (*found[k][:3], -k))
+        _, share, _, places = found.pop(k)
+        spent.update(places)
+        out.append((places[0], places[-1] + 3, _SENTENCES[k][0], share))
+        found = {j: b for j in [*found, k] if (b := (found[j] if j in found and spent.isdisjoint(found[j][3]) else best_of(j)))}
+    return sorted(out)
+
+
 def overlap(ws: list[str], family: str) -> float:
     """Largest share of a template sentence's trigrams that the passage holds."""
     held = set(grams(ws, 3, 3))
@@ -106,6 +175,11 @@ class Classifier:
         at = [VOCABULARY[g] for g in set(grams(ws)) if g in VOCABULARY]
         return self.weights[at].sum(axis=0) + self.weights[-1]
 
+    def chance(self, ws: list[str], family: str) -> float:
+        z = self.logits(ws) / self.heat
+        p = np.exp(z - z.max())
+        return float(p[FAMILIES.index(family)] / p.sum())
+
     def predict(self, ws: list[str]) -> tuple[str, float]:
         z = self.logits(ws) / self.heat
         p = np.exp(z - z.max())
@@ -150,11 +224,38 @@ def train(corpus: list[list[str]], seed: int = 7) -> Classifier:
 
 def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = {" ".join(p) for t in batch.column(0) for line in (t.as_py() or "").split("\n") for p in passages(line)}
+        found = {" ".join(p) for t in batch.column(0) for block in blocks(t.as_py() or "") for p in passages(" ".join(line for _, line in block))}
         rows = sorted((xxhash.xxh3_64_intdigest(p.encode()) >> 1, p) for p in found)[:SAMPLE]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["h", "passage"])
 
 
+def notices(model: Classifier, block: list[tuple[int, str]]) -> list[tuple[int, str, float, float, str]]:
+    """(paragraph, family, probability, overlap, passage) of the licence passages of a block."""
+    out, done, ws, line_of = [], [], [], []
+    for k, line in block:
+        here, first = words(line), len(ws)
+        ws += here
+        line_of += [k] * len(here)
+        if not _HINT.search(line):
+            continue
+        for a, b in _stretches(here):
+            f, p = model.predict(here[a:b])
+            o = overlap(here[a:b], f)
+            if f != UNKNOWN and p >= MIN_PROBABILITY and o >= MIN_OVERLAP:
+                out.append((k, f, p, o, " ".join(here[a:b])))
+                done.append((first + a, first + b, f))
+    for low, high in _stretches(ws):
+        for a, b, f, o in confirmed(ws[low:high]):
+            a, b = a + low, b + low
+            if any(x < b and a < y and g == f for x, y, g in done):
+                continue
+            p = model.chance(ws[a:b], f)
+            if p >= MIN_PROBABILITY:
+                out.append((line_of[a], f, p, o, " ".join(ws[a:b])))
+                done.append((a, b, f))
+    return sorted(out, key=lambda r: r[0])
+
+
 def _scanner(model: Classifier) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,13 +264,11 @@ def _scanner(model: Classifier) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 raw = t.as_py() or ""
                 if not _HINT.search(raw):
                     continue
-                for k, line in enumerate(raw.split("\n")):
-                    for ws in passages(line):
-                        f, p = model.predict(ws)
-                        o = overlap(ws, f)
-                        if f != UNKNOWN and p >= MIN_PROBABILITY and o >= MIN_OVERLAP:
-                            for x, v in zip((at, lines, family, chance, share, text), (i, k, f, p, o, " ".join(ws))):
-                                x.append(v)
+                for block in blocks(raw):
+                    for row in notices(model, block):
+                        at.append(i)
+                        for x, v in zip((lines, family, chance, share, text), row):
+                            x.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(lines, pa.int32()), pa.array(family, pa.string()), pa.array(chance, pa.float64()), pa.array(share, pa.float64()), pa.array(text, pa.string())], names=["id", "paragraph", "family", "probability", "overlap", "passage"])
 
     return run

@@ -292,6 +292,25 @@ def test_licences(spark, empty):
     assert got == [(1, 1, "MIT")] and licences.scan(empty).count() == 0
 
 
+def test_wrapped_and_joint_licences(spark):
+    notices = {
+        "BSD": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+        "LGPL": " * This library is free software under the terms of the GNU Lesser\n * General Public License as published by the Free Software Foundation",
+        "GPL": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU\nGeneral Public License as published by the Free Software Foundation; either version 2",
+        "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed",
+        "ISC": "Permission to use, copy, modify, and/or distribute this\nsoftware for any purpose with or without\nfee is hereby granted, provided that",
+    }
+    rows = [(f, f"Some first words\n\n{t}\n\nand more") for f, t in notices.items()]
+    rows += [("two", "Licensed under the MIT License or the Apache License, Version 2.0"), ("lines", "Released under the MIT License\nLicensed under CC BY-SA 4.0\nReleased under the MIT License"),
+             ("none", "the terms of the trip are subject to\npermission of the free\nsoftware group and the public"), ("sa", "This work is licensed under a Creative Commons\nAttribution ShareAlike 4.0 International License")]
+    got = {}
+    for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph, r.family))
+    assert sorted(got.pop("two")) == [(0, "Apache-2.0"), (0, "MIT")]
+    assert sorted(got.pop("lines")) == [(0, "MIT"), (1, "CC-BY-SA"), (2, "MIT")] and got.pop("sa") == [(0, "CC-BY-SA")]
+    assert got == {f: [(2, f)] for f in notices}
+
+
 def test_cross_entropy_paths_agree(spark, empty):
     rnd = random.Random(4)
     good = lambda: " ".join(rnd.choice(["red", "green", "blue", "cat", "dog"]) for _ in range(40))
