@@ -489,7 +489,11 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = pairs.select(F.col("a").alias("name"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("name"), F.col("nb").alias("n"))).unionByName(crowds.select("name", "n")).distinct()
     chosen = holders.select("name", "n", "id").join(asked, ["name", "n"], "left_semi")
     texts = slim.join(chosen.select("id"), "id", "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_sets, "name long, n int, items binary"), "sets")
+    found_sets = texts.mapInArrow(_sets, "name long, n int, items binary")
+    # A set that only rows without an id have is fetched by its name.
+    nameless = slim.where("id IS NULL").select("text").mapInArrow(_sets, "name long, n int, items binary")
+    nameless = nameless.join(chosen.where("id IS NULL").select("name", "n"), ["name", "n"], "left_semi").dropDuplicates(["name", "n"])
+    sets = stored(found_sets.unionByName(nameless), "sets")
 
     ends = pairs.select("a", "na", "b", "nb", "times", F.col("a").alias("u"), F.col("na").alias("nu")).unionByName(pairs.select("a", "na", "b", "nb", "times", F.col("b").alias("u"), F.col("nb").alias("nu")))
     best = ends.groupBy("u", "nu").agg(F.max(F.struct("times", "a", "na", "b", "nb")).alias("p")).select("p.a", "p.na", "p.b", "p.nb").distinct()

@@ -141,6 +141,15 @@ def test_near_duplicates_stage_equals_brute_force(spark, empty):
     assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
 
 
+def test_segment_join_links_through_rows_without_an_id(spark):
+    """The outer documents are linked only through a row whose id is null."""
+    ws = [f"w{k}" for k in range(104)]
+    rows = [(5, " ".join(ws)), (None, " ".join(ws[:-10])), (None, " ".join(ws[:-10])), (7, " ".join(ws[:-30])), (9, "one of its own"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in segment_join.join_groups(df).collect())
+    assert got == [("5", 100, "5"), ("7", 70, "5"), ("9", 1, "9"), ("None", 0, "None"), ("None", 90, "5"), ("None", 90, "5")]
+
+
 def test_one_deletion_signatures_find_close_sets(monkeypatch):
     """With few segments sets fall short, and the spared segments make up for it."""
     monkeypatch.setattr(segment_join, "segments", lambda band: 14)
