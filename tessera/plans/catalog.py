@@ -839,7 +839,7 @@ def _customer_kmeans(spark, sf, k: int = 4):
     key = (spark.sparkContext.applicationId, sf, k)
     if key not in _SEGS:
         feats = _customer_features(spark, sf)
-        _SEGS[key] = (feats, segment.run_kmeans(feats, k, 42, id_col="c_custkey"))
+        _SEGS[key] = (feats, segment.run_kmeans(feats, k, 42))
     return _SEGS[key]
 
 
@@ -854,7 +854,7 @@ def q_kmeans_sweep(spark, sf):
     key = (spark.sparkContext.applicationId, sf, "sweep")
     if key not in _SEGS:  # shared with best_k
         feats = _customer_features(spark, sf)
-        _SEGS[key] = segment.find_optimal_k(feats, 2, 10, 42, id_col="c_custkey")
+        _SEGS[key] = segment.find_optimal_k(feats, 2, 10, 42)
     return _SEGS[key]
 
 
@@ -863,12 +863,6 @@ def q_best_k(spark, sf):
     return segment.best_k(q_kmeans_sweep(spark, sf))
 
 
-@register("hierarchical")
-def q_hierarchical(spark, sf):
-    feats = _customer_features(spark, sf)
-    return segment.run_hierarchical(feats, 4, "ward").select("c_custkey", "cluster")
-
-
 @register("bisecting")
 def q_bisecting(spark, sf):
     feats = _customer_features(spark, sf)
@@ -877,8 +871,8 @@ def q_bisecting(spark, sf):
 
 @register("dendrogram")
 def q_dendrogram(spark, sf):
-    feats = _customer_features(spark, sf)
-    return segment.dendrogram_table(feats, ["c_custkey"], "ward")
+    """The tree of bisecting k-means over all customers, 30 leaves."""
+    return segment.bisecting_tree(_customer_features(spark, sf), 30)
 
 
 @register("pca_2d")
@@ -889,18 +883,17 @@ def q_pca_2d(spark, sf):
 
 _SIL_SQL = """
 WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum(list_distance(a.e, b.e)) AS s, count(*) AS n
+s AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum(list_distance(a.e, b.e) ** 2) AS s, count(*) AS n
       FROM p a, p b GROUP BY ALL),
 per AS (SELECT vec_id, own, max(CASE WHEN c = own THEN s END) AS s_own, max(CASE WHEN c = own THEN n END) AS n_own,
                min(CASE WHEN c <> own THEN s / n END) AS b FROM s GROUP BY vec_id, own),
 v AS (SELECT vec_id AS id, CAST(own AS BIGINT) AS cluster,
-        CASE WHEN n_own <= 1 OR b IS NULL THEN 0.0
+        CASE WHEN n_own <= 1 OR b IS NULL OR greatest(s_own, b) = 0 THEN 0.0
              ELSE (b - s_own / (n_own - 1)) / greatest(s_own / (n_own - 1), b) END AS silhouette FROM per)"""
 
 
 def _embedding_sil(spark, sf):
-    emb = load(spark, sf, "embeddings")
-    return segment.silhouette_samples(emb, "embedding", "label", id_col="vec_id")
+    return segment.silhouette_samples(load(spark, sf, "embeddings"), "embedding", "label", id_col="vec_id")
 
 
 @register("silhouette_samples", _SIL_SQL + "\nSELECT id, cluster, round_even(silhouette, 9) AS silhouette FROM v")

@@ -7,6 +7,7 @@ we only set our own when it is unset (tests, local runs).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -61,3 +62,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.replace("file:", ""), exist_ok=True)
     return path
+
+
+def ship_package(spark: SparkSession, *modules: str) -> None:
+    """Give the workers this package, and further modules beside it, once per
+    application: they import its functions, wherever the driver was started."""
+    sc = spark.sparkContext
+    name = f"tessera-{sc.applicationId}.zip"
+    if name in sc._python_includes:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    stage = tempfile.mkdtemp(prefix="tessera-ship-")  # the driver's; Spark sends the archive to the executors
+    shutil.copytree(os.path.join(root, "tessera"), os.path.join(stage, "src", "tessera"), ignore=shutil.ignore_patterns("__pycache__"))
+    for m in modules:
+        shutil.copy(os.path.join(root, f"{m}.py"), os.path.join(stage, "src"))
+    sc.addPyFile(shutil.make_archive(os.path.join(stage, name[:-4]), "zip", os.path.join(stage, "src")))
