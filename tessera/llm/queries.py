@@ -6,10 +6,10 @@ import public_tokenizers as tokenizer_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, containment, cross_entropy, licences, line_rules, orc_tokens, pii, segment_join, token_counts, toxicity
+from . import bpe_tree, containment, cross_entropy, fill_middle, licences, line_rules, orc_tokens, pii, piece_bpe, segment_join, token_align, token_counts, toxicity
 from .common import load
 
-WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_VOCAB, BYTE_VOCAB, PIECE_MODEL = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +54,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op4_ngram_join, op5_bpe_round_trip, op6_orc_tokens, op7_licence_scan, op8_cross_entropy, op9_decontamination, op10_personal_data)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.restore_documents(fill_middle.transform_documents(load(spark, sf_dir, "documents"))))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_files.path(PIECE_MODEL)
+    return piece_bpe.digests(piece_bpe.decode_documents(piece_bpe.encode_documents(load(spark, sf_dir, "documents"), model), model))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab, model = tokenizer_files.path(BYTE_VOCAB), tokenizer_files.path(PIECE_MODEL)
+    return token_align.digests(token_align.align_documents(load(spark, sf_dir, "documents"), vocab, model, hashed=True))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_toxicity, op4_ngram_join, op5_bpe_round_trip, op6_orc_tokens, op7_licence_scan, op8_cross_entropy, op9_decontamination, op10_personal_data, op11_fill_in_middle, op12_sentencepiece, op13_token_alignment)}
 ORACLE = {"op2_quality_rules": line_rules.SQL, "op4_ngram_join": segment_join.SQL, "op9_decontamination": containment.SQL}
