@@ -1116,6 +1116,17 @@ def q_load_csv(spark, sf):
     return sources.read_delimited(spark, path)
 
 
+@register("load_csv_text", """
+SELECT doc_id, CASE WHEN text NOT IN ('', 'NA', 'N/A', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null') THEN text END AS text,
+       lang, source FROM documents""")
+def q_load_csv_text(spark, sf):
+    """Whole texts, with their quotes and line ends, written as quoted CSV and read back."""
+    path = shared_dir(spark, "documents-text")
+    docs = load(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    docs.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return sources.read_delimited(spark, path, sep=",")
+
+
 @register("load_tsv", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 def q_load_tsv(spark, sf):
     path = _write_text(load(spark, sf, "part"), "part-tab", "\t", spark)

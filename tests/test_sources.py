@@ -4,6 +4,7 @@ import os
 import pytest
 
 from tessera import sources
+from tessera.sources.delimited import survey
 from tessera.sources.excel import _xlsx_bytes
 
 TABLE = [("id", "name", "score"), ("1", "Ana", "1.5"), ("2", "Bo", ""), ("3", "Cé", "NA")]
@@ -41,6 +42,62 @@ def test_header_odd_and_one_column(spark, tmpdir_path):
     assert sources.read_table(spark, one).columns == ["x"]
 
 
+def _csv(tmp, name, text):
+    os.makedirs(os.path.dirname(os.path.join(tmp, name)), exist_ok=True)
+    return _write(os.path.join(tmp, name), text)
+
+
+def test_csv_quotes_and_line_ends(spark, tmpdir_path):
+    p = _csv(tmpdir_path, "q/1.csv", 'a,"b ""x"" c",d\n1,"say ""hi"" x",2\n\n2,"two\nlines, ""quoted""",3\n3,"",\n4,5" pipe,6\n')
+    df = sources.read_table(spark, p)
+    assert df.columns == ["a", 'b "x" c', "d"]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 'say "hi" x', 2), (2, 'two\nlines, "quoted"', 3), (3, None, None), (4, '5" pipe', 6)]
+    head = _csv(tmpdir_path, "q/2.csv", 'a,"two\nlines"\n1,2\n')
+    assert sources.read_table(spark, head).columns == ["a", "two\nlines"]
+
+
+def test_csv_only_files_with_open_quotes_are_read_whole(spark, tmpdir_path):
+    _csv(tmpdir_path, "w/1.csv", 'a,b\n1,"x ""y"", z"\n2,\n')
+    _csv(tmpdir_path, "w/2.csv", 'a,b\n1,"x\ny"\n')
+    got = survey(spark, os.path.join(tmpdir_path, "w"), ",")
+    assert [(r.header, r.latin, r.streamed) for r in got] == [("a,b", False, False), ("a,b", False, True)]
+
+
+@pytest.mark.parametrize("row", ["1,2,3,4", "1,2,3,", "1,2,3,4,5", '1,"2\n",3,4'])
+@pytest.mark.parametrize("infer", [True, False])
+def test_csv_too_many_values_are_an_error(spark, tmpdir_path, row, infer):
+    p = _csv(tmpdir_path, "t/1.csv", f"a,b,c\n7,8,9\n{row}\n")
+    with pytest.raises(ValueError, match="more values"):
+        sources.read_delimited(spark, p, infer=infer)
+
+
+def test_csv_files_are_united_by_name(spark, tmpdir_path):
+    for k, text in enumerate(["a,b\n1,2\n", "b,a\n3,4\n", "b,c.d\n5,é\n", "\n\n", ""]):
+        _csv(tmpdir_path, f"h/{k} x.csv", text)
+    _write(os.path.join(tmpdir_path, "h", "9.csv"), "a,b\nñ,6\n", "latin-1")
+    df = sources.read_delimited(spark, os.path.join(tmpdir_path, "h"))
+    assert df.columns == ["a", "b", "c.d"]
+    assert sorted((r.b, r.a, r["c.d"]) for r in df.collect()) == [(2, "1", None), (3, "4", None), (5, None, "é"), (6, "ñ", None)]
+    with pytest.raises(ValueError):
+        sources.read_delimited(spark, os.path.join(tmpdir_path, "h", "3 x.csv"), sep=",")
+
+
+def test_csv_types_follow_how_numbers_are_written(spark, tmpdir_path):
+    p = _csv(tmpdir_path, "n/1.csv", "a,b,c,d,e,f,A\n12D,1, 7,1e3,True,99999999999999999999,x\n7F,-2,8 ,.5,false,1,y\n")
+    df = sources.read_table(spark, p)
+    assert dict(df.dtypes) == {"a": "string", "b": "bigint", "c": "bigint", "d": "double", "e": "boolean", "f": "double", "A_1": "string"}
+    assert {(r.a, r.c, r.d, r.e) for r in df.collect()} == {("12D", 7, 1000.0, True), ("7F", 8, 0.5, False)}
+
+
+def test_csv_text_of_documents_round_trip(spark):
+    from tessera.plans.catalog import QUERIES
+    from tessera.plans.fixtures import load
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.doc_id, r.text) for r in QUERIES["load_csv_text"](spark, sf).select("doc_id", "text").collect()}
+    assert got == {(r.doc_id, r.text or None) for r in load(spark, sf, "documents").select("doc_id", "text").collect()}
+
+
 def test_json_layouts(spark, tmpdir_path):
     recs = [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]
     p1 = _write(os.path.join(tmpdir_path, "r.json"), json.dumps(recs))
