@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.ranking import running_totals
 from tessera.functions.types import qcol
+from tessera.session import stored
 
 AVERAGES = ("weighted", "macro", "binary")
 MAX_CLASSES = 10_000
@@ -103,7 +104,7 @@ def _score_table(df: DataFrame, is_pos: Column, score: Column, group_cols: Seque
     return (df.select(*[qcol(g) for g in group_cols], score.cast("double").alias("score"),
                       is_pos.cast("long").alias("_p"))
             .where(F.col("score").isNotNull())
-            .groupBy(*group_cols, "score")
+            .groupBy(*[qcol(g) for g in group_cols], "score")
             .agg(F.sum("_p").alias("pos"), F.sum(1 - F.col("_p")).alias("neg")))
 
 
@@ -111,12 +112,15 @@ def _auc_from_scores(st: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame
     """Mann-Whitney AUC per group: sum over scores of pos * (negatives
     below + half the tied negatives) / (P * N).  Terms are halves of
     integers, so the sum is exact."""
-    cum = running_totals(st, "score", ["neg"], group_cols)
-    term = F.col("pos") * ((F.col("cum_neg") - F.col("neg")).cast("double") + 0.5 * F.col("neg"))
-    agg = cum.groupBy(*group_cols).agg(F.sum(term).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return agg.select(*group_cols, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                          F.col("u") / (F.col("P") * F.col("N")).cast("double")).alias("auc"),
-                      "P", "N")
+    groups = [qcol(g) for g in group_cols]
+    return running_totals(st, "score", ["neg"], group_cols).groupBy(*groups).agg(*_auc_terms())
+
+
+def _auc_terms() -> list[Column]:
+    """Aggregates (auc, P, N) over scores with their ascending sums."""
+    p, n = F.sum("pos"), F.sum("neg")
+    u = F.sum(F.col("pos") * ((F.col("cum_neg") - F.col("neg")).cast("double") + 0.5 * F.col("neg")))
+    return [F.when((p > 0) & (n > 0), u / (p.cast("double") * n.cast("double"))).alias("auc"), p.alias("P"), n.alias("N")]
 
 
 def auc_binary(df: DataFrame, label_col: str, score_col: str, pos_label=None, digits: int | None = 4) -> DataFrame:
@@ -155,57 +159,41 @@ def auc_ovr(df: DataFrame, label_col: str, prob_cols: Sequence[str], classes: Se
 
 
 def roc_curve(df: DataFrame, label_col: str, score_col: str, group_cols: Sequence[str] = (),
-              pos_label=None, drop_intermediate: bool = True) -> DataFrame:
-    """ROC points per group: (group..., threshold, fpr, tpr), starting at
-    (inf, 0, 0); collinear interior points dropped by default."""
+              pos_label=None, drop_intermediate: bool = True, digits: int | None = 4) -> DataFrame:
+    """ROC points per group: (group..., threshold, fpr, tpr, auc), starting at
+    (inf, 0, 0); collinear interior points dropped by default.  The scored
+    rows are aggregated once to (score, positives, negatives); running sums of
+    those, with each score's lower neighbour beside it, are written once, and
+    points and AUC are read from them."""
     spark = df.sparkSession
     if pos_label is None:
         classes = class_values(df, label_col)
         if len(classes) != 2:
-            return spark.createDataFrame([], "threshold double, fpr double, tpr double")
+            return spark.createDataFrame([], "threshold double, fpr double, tpr double, auc double")
         pos_label = classes[-1]
-    st = _score_table(df, qcol(label_col) == F.lit(pos_label), qcol(score_col), group_cols)
-    st = st.withColumn("_one", F.lit(1).cast("long"))
-    cum = running_totals(st, "score", ["pos", "neg", "_one"], group_cols)
-    tot = cum.groupBy(*group_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                                       F.count(F.lit(1)).alias("D")).collect()
-    # one totals row per group (groups are few: models, classes): literals
-    def per_group(field):
-        if not group_cols:
-            return F.lit(tot[0][field] if tot else 0).cast("long")
-        expr = F.lit(None).cast("long")
-        for r in tot:
-            cond = F.lit(True)
-            for g in group_cols:
-                cond = cond & (F.col(g) == F.lit(r[g]))
-            expr = F.when(cond, F.lit(r[field]).cast("long")).otherwise(expr)
-        return expr
-
-    pts = cum.withColumn("P", per_group("P")).withColumn("N", per_group("N")).withColumn("D", per_group("D"))
-    pts = pts.select(*group_cols, "score", "P", "N", "D",
-                     (F.col("D") - F.col("cum__one")).alias("i"),
-                     (F.col("P") - F.col("cum_pos") + F.col("pos")).alias("tps"),
-                     (F.col("N") - F.col("cum_neg") + F.col("neg")).alias("fps"))
+    groups = [qcol(g) for g in group_cols]
+    st = _score_table(df, qcol(label_col) == F.lit(pos_label), qcol(score_col), group_cols).withColumn("_one", F.lit(1).cast("long"))
+    cum = stored(running_totals(st, "score", ["pos", "neg", "_one"], group_cols, totals=True, previous=True), "roc")
+    auc = cum.groupBy(*groups).agg(*_auc_terms())
+    auc = auc.select(*groups, "P", "N", (F.bround("auc", digits) if digits is not None else F.col("auc")).alias("auc"))
+    rate = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d).cast("double"))
+    # Ascending sums; a point counts the scores from its own up.
+    pts = cum.select(*groups, F.col("score").alias("threshold"), F.col("total_pos").alias("P"), F.col("total_neg").alias("N"),
+                     (F.col("total_pos") - F.col("cum_pos") + F.col("pos")).alias("tps"),
+                     (F.col("total_neg") - F.col("cum_neg") + F.col("neg")).alias("fps"), "pos", "neg", "prev_pos", "prev_neg",
+                     (F.col("total__one") - F.col("cum__one")).alias("i"), F.col("total__one").alias("D"))
     if drop_intermediate:
-        prev = pts.select(*group_cols, (F.col("i") + 1).alias("i"), F.col("tps").alias("tp_prev"),
-                          F.col("fps").alias("fp_prev"))
-        nxt = pts.select(*group_cols, (F.col("i") - 1).alias("i"), F.col("tps").alias("tp_next"),
-                         F.col("fps").alias("fp_next"))
-        j = pts.join(prev, [*group_cols, "i"], "left").join(nxt, [*group_cols, "i"], "left")
-        corner = ((F.col("fp_next") - 2 * F.col("fps") + F.col("fp_prev") != 0)
-                  | (F.col("tp_next") - 2 * F.col("tps") + F.col("tp_prev") != 0))
-        keep = (F.col("D") <= 2) | (F.col("i") == 0) | (F.col("i") == F.col("D") - 1) | corner
-        pts = j.where(keep)
-    fpr = F.when(F.col("N") > 0, F.col("fps") / F.col("N").cast("double"))
-    tpr = F.when(F.col("P") > 0, F.col("tps") / F.col("P").cast("double"))
-    body = pts.select(*group_cols, F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
-    gtypes = [body.schema[g] for g in group_cols]
-    start = spark.createDataFrame(
-        [tuple(r[g] for g in group_cols) + (float("inf"), 0.0 if r["N"] > 0 else None, 0.0 if r["P"] > 0 else None)
-         for r in tot],
-        T.StructType(gtypes + [T.StructField("threshold", T.DoubleType()), T.StructField("fpr", T.DoubleType()),
-                               T.StructField("tpr", T.DoubleType())]))
-    return start.unionByName(body)
+        # This point's step up is its own (pos, neg), the next one's that of the lower score: a corner if they differ.
+        corner = (F.col("prev_pos") != F.col("pos")) | (F.col("prev_neg") != F.col("neg"))
+        pts = pts.where((F.col("D") <= 2) | (F.col("i") == 0) | (F.col("i") == F.col("D") - 1) | corner)
+    body = pts.select(*groups, "threshold", rate("fps", "N").alias("fpr"), rate("tps", "P").alias("tpr"))
+    start = auc.select(*groups, F.lit(float("inf")).alias("threshold"), F.when(F.col("N") > 0, F.lit(0.0)).alias("fpr"),
+                       F.when(F.col("P") > 0, F.lit(0.0)).alias("tpr"))
+    both = start.unionByName(body)
+    if group_cols:  # one row a group
+        return both.join(auc.select(*groups, "auc"), list(group_cols)).select(*groups, "threshold", "fpr", "tpr", "auc")
+    row = auc.first()
+    return both.select("*", F.lit(row["auc"] if row else None).cast("double").alias("auc"))
 
 
 def auc_by_group(df: DataFrame, label_col: str, score_col: str, group_cols: Sequence[str], pos_label,

@@ -653,11 +653,27 @@ FROM k JOIN t {on}
 WHERE D <= 2 OR i = 0 OR i = D - 1 OR fp_next - 2 * fps + fp_prev <> 0 OR tp_next - 2 * tps + tp_prev <> 0"""
 
 
-@register("roc_curve", _sql_roc(LBL_SCORED, "toxic", "score", "1"))
+def _sql_roc_auc(src: str, y: str, score: str, pos: str, group: str | None = None) -> str:
+    """The points with the AUC beside them."""
+    on, g = (f"USING ({group})", f"r.{group}, ") if group else ("ON true", "")
+    return (f"WITH r AS ({_sql_roc(src, y, score, pos, group)}), a AS ({_sql_auc(src, y, score, pos, group)}) "
+            f"SELECT {g}r.threshold, r.fpr, r.tpr, a.auc FROM r JOIN a {on}")
+
+
+@register("roc_curve", _sql_roc_auc(LBL_SCORED, "toxic", "score", "1"))
 def q_roc_curve(spark, sf):
     return evaluate.roc_curve(derived(spark, sf, "labels_scored"), "toxic", "score")
 
 
+_LI_MODEL = derived_sql("lineitem_model")
+
+
+@register("roc_lineitem", _sql_roc_auc(_LI_MODEL, "big_order", "l_revenue", "1"))
+def q_roc_lineitem(spark, sf):
+    """About as many distinct scores as rows: revenue as the score of a large order."""
+    return evaluate.roc_curve(derived(spark, sf, "lineitem_model"), "big_order", "l_revenue")
+
+
 _ROC_STACK = (f"(SELECT 'score' AS model, toxic, score FROM {LBL_SCORED} UNION ALL "
               f"SELECT 'quality' AS model, toxic, CAST(1 - quality AS DOUBLE) + CAST(doc_id % 3 AS DOUBLE) / 10.0 AS score "
               f"FROM {LBL_SCORED})")
@@ -671,15 +687,9 @@ def _roc_stack(spark, sf) -> DataFrame:
     return a.unionByName(b)
 
 
-@register("roc_multi", f"""
-WITH r AS ({_sql_roc(_ROC_STACK, 'toxic', 'score', '1', 'model')}),
-a AS ({_sql_auc(_ROC_STACK, 'toxic', 'score', '1', 'model')})
-SELECT r.model, r.threshold, r.fpr, r.tpr, a.auc FROM r JOIN a USING (model)""")
+@register("roc_multi", _sql_roc_auc(_ROC_STACK, "toxic", "score", "1", "model"))
 def q_roc_multi(spark, sf):
-    stack = _roc_stack(spark, sf)
-    roc = evaluate.roc_curve(stack, "toxic", "score", group_cols=["model"], pos_label=1)
-    auc = evaluate.auc_by_group(stack, "toxic", "score", ["model"], pos_label=1)
-    return roc.join(F.broadcast(auc), "model").select("model", "threshold", "fpr", "tpr", "auc")
+    return evaluate.roc_curve(_roc_stack(spark, sf), "toxic", "score", group_cols=["model"], pos_label=1)
 
 
 # ---------------------------------------------------------------------------
