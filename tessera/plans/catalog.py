@@ -1150,6 +1150,18 @@ def q_load_json(spark, sf):
     return sources.read_table(spark, path)
 
 
+@register("load_json_columns", "SELECT doc_id, text, lang, n_chars FROM documents")
+def q_load_json_columns(spark, sf):
+    """Files of column-oriented documents, {column: {row: value}}, read back as one table."""
+    path = shared_dir(spark, "documents-columns")
+    docs = load(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    columns = [F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), c))).alias(c) for c in docs.columns]
+    files = docs.groupBy(F.expr("doc_id div 500").alias("f")).agg(*columns).drop("f")
+    one_each = files.select(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))
+    one_each.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    return sources.read_json(spark, path)
+
+
 @register("load_excel", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
 def q_load_excel(spark, sf):
     path = shared_dir(spark, "nation-books") + ".xlsx"

@@ -2,10 +2,13 @@ import json
 import os
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from tessera import sources
 from tessera.sources.delimited import survey
 from tessera.sources.excel import _xlsx_bytes
+from tessera.sources.jsonfile import ColumnStream
 
 TABLE = [("id", "name", "score"), ("1", "Ana", "1.5"), ("2", "Bo", ""), ("3", "Cé", "NA")]
 
@@ -111,6 +114,53 @@ def test_json_layouts(spark, tmpdir_path):
         sources.read_table(spark, bad).collect()
 
 
+def test_json_columns_of_several_files(spark, tmpdir_path):
+    for k, doc in enumerate([{"a": {"0": 1, "1": 2}, "t.x": {"0": "x, {y}", "1": None}}, {"t.x": {"0": 'q" \\ ,', "1": "[1, 2]"}, "a": {"0": 3, "1": 4}, "file": {"0": [1, {"z": 2}]}}]):
+        _csv(tmpdir_path, f"j/{k}.json", json.dumps(doc, indent=k or None))
+    df = sources.read_json(spark, os.path.join(tmpdir_path, "j"))
+    assert df.columns == ["a", "t.x", "file"] and dict(df.dtypes)["a"] == "bigint"
+    got = [tuple(r) for r in df.collect()]
+    assert [r[:2] for r in got] == [(1, "x, {y}"), (2, None), (3, 'q" \\ ,'), (4, "[1, 2]")]
+    assert json.loads(got[2][2]) == [1, {"z": 2}] and got[3][2] is None
+
+
+def test_json_lines_with_nested_first_field(spark, tmpdir_path):
+    p = _csv(tmpdir_path, "l/n.json", '{"a": {"x": 1}}\n{"a": {"x": 2}}\n')
+    assert sorted(r.a.x for r in sources.read_table(spark, p).collect()) == [1, 2]
+    q = _csv(tmpdir_path, "l/m.json", '{"a": {"x": 1}, "b": 5}\n')
+    assert sources.read_table(spark, q).first().b == 5
+
+
+@pytest.mark.parametrize("text", ['{"a": {"0": 1}', '{"a": {"0": 1}} x', '{"a": {"0": }}', '{"a" {"0": 1}}', "{}}"])
+def test_column_stream_refuses_broken_documents(text):
+    with pytest.raises(ValueError):
+        s = ColumnStream()
+        list(s.feed(text, last=True))
+
+
+@given(st.dictionaries(st.text(max_size=5), st.dictionaries(st.text(max_size=4), st.one_of(st.none(), st.booleans(), st.integers(), st.text(max_size=40)), max_size=4), max_size=4), st.integers(1, 9))
+def test_column_stream_in_any_pieces(doc, size):
+    text, s, got = json.dumps(doc, ensure_ascii=False), ColumnStream(), []
+    for k in range(0, len(text), size):
+        got += s.feed(text[k : k + size])
+    got += s.feed("", last=True)
+    assert got == [(n, c, r, None if v is None else str(v)) for n, (c, rows) in enumerate(doc.items()) for r, v in rows.items()]
+
+
+def test_json_columns_do_not_pass_through_the_driver(spark, tmpdir_path):
+    """Blocks of 64 KB: a file's pieces come from many tasks, and are put in order again."""
+    n = 30_000
+    p = _csv(tmpdir_path, "b/big.json", json.dumps({"k": {str(i): i for i in range(n)}, "v": {str(i): f"value, {i}" for i in range(n)}}))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = sources.read_json(spark, p)
+        r = df.selectExpr("count(*) AS n", "sum(k) AS s", "count_if(v = concat('value, ', k)) AS same").first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (r.n, r.s, r.same) == (n, n * (n - 1) // 2, n)
+
+
 def test_excel_folder_and_unsupported(spark, tmpdir_path):
     d = os.path.join(tmpdir_path, "books.xlsx")
     os.makedirs(d)
