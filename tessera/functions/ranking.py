@@ -40,11 +40,17 @@ def bucket_bounds(df: DataFrame, order_col: str, buckets: int, repeated: bool =
     return sorted({drawn[int(k * step)] for k in range(1, buckets) if drawn})
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields)])
+    return F.lit(value).cast(kind)
+
+
 def bucket_of(x: Column, bounds: Sequence, kind: T.DataType) -> Column:
     """Number of bounds <= x: halving steps over one literal array."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[F.lit(b).cast(kind) for b in bounds])
+    table = F.array(*[_literal(b, kind) for b in bounds])
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda n, p: F.when(F.get(table, n + p - 1) <= x, n + p).otherwise(n))
 
@@ -58,18 +64,20 @@ def running_totals(
     prefix: str = "cum_",
     totals: bool = False,
     previous: bool = False,
+    written: bool = False,
 ) -> DataFrame:
     """Add ``cum_<v>`` = inclusive sum of ``v`` over rows of the same group
     whose ``order_col`` is <= this row's (ascending order).  ``totals`` adds
     ``total_<v>``, the sum over the group; ``previous`` adds ``prev_<v>``, the
-    value in the group's row before (null in its first)."""
+    value in the group's row before (null in its first).  ``written``: ``df`` is
+    read from storage as it is, and need not be written."""
     if num_partitions is None:
         num_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns, groups = df.columns, [qcol(g) for g in group_cols]
-    held = stored(df, "ranked")
+    held = df if written else stored(df, "ranked")
     bounds = bucket_bounds(held, order_col, num_partitions, bool(group_cols))
     part = held.withColumn("_pid", bucket_of(qcol(order_col), bounds, df.schema[order_col].dataType))
-    part = part.repartition(num_partitions, "_pid", *groups)  # read by the rows and by the totals
+    part = part.repartition("_pid", *groups)  # read by the rows and by the totals
     w = Window.partitionBy("_pid", *groups).orderBy(qcol(order_col))
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = [F.sum(qcol(v)).over(upto).alias(f"_l_{v}") for v in value_cols]

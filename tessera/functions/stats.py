@@ -233,88 +233,3 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     """{column: [q(p) for p in probs]} for ungrouped use."""
     q = exact_quantiles(df, columns, probs)
     return {c: [q[(c, float(p))] for p in probs] for c in columns}
-
-
-def rank_select(
-    df: DataFrame,
-    group_col: str,
-    order_col: str,
-    tie_col: str,
-    wanted: dict,
-    counts: dict,
-    accuracy: int = DEFAULT_ACCURACY,
-    max_bracket: int = DEFAULT_MAX_BRACKET,
-) -> dict:
-    """Rows at given 0-based ranks of the (order_col, tie_col) order within
-    each group.  ``wanted`` maps group -> ranks, ``counts`` group -> size.
-    Returns {(group, rank): (order_value, tie_value)}.
-
-    Small groups are ranked whole (bounded by ``max_bracket``); large ones
-    are narrowed to a sketch bracket first, as in ``exact_quantiles``.
-    """
-    spark = df.sparkSession
-    gtype = df.schema[group_col].dataType
-    otype = df.schema[order_col].dataType
-    # (group, lo, hi, offset, ranks)
-    brackets: list[list] = []
-    big = {g: rs for g, rs in wanted.items() if counts[g] > max_bracket}
-    for g, rs in wanted.items():
-        if g not in big:
-            brackets.append([g, None, None, 0, sorted(set(rs))])
-    if big:
-        # sketch accuracy sized so a bracket of +-3 ranks-of-error holds at
-        # most ~max_bracket rows; sketch memory is O(accuracy) per big group
-        acc = max(accuracy, min(10_000_000, math.ceil(8 * max(counts[g] for g in big) / max_bracket)))
-        pend = {(g, r): 1.0 for g, rs in big.items() for r in sorted(set(rs))}
-        for _attempt in range(4):
-            if not pend:
-                break
-            delta = {k: 3.0 * w / acc for k, w in pend.items()}
-            ps = sorted({min(1.0, max(0.0, r / counts[g] + sgn * delta[(g, r)])) for (g, r) in pend for sgn in (-1, 1)})
-            groups = sorted({g for g, _ in pend}, key=lambda v: (v is None, v))
-            sk = {r[group_col]: dict(zip(ps, r["sk"])) for r in
-                  df.where(F.col(group_col).isin(groups))
-                  .groupBy(group_col).agg(F.percentile_approx(order_col, ps, acc).alias("sk")).collect()}
-            trial = []
-            for (g, r) in pend:
-                p, d = r / counts[g], delta[(g, r)]
-                lo = sk[g][min(1.0, max(0.0, p - d))] if p - d > 0 else None
-                hi = sk[g][min(1.0, max(0.0, p + d))] if p + d < 1 else None
-                trial.append([g, lo, hi, None, [r]])
-            schema = T.StructType([T.StructField("g", gtype), T.StructField("bid", T.IntegerType()),
-                                   T.StructField("lo", otype), T.StructField("hi", otype)])
-            bf = spark.createDataFrame([(b[0], i, b[1], b[2]) for i, b in enumerate(trial)], schema)
-            j = df.join(F.broadcast(bf), df[group_col].eqNullSafe(bf["g"]))
-            cnt = {r["bid"]: (r["below"], r["upto"]) for r in j.groupBy("bid").agg(
-                F.count_if(F.col("lo").isNotNull() & (F.col(order_col) < F.col("lo"))).alias("below"),
-                F.count_if(F.col("hi").isNull() | (F.col(order_col) <= F.col("hi"))).alias("upto")).collect()}
-            nxt = {}
-            for i, b in enumerate(trial):
-                below, upto = cnt.get(i, (0, 0))
-                r = b[4][0]
-                if below <= r < upto:
-                    b[3] = below
-                    brackets.append(b)
-                else:  # sketch bracket missed: widen and retry
-                    nxt[(b[0], r)] = pend[(b[0], r)] * 4
-            pend = nxt
-        if pend:
-            raise RuntimeError("rank selection did not converge; raise the sketch accuracy")
-    schema = T.StructType([T.StructField("g", gtype), T.StructField("bid", T.IntegerType()),
-                           T.StructField("lo", otype), T.StructField("hi", otype),
-                           T.StructField("ranks", T.ArrayType(T.LongType()))])
-    bf = spark.createDataFrame(
-        [(b[0], i, b[1], b[2], [int(r - b[3]) for r in b[4]]) for i, b in enumerate(brackets)], schema)
-    inside = (df.join(F.broadcast(bf), df[group_col].eqNullSafe(bf["g"]))
-              .where((F.col("lo").isNull() | (F.col(order_col) >= F.col("lo")))
-                     & (F.col("hi").isNull() | (F.col(order_col) <= F.col("hi")))))
-    inside = inside.repartition(max(1, len(brackets)), "bid")
-    w = Window.partitionBy("bid").orderBy(order_col, tie_col)
-    got = (inside.withColumn("rk", F.row_number().over(w) - 1)
-           .where(F.array_contains("ranks", F.col("rk").cast("long")))
-           .select("bid", "rk", order_col, tie_col).collect())
-    out = {}
-    for r in got:
-        b = brackets[r["bid"]]
-        out[(b[0], r["rk"] + b[3])] = (r[order_col], r[tie_col])
-    return out

@@ -12,21 +12,21 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.hashing import order_hash, row_key
-from tessera.functions.ranking import dense_codes
-from tessera.functions.stats import exact_quantiles, rank_select
+from tessera.functions.ranking import dense_codes, running_totals
+from tessera.functions.stats import exact_quantiles
 from tessera.functions.types import numeric_cols, qcol, string_cols
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, stored
 
 LOW_CARD_THRESHOLD = 10
 MAX_ONEHOT_LEVELS = 1000
 BROADCAST_MAX_LEVELS = 2_000_000
-MAX_STRATA = 100_000
-CASE_MAX_STRATA = 64
+#: Rows that a cell of the split's hash range holds on average.
+CELL_ROWS = 4096
 NULL_LABEL = "nan"
 
 
@@ -159,95 +159,76 @@ def encode_categoricals(df: DataFrame, method: str = "auto", low_card_threshold:
 # E4 split
 # ---------------------------------------------------------------------------
 
-def _allocate(counts: dict, take: int) -> dict:
-    """Largest-remainder allocation of ``take`` rows over classes; ties go
-    to the smaller class value."""
-    n = sum(counts.values())
-    if n == 0:
-        return {c: 0 for c in counts}
-    base = {c: take * v // n for c, v in counts.items()}
-    rem = {c: take * v % n for c, v in counts.items()}
-    left = take - sum(base.values())
-    order = sorted(counts, key=lambda c: (-rem[c], c is None, c))
-    for c in order[:left]:
-        base[c] += 1
-    return base
-
-
-def split_quotas(counts: dict, val_size: float, test_size: float) -> dict:
-    """{class: (n_test, n_val)}: held-out share first (ceil), then test
-    within it (ceil), each spread over classes by largest remainder."""
-    n = sum(counts.values())
-    held = math.ceil((val_size + test_size) * n) if n else 0
-    held_c = _allocate(counts, held)
+def _allocate(strata: DataFrame, weight: str, take: int, out: str) -> DataFrame:
+    """Adds ``out``: ``take`` rows spread over strata in proportion to
+    ``weight`` by largest remainder; ties go to the smaller stratum, null last.
+    ``strata`` is read from storage."""
+    total = strata.agg(F.sum(weight)).first()[0]
+    share = f"(CAST({take} AS DECIMAL(19,0)) * CAST({weight} AS DECIMAL(19,0)))"
+    based = strata.withColumn("__base", F.expr(f"{share} div {max(total, 1)}")).withColumn(
+        "__o", F.struct((-F.expr(f"CAST({share} % {max(total, 1)} AS BIGINT)")).alias("rem"),
+                        F.col("__g").isNull().alias("none"), F.col("__g").alias("g")))
+    ranked = stored(running_totals(based.withColumn("__one", F.lit(1).cast("long")), "__o", ["__one"], written=True), "strata")
+    left = take - ranked.agg(F.sum("__base")).first()[0]
+    # columns of a stored table: the next allocation reads it again
+    return ranked.select(*strata.columns, (F.col("__base") + (F.col("cum___one") <= left).cast("long")).alias(out))
+
+
+def split_quotas(strata: DataFrame, val_size: float, test_size: float) -> DataFrame:
+    """(__g, n) -> (__g, n, held, n_test): the held-out share first (ceil),
+    then test within it (ceil), each spread over strata by largest remainder."""
+    n = strata.agg(F.sum("n")).first()[0]
+    held = math.ceil((val_size + test_size) * n)
     rel = test_size / (val_size + test_size) if (val_size + test_size) > 0 else 0.0
-    n_test = math.ceil(rel * held)
-    test_c = _allocate(held_c, n_test)
-    return {c: (test_c[c], held_c[c] - test_c[c]) for c in counts}
+    return _allocate(_allocate(strata, "n", held, "held"), "held", math.ceil(rel * held), "n_test")
 
 
 def split_data(df: DataFrame, label_col: str | None, key_cols: Sequence[str], train_size: float = 0.7,
                val_size: float = 0.15, test_size: float = 0.15, stratify: bool = True,
-               seed: int = 42, split_col: str = "split", max_bracket: int | None = None) -> DataFrame:
+               seed: int = 42, split_col: str = "split", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Add ``split`` in train | val | test.
 
     Rows are ordered by a seeded hash of their key within each class
     (stratified) or overall; the first ``n_test`` rows of a class go to
     test, the next ``n_val`` to val, the rest to train.  Class sizes are
-    exact.  The cut points are found by exact rank selection (bounded per
-    task), so a class holding a third of the data is never sorted whole.
+    exact, for any number of classes; nothing of a class passes the driver.
+
+    The hash is even, so equal slices of its range are a sketch of a class:
+    about one cell for ``cell_rows`` rows. Cells are counted, running totals
+    of the counts name the cell of each cut, and only the rows of those cells
+    are ranked.  A class holding a third of the data is never sorted whole.
     """
     if abs(train_size + val_size + test_size - 1.0) > 1e-6:
         raise ValueError("train, val and test sizes must sum to 1")
-    spark = df.sparkSession
-    key = row_key(*key_cols)
     grp = qcol(label_col) if (stratify and label_col) else F.lit(0)
-    base = df.withColumn("__g", grp).withColumn("__k", key).withColumn("__h", order_hash(F.col("__k"), seed))
-    counts = {r["__g"]: r["n"] for r in base.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) > MAX_STRATA:
-        raise ValueError(f"{len(counts)} strata; stratified split is capped at {MAX_STRATA}")
-    quotas = split_quotas(counts, val_size, test_size)
-    cut_ranks = {g: [r for r in (t, t + v) if 0 < r < counts[g]] for g, (t, v) in quotas.items()}
-    # also fetch the row just before each cut: equal neighbours mean the
-    # key does not identify rows, and no order could cut exactly there
-    wanted = {g: sorted({x for r in rs for x in (r - 1, r)}) for g, rs in cut_ranks.items() if rs}
-    extra = {} if max_bracket is None else {"max_bracket": max_bracket}
-    picked = rank_select(base, "__g", "__h", "__k", wanted, counts, **extra) if wanted else {}
-    for g, rs in cut_ranks.items():
-        for r in rs:
-            if picked[(g, r - 1)] == picked[(g, r)]:
-                raise ValueError(f"split key {list(key_cols)} is not unique; rows tie at a cut")
-    gtype = base.schema["__g"].dataType
-    rows = []
-    for g, (t, v) in quotas.items():
-        th, tk = picked.get((g, t), (None, None))
-        vh, vk = picked.get((g, t + v), (None, None))
-        # a cut at rank 0 puts nothing below it; at rank n everything
-        rows.append((g, th, tk, vh, vk, t < counts[g], t + v < counts[g]))
-    cuts = spark.createDataFrame(rows, T.StructType([
-        T.StructField("__cg", gtype), T.StructField("__th", T.LongType()), T.StructField("__tk", T.StringType()),
-        T.StructField("__vh", T.LongType()), T.StructField("__vk", T.StringType()),
-        T.StructField("__tcut", T.BooleanType()), T.StructField("__vcut", T.BooleanType())]))
-
-    def below(hc: str, kc: str, cut: str) -> Column:
-        return (~F.col(cut)) | (F.col("__h") < F.col(hc)) | ((F.col("__h") == F.col(hc)) & (F.col("__k") < F.col(kc)))
-
-    if len(rows) <= CASE_MAX_STRATA:
-        # few classes: the cut points become literals in one projection
-        def lit_cut(idx):
-            expr = F.lit(None)
-            for r in rows:
-                expr = F.when(F.col("__g").eqNullSafe(F.lit(r[0])), F.lit(r[idx])).otherwise(expr)
-            return expr
-        j = base
-        for idx, name in enumerate(["__cg", "__th", "__tk", "__vh", "__vk", "__tcut", "__vcut"]):
-            if idx:
-                j = j.withColumn(name, lit_cut(idx).cast(cuts.schema[name].dataType))
-    else:
-        j = base.join(F.broadcast(cuts), base["__g"].eqNullSafe(cuts["__cg"]))
-    label = (F.when(below("__th", "__tk", "__tcut"), "test")
-             .when(below("__vh", "__vk", "__vcut"), "val").otherwise("train"))
-    return j.select(*[qcol(c) for c in df.columns], label.alias(split_col))
+    base = df.withColumn("__g", grp).withColumn("__k", row_key(*key_cols)).withColumn("__h", order_hash(F.col("__k"), seed))
+    strata = stored(base.groupBy("__g").agg(F.count(F.lit(1)).alias("n")), "strata")
+    if strata.isEmpty():
+        return df.withColumn(split_col, F.lit("train"))
+    quotas = split_quotas(strata, val_size, test_size).withColumnRenamed("__g", "__q")
+    placed = base.join(quotas, F.col("__g").eqNullSafe(F.col("__q"))).withColumn(
+        "cell", F.expr(f"CAST(CAST(__h AS DOUBLE) / {1 << 60}D * greatest(1, n div {cell_rows}) AS BIGINT)"))
+    cells = placed.groupBy("__g", "cell").agg(F.count(F.lit(1)).alias("rows"), F.first("held").alias("held"), F.first("n_test").alias("n_test"))
+    # a null class is a group as any other: it is told apart by a flag
+    cells = cells.withColumn("__none", F.col("__g").isNull()).withColumn("__s", F.coalesce(F.col("__g").cast("string"), F.lit("")))
+    run = running_totals(cells, "cell", ["rows"], ["__s", "__none"])
+    holds = lambda c: (F.col("cum_rows") - F.col("rows") < F.col(c)) & (F.col(c) <= F.col("cum_rows"))
+    cut_cells = run.where(holds("held") | holds("n_test")).select(
+        F.col("__g").alias("__c"), F.col("cell").alias("__cell"), (F.col("cum_rows") - F.col("rows")).alias("before"))
+    inside = placed.join(cut_cells, F.col("__g").eqNullSafe(F.col("__c")) & (F.col("cell") == F.col("__cell")))
+    w = Window.partitionBy("__g", "cell").orderBy("__h", "__k")
+    at = F.struct("__h", "__k")
+    ranked = inside.select("__g", "held", "n_test", at.alias("at"), (F.lead(at).over(w) == at).alias("tied"),
+                           (F.col("before") + F.row_number().over(w)).alias("rank"))
+    cuts = stored(ranked.where("rank = held OR rank = n_test").groupBy(F.col("__g").alias("__c")).agg(
+        F.max(F.when(F.col("rank") == F.col("n_test"), F.col("at"))).alias("__test"),
+        F.max(F.when(F.col("rank") == F.col("held"), F.col("at"))).alias("__held"),
+        F.bool_or("tied").alias("tied")), "cuts")
+    if not cuts.where("tied").isEmpty():
+        raise ValueError(f"split key {list(key_cols)} is not unique; rows tie at a cut")
+    cut = base.join(cuts, F.col("__g").eqNullSafe(F.col("__c")), "left")
+    label = F.when(at <= F.col("__test"), "test").when(at <= F.col("__held"), "val").otherwise("train")
+    return cut.select(*[qcol(c) for c in df.columns], label.alias(split_col))
 
 
 # ---------------------------------------------------------------------------

@@ -59,11 +59,10 @@ def test_scalers_fit_on_train(spark):
         prep.scale_features(df, "zz")
 
 
-def test_split_sketch_path_matches_whole_ranking(spark):
-    """Large classes go through sketch brackets; the cut must be the same
-    as ranking each class whole."""
+def test_split_cells_match_whole_ranking(spark):
+    """However fine the cells, the cut is that of ranking each class whole."""
     rows = [(i, "hot" if i % 3 else "cold") for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, y string")
     whole = {r.id: r.split for r in prep.split_data(df, "y", ["id"], seed=7).collect()}
-    sketched = {r.id: r.split for r in prep.split_data(df, "y", ["id"], seed=7, max_bracket=50).collect()}
+    sketched = {r.id: r.split for r in prep.split_data(df, "y", ["id"], seed=7, cell_rows=50).collect()}
     assert whole == sketched

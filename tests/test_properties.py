@@ -31,7 +31,24 @@ def test_running_totals_equal_cumsum(spark, rows, parts):
         assert got[(g, o)] == sum(oo + 1 for gg, oo in rows if gg == g and oo <= o)
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+def _quotas(counts, val_size, test_size):
+    """{class: (n_test, n_val)} by largest remainder, ties to the smaller class."""
+    import math
+
+    def spread(weights, take):
+        n = sum(weights.values())
+        base = {c: take * v // n if n else 0 for c, v in weights.items()}
+        order = sorted(weights, key=lambda c: (-(take * weights[c] % n), c is None, c)) if n else []
+        for c in order[: take - sum(base.values())]:
+            base[c] += 1
+        return base
+
+    held = spread(counts, math.ceil((val_size + test_size) * sum(counts.values())))
+    test = spread(held, math.ceil(test_size / (val_size + test_size) * sum(held.values())))
+    return {c: (test[c], held[c] - test[c]) for c in counts}
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.integers(1, 60), min_size=1, max_size=5))
 def test_split_sizes_and_quotas(spark, sizes):
     import math
@@ -46,7 +63,21 @@ def test_split_sizes_and_quotas(spark, sizes):
     held = sum(1 for _, s in got.values() if s != "train")
     test = sum(1 for _, s in got.values() if s == "test")
     assert held == math.ceil(0.3 * n) and test == math.ceil(0.5 * held)
-    quotas = prep.split_quotas({f"c{c}": s for c, s in enumerate(sizes)}, 0.15, 0.15)
+    quotas = _quotas({f"c{c}": s for c, s in enumerate(sizes)}, 0.15, 0.15)
     for cls, (t, v) in quotas.items():
         assert sum(1 for y, s in got.values() if y == cls and s == "test") == t
         assert sum(1 for y, s in got.values() if y == cls and s == "val") == v
+
+
+def test_split_of_many_strata_is_exact(spark):
+    """Thousands of classes of unlike sizes, one of them null and one hot."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import prep
+
+    g = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 1000 == 1, F.lit(None)).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000))).cast("int")
+    df = spark.range(40_000).withColumn("y.z", g)
+    got = prep.split_data(df, "y.z", ["id"], seed=3, cell_rows=64).groupBy(F.col("`y.z`").alias("y")).pivot("split", ["train", "val", "test"]).count().na.fill(0, ["train", "val", "test"]).collect()
+    assert sum(r.train + r.val + r.test for r in got) == 40_000
+    quotas = _quotas({r.y: r.train + r.val + r.test for r in got}, 0.15, 0.15)
+    assert {r.y: (r.test, r.val) for r in got} == quotas
