@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.types import qcol
+
 
 def _seeded_md5(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
@@ -28,5 +30,5 @@ def uniform01(key: Column, seed: int) -> Column:
 def row_key(*cols: str) -> Column:
     """A single string key from one or more key columns."""
     if len(cols) == 1:
-        return F.col(cols[0]).cast("string")
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+        return qcol(cols[0]).cast("string")
+    return F.concat_ws("|", *[qcol(c).cast("string") for c in cols])

@@ -30,19 +30,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.types import melt, qcol
+
 DEFAULT_ACCURACY = 10000
 DEFAULT_MAX_BRACKET = 1_000_000
 
 
 def long_values(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
     """(group..., column, x) with x as double, nulls dropped."""
-    sel = df.select(*[F.col(g) for g in group_cols],
-                    *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    long = sel.unpivot(list(group_cols), list(columns), "column", "x")
+    long = melt(df, [(c, qcol(c).cast("double")) for c in columns], group_cols, "column", "x")
     return long.where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def _rank_of(n: int, p: float) -> tuple[int, float]:
+def rank_of(n: int, p: float) -> tuple[int, float]:
     h = (n - 1) * p
     r = int(math.floor(h))
     return r, h - r
@@ -98,7 +98,7 @@ def exact_quantiles(
                     result[key + (p,)] = None
                     continue
                 n = row["n"]
-                r, frac = _rank_of(n, p)
+                r, frac = rank_of(n, p)
                 r1 = r + 1 if frac > 0 and r + 1 < n else r
                 if n <= max_bracket:
                     lo, hi = row["mn"], row["mx"]

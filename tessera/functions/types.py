@@ -10,6 +10,8 @@ Three different notions of "numeric" matter (see README):
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +46,10 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     changed = False
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
+            out.append(F.nanvl(qcol(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
             changed = True
         else:
-            out.append(F.col(f.name))
+            out.append(qcol(f.name))
     return df.select(*out) if changed else df
 
 
@@ -59,8 +61,15 @@ def as_text(col: Column, dt: T.DataType) -> Column:
 
 
 def qcol(name: str) -> Column:
-    """Column reference that tolerates dots and spaces in the name."""
-    return F.col(f"`{name}`")
+    """Column reference that tolerates dots, spaces and backticks in the name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def melt(df: DataFrame, cells: Sequence[tuple[str, Column]], keep: Sequence[str] = (), name: str = "column",
+         value: str = "value") -> DataFrame:
+    """(keep..., name, value): a row per input row and cell; any column names will do."""
+    pairs = [x for n, c in cells for x in (F.lit(n), c)]
+    return df.select(*[qcol(k) for k in keep], F.stack(F.lit(len(cells)), *pairs).alias(name, value))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.stats import exact_quantiles
-from tessera.functions.types import numeric_cols, qcol
+from tessera.functions.types import melt, numeric_cols, qcol
 
 METHODS = ("iqr", "zscore")
 ACTIONS = ("keep", "remove", "cap")
@@ -228,9 +228,8 @@ def outlier_summary(df: DataFrame, method: str = "iqr", threshold: float = Z_THR
     spark = df.sparkSession
     if not flags:
         return spark.createDataFrame([], "column string, n_outliers long, pct_outliers double")
-    cols = list(flags)
-    a = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(f).alias(c) for c, f in flags.items()])
-    long = a.unpivot(["_rows"], cols, "column", "n_outliers")
+    a = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(f).alias(f"n{i}") for i, f in enumerate(flags.values())])
+    long = melt(a, [(c, F.col(f"n{i}")) for i, c in enumerate(flags)], ["_rows"], "column", "n_outliers")
     return long.select(
         "column", F.col("n_outliers").cast("long").alias("n_outliers"),
         F.when(F.col("_rows") > 0, F.bround(F.col("n_outliers") / F.col("_rows") * 100.0, 2))

@@ -19,12 +19,11 @@ from pyspark.sql import types as T
 from tessera.functions.hashing import order_hash, row_key
 from tessera.functions.ranking import dense_codes, running_totals
 from tessera.functions.stats import exact_quantiles
-from tessera.functions.types import numeric_cols, qcol, string_cols
+from tessera.functions.types import melt, numeric_cols, qcol, string_cols
 from tessera.session import ensure_checkpoint_dir, stored
 
 LOW_CARD_THRESHOLD = 10
 MAX_ONEHOT_LEVELS = 1000
-BROADCAST_MAX_LEVELS = 2_000_000
 #: Rows that a cell of the split's hash range holds on average.
 CELL_ROWS = 4096
 NULL_LABEL = "nan"
@@ -63,13 +62,11 @@ class FittedEncoder:
         give all zeros; unseen label values give code -1."""
         out = df
         for c, table in self.label.items():
-            key = F.coalesce(qcol(c).cast("string"), F.lit(NULL_LABEL))
-            mapping = table.select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}"))
-            if self.label_sizes[c] <= BROADCAST_MAX_LEVELS:
-                mapping = F.broadcast(mapping)
-            out = out.withColumn(f"__k_{c}", key).join(mapping, F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left")
-            out = out.withColumn(c, F.coalesce(F.col(f"__c_{c}"), F.lit(-1).cast("long"))) \
-                     .drop(f"__k_{c}", f"__v_{c}", f"__c_{c}")
+            mapping = table.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
+            keyed = out.withColumn("__key", F.coalesce(qcol(c).cast("string"), F.lit(NULL_LABEL)))
+            # broadcast or shuffled by the bytes that Spark measures
+            out = keyed.join(mapping, F.col("__key") == F.col("__value"), "left")
+            out = out.withColumn(c, F.coalesce("__code", F.lit(-1).cast("long"))).drop("__key", "__value", "__code")
         keep = [qcol(c) for c in df.columns if c not in self.onehot]
         dummies = []
         for c, levels in self.onehot.items():
@@ -85,8 +82,7 @@ def _levels(df: DataFrame, cols: Sequence[str]) -> tuple[dict, dict, dict]:
     more than MAX_ONEHOT_LEVELS}, {column: n_unique}, {column: has nulls})."""
     if not cols:
         return {}, {}, {}
-    long = (df.select(*[qcol(c).cast("string").alias(c) for c in cols])
-            .unpivot([], list(cols), "column", "value"))
+    long = melt(df, [(c, qcol(c).cast("string")) for c in cols])
     freq = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     summary = freq.groupBy("column").agg(
         F.count("value").alias("n_unique"),

@@ -1,14 +1,15 @@
 """Dataset profiling: semantic types, nulls, duplicates, cardinality,
 descriptive statistics and target suggestion.
 
-Two scans carry almost everything:
-
-* scan A -- one wide ``agg`` (non-null counts, means, deviations, min/max,
-  date-format failures), plus the exact quantile helper for quartiles;
-* scan B -- every column unpivoted to text, then
-  ``groupBy(column, value).count()``: the value-frequency table.  Cardinality,
-  top value and mode all come from aggregates over it (``min(struct(-n, v))``
-  instead of a per-column window, so no column's values meet in one task).
+The full profile reads the data twice:
+
+* ``typed_frequencies`` -- a row per distinct value of every column with its
+  count, numbers as numbers and the rest as text, written to the shared
+  folder.  Nulls, cardinality, moments, top values and date patterns are
+  aggregates over it; quartiles come from running totals of its counts.
+* ``duplicate_count`` -- the rows grouped by all columns.
+
+Each single figure can also be had on its own by the functions below.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.stats import exact_quantiles
+from tessera.functions.ranking import running_totals
+from tessera.functions.stats import exact_quantiles, rank_of
 from tessera.functions.types import (
     as_text,
     is_datetime_type,
+    melt,
     non_numeric_cols,
     numeric_cols,
     qcol,
 )
+from tessera.session import stored
 
 # Date patterns tried on text columns (one pattern must parse
 # every non-null value), and the text-column thresholds.
@@ -46,7 +50,7 @@ TARGET_MAX_NULL_FRACTION = 0.3
 
 
 # ---------------------------------------------------------------------------
-# scan B: value frequencies
+# value frequencies
 # ---------------------------------------------------------------------------
 
 def one_zero(col: Column, dtype: T.DataType) -> Column:
@@ -59,8 +63,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     rendered as text.  Map-side partial counts keep hot values cheap."""
     columns = list(df.columns if columns is None else columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    texts = df.select(*[as_text(one_zero(qcol(c), types[c]), types[c]).alias(c) for c in columns])
-    long = texts.unpivot([], columns, "column", "value").where(F.col("value").isNotNull())
+    long = melt(df, [(c, as_text(one_zero(qcol(c), types[c]), types[c])) for c in columns]).where(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -93,8 +96,8 @@ def _attach(df: DataFrame, per_col: DataFrame, columns: Sequence[str]) -> DataFr
 def null_percentages(df: DataFrame, rounded: bool = True) -> DataFrame:
     """(position, column, null_pct): share of null cells, in percent."""
     cols = df.columns
-    row = df.select(*[F.avg(qcol(c).isNull().cast("double")).alias(c) for c in cols])
-    long = row.unpivot([], cols, "column", "frac")
+    row = df.select(*[F.avg(qcol(c).isNull().cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    long = melt(row, [(c, F.col(f"c{i}")) for i, c in enumerate(cols)], (), "column", "frac")
     pct = F.col("frac") * 100.0
     out = long.select("column", (F.bround(pct, 2) if rounded else pct).alias("null_pct"))
     return _attach(df, out, cols)
@@ -104,21 +107,27 @@ def null_percentages(df: DataFrame, rounded: bool = True) -> DataFrame:
 # P3 duplicates
 # ---------------------------------------------------------------------------
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """One row: n_duplicates (rows beyond the first copy), pct_duplicates."""
+def duplicate_count(df: DataFrame, with_rows: bool = False) -> DataFrame:
+    """One row: n_duplicates (rows beyond the first copy), pct_duplicates; ``with_rows`` adds n_rows."""
     groups = df.groupBy(*[qcol(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     agg = groups.agg(F.sum("_n").alias("n_rows"), F.sum(F.col("_n") - 1).alias("n_dup"))
     return agg.select(
         F.coalesce(F.col("n_dup"), F.lit(0)).cast("long").alias("n_duplicates"),
         F.when(F.coalesce(F.col("n_rows"), F.lit(0)) > 0,
                F.bround(F.col("n_dup") / F.col("n_rows") * 100.0, 2))
-        .otherwise(F.lit(0.0)).alias("pct_duplicates"))
+        .otherwise(F.lit(0.0)).alias("pct_duplicates"),
+        *([F.coalesce("n_rows", F.lit(0)).alias("n_rows")] if with_rows else []))
 
 
 # ---------------------------------------------------------------------------
 # P1 semantic types
 # ---------------------------------------------------------------------------
 
+def date_shape(x: Column) -> Column:
+    """Whether a text has the length and the first character that all date patterns have; null has."""
+    return F.coalesce(F.substring(x, 1, 1).between("0", "9") & F.length(x).between(8, 19), F.lit(True))
+
+
 def _date_columns(df: DataFrame, strs: Sequence[str]) -> tuple[dict, dict]:
     """({column: non-null count}, {column: parses with one pattern}).
 
@@ -129,8 +138,7 @@ def _date_columns(df: DataFrame, strs: Sequence[str]) -> tuple[dict, dict]:
     aggs = []
     for c in strs:
         x = txt[c]
-        shape_ok = (F.substring(x, 1, 1).between("0", "9")) & F.length(x).between(8, 19)
-        aggs += [F.count(x).alias(f"nn::{c}"), F.count_if(x.isNotNull() & ~shape_ok).alias(f"bad::{c}")]
+        aggs += [F.count(x).alias(f"nn::{c}"), F.count_if(~date_shape(x)).alias(f"bad::{c}")]
     r = df.agg(*aggs).first()
     nn = {c: r[f"nn::{c}"] for c in strs}
     is_date = {c: True for c in strs if nn[c] == 0}  # all-null parses trivially
@@ -221,9 +229,9 @@ def describe_numeric(df: DataFrame, digits: int = 4) -> DataFrame:
     qdf = spark.createDataFrame(
         [(c, q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)]) for c in cols],
         "column string, q25 double, q50 double, q75 double")
-    stack = [F.struct(F.lit(c).alias("column"), F.col(f"`n::{c}`").alias("count"),
-                      F.col(f"`mean::{c}`").alias("mean"), F.col(f"`std::{c}`").alias("std"),
-                      F.col(f"`min::{c}`").alias("min"), F.col(f"`max::{c}`").alias("max"))
+    stack = [F.struct(F.lit(c).alias("column"), qcol(f"n::{c}").alias("count"),
+                      qcol(f"mean::{c}").alias("mean"), qcol(f"std::{c}").alias("std"),
+                      qcol(f"min::{c}").alias("min"), qcol(f"max::{c}").alias("max"))
              for c in cols]
     long = a.select(F.explode(F.array(*stack)).alias("s")).select("s.*").join(F.broadcast(qdf), "column")
     r = lambda c: F.bround(F.col(c), digits).alias(c)
@@ -281,38 +289,89 @@ def suggest_target(df: DataFrame, types: DataFrame | None = None, freq_summary:
 # P8 full profile
 # ---------------------------------------------------------------------------
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row per column with type, nulls, cardinality, top value, numeric
-    statistics and target rank; table-level duplicate figures repeated.
-    Each underlying table (frequencies, nulls, types, statistics) is
-    computed once; the small per-column results are materialised before
-    they are combined."""
-    spark = df.sparkSession
-    # the frequency table can be as large as the data; it is read once and
-    # only its per-column summary is kept
-    fs = _small(spark, frequency_summary(value_frequencies(df)))
-    raw_nulls = _small(spark, null_percentages(df, rounded=False))
-    nulls = raw_nulls.select("column", F.bround("null_pct", 2).alias("null_pct"))
-    types = semantic_types(df, fs)
-    num = describe_numeric(df).drop("position")
-    cat = describe_categorical(df, fs, df.count()).select("column", "top_value", "top_freq", "pct_top")
-    tgt = suggest_target(df, types, fs, raw_nulls).select("column", F.col("rank").alias("target_rank"))
-    dup = duplicate_count(df).first()
-    out = (types.join(nulls, "column")
-           .join(fs.select("column", "n_unique"), "column", "left")
-           .join(num, "column", "left")
-           .join(cat, "column", "left")
-           .join(tgt, "column", "left")
-           .withColumn("n_duplicates", F.lit(dup["n_duplicates"]).cast("long"))
-           .withColumn("pct_duplicates", F.lit(dup["pct_duplicates"]).cast("double")))
-    return out.select(
-        "position", "column", "semantic_type", "null_pct",
-        F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
-        F.col("count").alias("n_numeric"), "mean", "std", "min", "q25", "q50", "q75", "max",
-        "top_value", "top_freq", "pct_top", "target_rank", "n_duplicates", "pct_duplicates")
+def typed_frequencies(df: DataFrame) -> DataFrame:
+    """(col, l, d, s, n): count of every non-null value of the column at
+    position ``col``: whole numbers in ``l``, doubles in ``d``, the rest as text in ``s``."""
+    parts: list[Column] = []
+    for i, f in enumerate(df.schema.fields):
+        x = one_zero(qcol(f.name), f.dataType)
+        whole, real = isinstance(f.dataType, T.IntegralType), isinstance(f.dataType, (T.FloatType, T.DoubleType))
+        none = F.lit(None)
+        parts += [F.lit(i), (x if whole else none).cast("long"), (x if real else none).cast("double"),
+                  none.cast("string") if whole or real else as_text(x, f.dataType)]
+    long = df.select(F.stack(F.lit(len(df.columns)), *parts).alias("col", "l", "d", "s"))
+    return (long.where("l IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL").groupBy("col", "l", "d", "s")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def _by_position(values: dict, width: int) -> Column:
+    """A literal per column position, for rows of the frequency table."""
+    return F.get(F.array(*[F.lit(values.get(i)).cast("double") for i in range(width)]), F.col("col"))
+
+
+def _weighted_quartiles(numbers: DataFrame, sizes: dict[int, int]) -> dict[tuple[int, float], float]:
+    """{(col, p): quantile} of the numbers (col, x, n), by running totals of the counts."""
+    wanted = {(i, p): rank_of(n, p) for i, n in sizes.items() for p in QUARTILES}
+    ranks = sorted({(i, r + k) for (i, _), (r, frac) in wanted.items() for k in (0, 1) if k == 0 or (frac > 0 and r + 1 < sizes[i])})
+    if not ranks:
+        return {}
+    run = running_totals(numbers, "x", ["n"], ["col"], written=True)
+    asked = numbers.sparkSession.createDataFrame(ranks, "col int, rank long")  # a few rows per column
+    met = run.join(F.broadcast(asked), "col").where("cum_n - n <= rank AND rank < cum_n").select("col", "rank", "x").collect()
+    at = {(r["col"], r["rank"]): r["x"] for r in met}
+    return {(i, p): at[i, r] + frac * (at.get((i, r + 1), at[i, r]) - at[i, r]) if frac else at[i, r]
+            for (i, p), (r, frac) in wanted.items()}
 
 
-def _small(spark, df: DataFrame) -> DataFrame:
-    """Materialise a per-column result (one row per column) on the driver
-    and hand it back as a local relation, so later joins do not recompute it."""
-    return spark.createDataFrame(df.collect(), df.schema)
+def profile(df: DataFrame) -> DataFrame:
+    """One row per column with type, nulls, cardinality, top value, numeric
+    statistics and target rank; table-level duplicate figures repeated.  The
+    driver sees a few figures per column."""
+    spark, fields, width = df.sparkSession, df.schema.fields, len(df.columns)
+    freq = stored(typed_frequencies(df), "frequencies")
+    dup = duplicate_count(df, with_rows=True).first()
+    n_rows = dup["n_rows"]
+
+    numeric = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.NumericType)]
+    texts = [i for i, f in enumerate(fields) if not isinstance(f.dataType, (T.NumericType, T.BooleanType)) and not is_datetime_type(f.dataType)]
+    x = F.when(F.col("col").isin(numeric), F.coalesce("d", F.col("l").cast("double"), F.col("s").try_cast("double")))
+    cells = freq.select("col", "s", "n", x.alias("x"))
+    first = {r["col"]: r for r in cells.groupBy("col").agg(
+        F.count(F.lit(1)).alias("n_unique"), F.sum("n").alias("nn"), F.sum(F.col("x") * F.col("n")).alias("total"),
+        F.min("x").alias("min"), F.max("x").alias("max"), F.count_if(~date_shape(F.col("s"))).alias("odd"),
+        F.min(F.struct((-F.col("n")).alias("neg"), F.col("s").alias("v"))).alias("top")).collect()}
+    means = {i: first[i]["total"] / first[i]["nn"] for i in numeric if i in first}
+    maybe = [i for i in texts if i in first and first[i]["odd"] == 0]
+    gap = F.col("x") - _by_position(means, width)
+    tries = [F.count_if(F.try_to_timestamp("s", F.lit(f)).isNull()).alias(f"f{k}") for k, f in enumerate(DATE_FORMATS)]
+    second = {r["col"]: r for r in cells.where(F.col("col").isin(numeric + maybe)).groupBy("col").agg(
+        F.sum(gap * gap * F.col("n")).alias("ss"), *(tries if maybe else [])).collect()}
+    quart = _weighted_quartiles(cells.where("x IS NOT NULL").select("col", "x", "n"), {i: first[i]["nn"] for i in means})
+
+    rows = []
+    for i, f in enumerate(fields):
+        got = first.get(i)
+        nn, unique = (got["nn"], got["n_unique"]) if got else (0, 0)
+        if i not in texts:
+            kind = "datetime" if is_datetime_type(f.dataType) else "numeric"
+        elif nn == 0 or (i in maybe and any(second[i][f"f{k}"] == 0 for k in range(len(DATE_FORMATS)))):
+            kind = "datetime"
+        else:
+            kind = "text" if unique / nn > TEXT_UNIQUE_RATIO and unique > TEXT_MIN_UNIQUE else "categorical"
+        std = (second[i]["ss"] / (nn - 1)) ** 0.5 if i in means and nn > 1 else None
+        stats = (nn, means[i], std, got["min"], *(quart[i, p] for p in QUARTILES), got["max"]) if i in means else \
+            ((0 if i in numeric else None), *[None] * 7)
+        top = (None, None) if i in numeric else (got["top"]["v"], -got["top"]["neg"]) if got else (None, 0)
+        rows.append((i, f.name, kind, (n_rows - nn) / n_rows * 100.0 if n_rows else None, unique, *stats, *top))
+    raw = spark.createDataFrame(rows, "position int, column string, semantic_type string, null_pct double, n_unique long, "
+                                      "n_numeric long, mean double, std double, min double, q25 double, q50 double, q75 double, "
+                                      "max double, top_value string, top_freq long")
+    rank = suggest_target(df, raw.select("position", "column", "semantic_type"), raw.select("column", "n_unique"),
+                          raw.select("column", "null_pct")).select("column", F.col("rank").alias("target_rank"))
+    r4 = lambda c: F.bround(c, 4).alias(c)
+    pct = F.when(F.col("top_freq") > 0, F.bround(F.col("top_freq") / n_rows * 100.0, 2)).when(F.col("top_freq").isNotNull(), 0.0)
+    return raw.join(rank, "column", "left").select(
+        "position", "column", "semantic_type", F.bround("null_pct", 2).alias("null_pct"), "n_unique", "n_numeric",
+        r4("mean"), r4("std"), r4("min"), r4("q25"), r4("q50"), r4("q75"), r4("max"), "top_value", "top_freq",
+        pct.alias("pct_top"), "target_rank", F.lit(dup["n_duplicates"]).cast("long").alias("n_duplicates"),
+        F.lit(dup["pct_duplicates"]).cast("double").alias("pct_duplicates"))
