@@ -9,15 +9,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import exact_quantiles
-from tessera.functions.types import numeric_cols, qcol
+from tessera.functions.types import melt, numeric_cols, qcol
 from tessera.operators.profile import null_percentages
 
 KDE_GRID = 100
 SQRT_2PI = math.sqrt(2.0 * math.pi)
+#: A spread below this share of the squares is rounding: the column is constant.
+FLAT = 1e-12
 
 
 def missing_ranked(df: DataFrame) -> DataFrame:
@@ -26,31 +29,56 @@ def missing_ranked(df: DataFrame) -> DataFrame:
             .orderBy(F.col("null_pct").desc(), "column"))
 
 
+def _gram(width: int, shift: Sequence[float]):
+    """Per pair of columns, over the rows where both are present: rows, sums, products, squares.
+
+    With M the mask of present values and X the shifted values (0 where
+    absent), these are the matrix products M'M, X'M, X'X and (X*X)'M of a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        sums, seen = np.zeros((4, width, width)), TaskContext.get().partitionId() == 0  # an empty table gives a row per pair too
+        for batch in batches:
+            seen = seen or batch.num_rows > 0
+            cells = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+            mask = ~np.isnan(cells)
+            x = np.where(mask, cells - np.array(shift), 0.0)
+            m = mask.astype(np.float64)
+            for k, part in enumerate((m.T @ m, x.T @ m, x.T @ x, (x * x).T @ m)):
+                sums[k] += part
+        if not seen:
+            return
+        i, j = (v.ravel() for v in np.indices((width, width)))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(s.ravel()) for s in sums)],
+                                         names=["i", "j", "n", "s", "p", "q"])
+
+    return run
+
+
 def correlation(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 3) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over rows where
-    both are present, long form (col_a, col_b, corr), rounded.  A constant
-    column gives null (no division error under ANSI mode)."""
+    both are present, long form (col_a, col_b, corr), rounded.  A column
+    that is constant over those rows gives null.
+
+    One pass for the means, one for the blocked Gram matrices of the values
+    less their means: a task adds up width x width products and gives a row
+    per pair, however many rows it read."""
     cols = numeric_cols(df, list(columns) if columns is not None else None)
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            x, y = qcol(a).cast("double"), qcol(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
-            xa, yb = F.when(both, x), F.when(both, y)
-            r = F.try_divide(F.covar_samp(xa, yb), F.stddev_samp(xa) * F.stddev_samp(yb))
-            name = f"c{len(pairs)}"
-            aggs.append(r.alias(name))
-            pairs.append((a, b, name))
-    if not pairs:
+    if not cols:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    row = df.agg(*aggs)
-    stack = []
-    for a, b, name in pairs:
-        v = F.bround(F.col(name), digits) + F.lit(0.0)  # no signed zero
-        stack.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), v.alias("corr")))
-        if a != b:
-            stack.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), v.alias("corr")))
-    return row.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
+    cells = df.select(*[F.nanvl(qcol(c).cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = cells.agg(*[F.avg(c) for c in cells.columns]).first()
+    parts = cells.mapInArrow(_gram(len(cols), [m or 0.0 for m in means]), "i int, j int, n double, s double, p double, q double")
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in "nspq"])
+    both = sums.alias("a").join(sums.alias("b"), F.expr("a.i = b.j AND a.j = b.i"))  # a row per pair on either side
+    spread = lambda t: F.col(f"{t}.q") - F.col(f"{t}.s") * F.col(f"{t}.s") / F.col("a.n")
+    cov = F.col("a.p") - F.col("a.s") * F.col("b.s") / F.col("a.n")
+    varies = (F.col("a.n") > 1) & (spread("a") > F.col("a.q") * FLAT) & (spread("b") > F.col("b.q") * FLAT)
+    r = F.when(varies, cov / F.sqrt(spread("a") * spread("b")))
+    names = F.array(*[F.lit(c) for c in cols])
+    return both.select(F.get(names, F.col("a.i")).alias("col_a"), F.get(names, F.col("a.j")).alias("col_b"),
+                       (F.bround(r, digits) + F.lit(0.0)).alias("corr"))  # no signed zero
 
 
 def _range(df: DataFrame, col: str):
@@ -88,9 +116,9 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
 
 def kde(df: DataFrame, col: str, grid: int = KDE_GRID, digits: int | None = 10) -> DataFrame:
     """Gaussian kernel density on ``grid`` points spanning [min, max] with
-    Scott's bandwidth (sample std * n^(-1/5)).  Exact: every row adds its
-    kernel to every grid point; the per-row grid values are summed with
-    map-side partial aggregation, so only ``grid`` rows per partition move."""
+    Scott's bandwidth (sample std * n^(-1/5)).  Exact: one aggregate with
+    a sum of kernels per grid point, in the scan of the rows; no row is
+    multiplied and a task gives one row."""
     spark = df.sparkSession
     st = _range(df, col)
     if not st["n"] or not st["sd"]:
@@ -98,12 +126,15 @@ def kde(df: DataFrame, col: str, grid: int = KDE_GRID, digits: int | None = 10)
     n, lo, hi, sd = st["n"], st["lo"], st["hi"], st["sd"]
     h = sd * n ** (-0.2)
     step = (hi - lo) / (grid - 1) if grid > 1 else 0.0
-    x = qcol(col).cast("double")
-    g = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")
-    rows = df.where(x.isNotNull()).select(x.alias("v"), g)
-    gx = F.lit(lo) + F.col("point") * F.lit(step)
-    z = (gx - F.col("v")) / F.lit(h)
-    dens = rows.groupBy("point").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("s"))
+    v = qcol(col).cast("double")
+
+    def kernel(k: int) -> Column:
+        z = (F.lit(lo) + F.lit(float(k)) * F.lit(step) - v) / F.lit(h)
+        return F.sum(F.exp(F.lit(-0.5) * z * z)).alias(f"s{k}")
+
+    sums = df.where(v.isNotNull()).agg(*[kernel(k) for k in range(grid)])
+    dens = melt(sums.select(*[F.struct(F.lit(k).alias("point"), F.col(f"s{k}").alias("s")).alias(f"s{k}") for k in range(grid)]),
+                [("", F.col(f"s{k}")) for k in range(grid)]).select("value.point", "value.s")
     val = F.col("s") / F.lit(n * h * SQRT_2PI)
     return dens.select("point", (F.lit(lo) + F.col("point") * F.lit(step)).alias("x"),
                        (F.bround(val, digits) if digits is not None else val).alias("density"))

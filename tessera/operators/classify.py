@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import row_key, uniform01
 from tessera.functions.types import qcol, spread
 from tessera.operators.evaluate import class_values
+from tessera.operators.prep import NULL_LABEL, FittedEncoder, FittedScaler
 
 STRATEGIES = ("most_frequent", "stratified", "uniform")
 MAX_DEPTH_CAP = 30  # MLlib's limit; the reference's "no limit" maps here
@@ -129,17 +130,19 @@ class TrainedClassifier:
     classes: list
     features: list[str]
     label_col: str
+    #: Columns of the rows it scores, where a preparation is part of the pipeline.
+    raw_features: list[str] | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` (class value) and ``probability`` (array in
         class order)."""
         out = self.model.transform(df)
         out = out.withColumn("probability", vector_to_array("__prob_vec"))
-        return out.drop("features", "rawPrediction", "__pred_idx", "__prob_vec")
+        return out.drop("features", "rawPrediction", "__pred_idx", "__prob_vec", *[f"__f{i}" for i in range(len(self.features))])
 
     @property
     def estimator(self):
-        return self.model.stages[1]
+        return next(s for s in self.model.stages if hasattr(s, "featureImportances"))
 
     def feature_importances(self) -> list[tuple[str, float]]:
         imp = self.estimator.featureImportances.toArray().tolist()
@@ -171,10 +174,13 @@ def _fit(df: DataFrame, feature_cols: Sequence[str], label_col: str, estimator,
         estimator.setWeightCol("__weight")
     elif class_weight is not None:
         raise ValueError("class_weight must be None or 'balanced'")
-    assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
+    # the assembler resolves its names, and splits them at dots
+    plain = [f"__f{i}" for i in range(len(feature_cols))]
+    named = SQLTransformer(statement=f"SELECT *, {', '.join(f'{_name(c)} AS {p}' for c, p in zip(feature_cols, plain))} FROM __THIS__")
+    assembler = VectorAssembler(inputCols=plain, outputCol="features", handleInvalid="keep")
     estimator.setFeaturesCol("features").setLabelCol("__label") \
         .setPredictionCol("__pred_idx").setProbabilityCol("__prob_vec")
-    model = Pipeline(stages=[assembler, estimator, _decoder(classes)]).fit(train)
+    model = Pipeline(stages=[named, assembler, estimator, _decoder(classes)]).fit(train)
     return TrainedClassifier(model, classes, list(feature_cols), label_col)
 
 
@@ -204,8 +210,53 @@ def train_random_forest(df: DataFrame, feature_cols: Sequence[str], label_col: s
     return _fit(df, feature_cols, label_col, est, class_weight)
 
 
-def load_classifier(path: str, classes: Sequence, features: Sequence[str], label_col: str) -> TrainedClassifier:
-    return TrainedClassifier(PipelineModel.load(path), list(classes), list(features), label_col)
+def load_classifier(path: str, classes: Sequence, features: Sequence[str], label_col: str,
+                    raw_features: Sequence[str] | None = None) -> TrainedClassifier:
+    return TrainedClassifier(PipelineModel.load(path), list(classes), list(features), label_col,
+                             None if raw_features is None else list(raw_features))
+
+
+# ---------------------------------------------------------------------------
+# M6 / S9 preparation as a part of the saved model
+# ---------------------------------------------------------------------------
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def preparation(encoder: FittedEncoder | None = None, scaler: FittedScaler | None = None) -> list[SQLTransformer]:
+    """Fitted encoder and scaler as pipeline stages: one projection each, their
+    levels, codes, centres and scales written into it, so that they are saved and
+    loaded with the model.  They give what ``transform`` of each gives, in
+    another order of columns.  Levels are part of a model and so pass the driver."""
+    stages = []
+    if encoder is not None:
+        done = []
+        for c, table in encoder.label.items():
+            codes = ", ".join(f"{_sql_literal(r['value'])}, {r['code']}L" for r in table.collect())
+            known = f"try_element_at(map({codes}), coalesce(CAST({_name(c)} AS STRING), {_sql_literal(NULL_LABEL)}))" if codes else "NULL"
+            done.append(f"coalesce({known}, -1L) AS {_name(c)}")
+        for c, levels in encoder.onehot.items():
+            done += [f"CAST({_name(c)} <=> {_sql_literal(lv)} AS BIGINT) AS {_name(f'{c}_{lv}')}" for lv in levels]
+        gone = [*encoder.label, *encoder.onehot]
+        if gone:
+            stages.append(SQLTransformer(statement=_projection(gone, done)))
+    if scaler is not None and scaler.params:
+        done = [f"(CAST({_name(c)} AS DOUBLE) - {float(m)!r}D) / {float(s)!r}D AS {_name(c)}" for c, (m, s) in scaler.params.items()]
+        stages.append(SQLTransformer(statement=_projection(list(scaler.params), done)))
+    return stages
+
+
+def _projection(gone: Sequence[str], done: Sequence[str]) -> str:
+    return f"SELECT {', '.join([f'* EXCEPT ({chr(44).join(map(_name, gone))})', *done])} FROM __THIS__"
+
+
+def with_preparation(model: TrainedClassifier, encoder: FittedEncoder | None = None, scaler: FittedScaler | None = None,
+                     raw_features: Sequence[str] | None = None) -> TrainedClassifier:
+    """The model for raw rows: encoding and scaling are the pipeline's first stages."""
+    stages = [*preparation(encoder, scaler), *model.model.stages]
+    return TrainedClassifier(PipelineModel(stages), model.classes, model.features, model.label_col,
+                             list(raw_features) if raw_features is not None else None)
 
 
 # ---------------------------------------------------------------------------
@@ -268,20 +319,28 @@ def roc_for_model(model: TrainedClassifier, df: DataFrame) -> DataFrame:
     pred = probability_frame(model.predict(df), model.classes)
     present = evaluate.class_values(pred, model.label_col)
     if len(present) != 2:
-        return df.sparkSession.createDataFrame([], "threshold double, fpr double, tpr double")
+        return df.sparkSession.createDataFrame([], "threshold double, fpr double, tpr double, auc double")
     return evaluate.roc_curve(pred, model.label_col, f"p_{present[-1]}", pos_label=present[-1])
 
 
 def score_records(spark, model: TrainedClassifier, records: Sequence[dict], scaler=None) -> DataFrame:
-    """Score a handful of records given as dicts (feature name -> value):
-    one small DataFrame, optionally scaled with a fitted scaler, then the
-    model's prediction and probabilities.  Any numbers will do; a record
-    without one of the features is an error."""
+    """Score a handful of records given as dicts (column -> value): one small
+    DataFrame, then the model's prediction and probabilities.  A model with
+    its preparation takes raw values, any other the numbers of its features,
+    optionally scaled with a fitted scaler.  A record without one of
+    the columns is an error."""
+    names = model.raw_features or model.features
     for r in records:
-        if missing := [f for f in model.features if f not in r]:
+        if missing := [f for f in names if f not in r]:
             raise KeyError(f"record without {', '.join(map(repr, missing))}")
-    rows = [tuple(None if r[f] is None else float(r[f]) for f in model.features) for r in records]
-    df = spark.createDataFrame(rows, ", ".join(f"`{f}` double" for f in model.features))
+
+    def kind(f: str) -> str:
+        values = [r[f] for r in records if r[f] is not None]
+        return "string" if any(isinstance(v, str) for v in values) else "double"
+
+    kinds = {f: kind(f) for f in names}
+    rows = [tuple(None if r[f] is None else float(r[f]) if kinds[f] == "double" else str(r[f]) for f in names) for r in records]
+    df = spark.createDataFrame(rows, ", ".join(f"{_name(f)} {k}" for f, k in kinds.items()))
     if scaler is not None:
         df = scaler.transform(df)
     return model.predict(df)

@@ -813,6 +813,28 @@ def q_score_batch(spark, sf):
     return loaded.predict(rows).select(*LI_KEY, "prediction", "probability")
 
 
+_ORDER_RAW = ["o_orderstatus", "o_orderpriority", "o_totalprice"]
+
+
+@register("score_records", "SELECT o_orderkey, true AS same FROM orders")
+def q_score_records(spark, sf):
+    """Every order as a raw record, scored by a saved and reloaded model that encodes and scales
+    by itself: the prediction is that of the model on rows encoded and scaled before."""
+    orders = load(spark, sf, "orders").select("o_orderkey", *_ORDER_RAW, (F.col("o_custkey") % 2).cast("int").alias("label"))
+    encoder = prep.fit_encoder(orders, "auto", exclude_cols=["label"])
+    coded = encoder.transform(orders)
+    scaler = prep.fit_scaler(coded, "robust", ["o_totalprice"])
+    ready = scaler.transform(coded)
+    features = [c for c in ready.columns if c not in ("o_orderkey", "label")]
+    model = classify.train_decision_tree(ready, features, "label", max_depth=4)
+    path = shared_dir(spark, "raw-model")
+    classify.with_preparation(model, encoder, scaler, _ORDER_RAW).save(path)
+    again = classify.load_classifier(path, model.classes, model.features, "label", _ORDER_RAW)
+    a = model.predict(ready).select("o_orderkey", "prediction", "probability")
+    b = again.predict(orders.select("o_orderkey", *_ORDER_RAW)).select("o_orderkey", F.col("prediction").alias("p"), F.col("probability").alias("q"))
+    return a.join(b, "o_orderkey").select("o_orderkey", ((F.col("prediction") == F.col("p")) & (F.col("probability") == F.col("q"))).alias("same"))
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf, top_n: int = 20):
     m = _model(spark, sf, "forest")

@@ -71,3 +71,26 @@ def test_score_records_values(spark):
     assert [r.prediction for r in classify.score_records(spark, model, [{"f": 5}, {"f": 15}]).collect()] == [0, 1]
     with pytest.raises(KeyError):
         classify.score_records(spark, model, [{"g": 5}])
+
+
+def test_raw_records_through_a_saved_model(spark, tmp_path):
+    from tessera.operators import prep
+
+    rows = [(i, ["a", "b's", None][i % 3], f"v{i % 30}", float(i % 13), int(i % 3 == 1 and i % 13 > 4)) for i in range(390)]
+    df = spark.createDataFrame(rows, "id long, `few.x` string, many string, `n m` double, y int")
+    enc = prep.fit_encoder(df, "auto", exclude_cols=["y"])
+    coded = enc.transform(df)
+    scaler = prep.fit_scaler(coded, "standard", ["n m"])
+    ready = scaler.transform(coded)
+    feats = [c for c in ready.columns if c not in ("id", "y")]
+    model = classify.train_decision_tree(ready, feats, "y")
+    raw = ["few.x", "many", "n m"]
+    classify.with_preparation(model, enc, scaler, raw).save(str(tmp_path / "m"))
+    again = classify.load_classifier(str(tmp_path / "m"), model.classes, model.features, "y", raw)
+    want = {r.id: (r.prediction, r.probability) for r in model.predict(ready).collect()}
+    assert {r.id: (r.prediction, r.probability) for r in again.predict(df).collect()} == want
+    assert {p for p, _ in want.values()} == {0, 1}
+    one = classify.score_records(spark, again, [dict(zip(raw, r[1:4])) for r in rows[:6]] + [{"few.x": "new", "many": "new", "n m": 3}])
+    assert [(r.prediction, r.probability) for r in one.collect()][:6] == [want[i] for i in range(6)]
+    with pytest.raises(KeyError):
+        classify.score_records(spark, again, [{"few.x": "a", "many": "v1"}])

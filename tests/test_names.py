@@ -1,5 +1,6 @@
 """Every operator on a table whose columns have dots, spaces and backticks in their names."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,16 @@ def test_segment(df):
 def test_charts(df):
     assert chartdata.missing_ranked(df).first().column == S
     assert chartdata.correlation(df, [X, Y]).count() == 4
+    rng = np.random.default_rng(1)
+    wide = rng.normal(size=(300, 200)) * 1e-3 + 1e6
+    wide[rng.random(wide.shape) < 0.1] = np.nan
+    wide[:, 7] = 5.5
+    rows = [[None if np.isnan(v) else float(v) for v in r] for r in wide]
+    got = {(r.col_a, r.col_b): r.corr for r in chartdata.correlation(df.sparkSession.createDataFrame(rows, ", ".join(f"`v.{i}` double" for i in range(200))), digits=6).collect()}
+    assert len(got) == 40_000 and got["v.7", "v.3"] is None and got["v.4", "v.4"] == 1.0
+    for i, j in ((0, 1), (3, 199), (50, 60)):
+        both = ~np.isnan(wide[:, i]) & ~np.isnan(wide[:, j])
+        assert got[f"v.{i}", f"v.{j}"] == got[f"v.{j}", f"v.{i}"] == pytest.approx(np.corrcoef(wide[both, i], wide[both, j])[0, 1], abs=2e-6)
     assert chartdata.histogram(df, X).count() > 1 and chartdata.boxplot(df, [X, Y]).count() == 2
     assert chartdata.kde(df, X).count() > 1 and chartdata.value_counts(df, S).count() >= 2
 
