@@ -137,10 +137,11 @@ def apply_null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> Dat
 
 
 def infer_types(df: DataFrame, broken: Column | None = None) -> DataFrame:
-    """Cast all-string columns to long / double / boolean when every
-    non-null value fits; one aggregate pass decides for all columns.  Rows
+    """Cast text columns to long / double / boolean when every non-null
+    value fits; one aggregate pass decides for all; others stay as they are.  Rows
     where ``broken`` holds are counted in the same pass and are an error."""
-    cols = [c for c in df.columns if c != OVERFLOW]
+    cols = [f.name for f in df.schema.fields if f.name != OVERFLOW and isinstance(f.dataType, T.StringType)]
+    typed = [f.name for f in df.schema.fields if f.name != OVERFLOW and f.name not in cols]
     if not cols:
         return df
     aggs = [F.count_if(broken if broken is not None else F.lit(False)).alias("broken")]
@@ -153,19 +154,19 @@ def infer_types(df: DataFrame, broken: Column | None = None) -> DataFrame:
     r = df.agg(*aggs).first()
     if r["broken"]:
         raise ValueError(f"{r['broken']} records have more values than their header has names")
-    out = []
+    out = {c: qcol(c) for c in typed}
     for i, c in enumerate(cols):
         x = qcol(c)
         n = r[f"n{i}"]
         if n > 0 and r[f"l{i}"] == n:
-            out.append(F.trim(x).cast("bigint").alias(c))
+            out[c] = F.trim(x).cast("bigint")
         elif n > 0 and r[f"d{i}"] == n:
-            out.append(F.trim(x).cast("double").alias(c))
+            out[c] = F.trim(x).cast("double")
         elif n > 0 and r[f"b{i}"] == n:
-            out.append(x.isin(TRUE_WORDS).alias(c))
+            out[c] = x.isin(TRUE_WORDS)
         else:
-            out.append(x.alias(c))
-    return df.select(*out)
+            out[c] = x
+    return df.select(*[out[c].alias(c) for c in df.columns if c != OVERFLOW])
 
 
 def _read_group(spark: SparkSession, files: list[str], names: list[str], sep: str, encoding: str,

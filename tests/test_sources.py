@@ -1,5 +1,8 @@
+import io
 import json
 import os
+import zipfile
+from datetime import datetime
 
 import pytest
 from hypothesis import given
@@ -7,7 +10,7 @@ from hypothesis import strategies as st
 
 from tessera import sources
 from tessera.sources.delimited import survey
-from tessera.sources.excel import _xlsx_bytes
+from tessera.sources.excel import NS, _xlsx_bytes
 from tessera.sources.jsonfile import ColumnStream
 
 TABLE = [("id", "name", "score"), ("1", "Ana", "1.5"), ("2", "Bo", ""), ("3", "Cé", "NA")]
@@ -173,6 +176,41 @@ def test_excel_folder_and_unsupported(spark, tmpdir_path):
         sources.read_table(spark, os.path.join(tmpdir_path, "table.txt"))
 
 
+def _dated(header, rows, styles):
+    """A workbook whose cells may be (serial, style number)."""
+    plain = _xlsx_bytes(header, [[v[0] if isinstance(v, tuple) else v for v in r] for r in rows])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(plain)) as z, zipfile.ZipFile(out, "w") as new:
+        for name in z.namelist():
+            text = z.read(name).decode()
+            if name.endswith("sheet1.xml"):
+                for ri, r in enumerate(rows, start=2):
+                    for ci, v in enumerate(r):
+                        if isinstance(v, tuple):
+                            text = text.replace(f'r="{chr(65 + ci)}{ri}"', f'r="{chr(65 + ci)}{ri}" s="{v[1]}"')
+            new.writestr(name, text)
+        new.writestr("xl/styles.xml", f'<styleSheet xmlns="{NS["m"]}">{styles}</styleSheet>')
+    return out.getvalue()
+
+
+def test_excel_dates_and_columns_by_name(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "dated.xlsx")
+    os.makedirs(d)
+    styles = ('<numFmts count="2"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd hh:mm"/><numFmt numFmtId="165" formatCode="0.00 &quot;days&quot;"/></numFmts>'
+              '<cellXfs count="4"><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs>')
+    books = [(["k", "when", "n"], [[1, (45292, 1), (1.5, 3)], [2, (45292.5, 2), (2, 3)], [3, None, None]]), (["n", "k", "mixed.x"], [[7, 4, (45292, 1)], [8, 5, "text"]])]
+    for i, (header, rows) in enumerate(books):
+        with open(os.path.join(d, f"b{i}.xlsx"), "wb") as fh:
+            fh.write(_dated(header, rows, styles))
+    df = sources.read_table(spark, d)
+    assert df.dtypes == [("k", "bigint"), ("when", "timestamp_ntz"), ("n", "double"), ("mixed.x", "string")]
+    got = {r.k: tuple(r)[1:] for r in df.collect()}
+    assert got == {1: (datetime(2024, 1, 1), 1.5, None), 2: (datetime(2024, 1, 1, 12), 2.0, None), 3: (None, None, None), 4: (None, 7.0, "2024-01-01 00:00:00"), 5: (None, 8.0, "text")}
+    bad = _write(os.path.join(tmpdir_path, "bad.xlsx"), "no zip")
+    with pytest.raises(ValueError):
+        sources.read_table(spark, bad)
+
+
 def test_metadata(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "a long, s string")
     r = sources.table_metadata(df).first()
