@@ -9,7 +9,7 @@ dropped, as the stages name theirs."""
 from __future__ import annotations
 
 import public_tokenizers as tokenizer_files
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe_tree, containment, line_rules, pii, segment_join
@@ -35,12 +35,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", n.alias("n_chars"))
 
 
+def _row_key() -> Column:
+    """16 bytes that tell rows apart by all columns."""
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.substring(F.sha2(F.concat(*map(part, COLUMNS)), 256), 1, 32))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the first by id (null ids last), then by a
     hash of all columns. Rows are told apart by all columns, so neither a null id nor
     one that stands with several texts matters. Rows without words are in no group and stay."""
-    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
-    named = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.sha2(F.concat(*map(part, COLUMNS)), 256).alias("key")).alias("row"), *COLUMNS)
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", _row_key().alias("key")).alias("row"), *COLUMNS)
     groups = stored(segment_join.join_groups(named, id_col="row"), "near_duplicates")
     first = groups.where((F.col("row") == F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("row.key").alias("key"), (F.col("n_shingles") > 0).alias("linked")).distinct()
     kept = named.withColumn("key", F.col("row.key")).join(first, "key")
@@ -50,9 +55,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    hit = containment.leaks(docs, load(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti")
+    """Documents that hold a benchmark item go. Rows are told apart by all
+    columns: one without an id can go, and of an id with several texts only those that leak."""
+    named = docs.select(*COLUMNS, _row_key().alias("key"))
+    hit = containment.leaks(named, load(spark, sf_dir, "benchmark"), id_col="key").select("key").distinct()
+    return named.join(hit, "key", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
