@@ -10,6 +10,7 @@ import public_tokenizers as tokenizer_files
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import fill_middle, piece_bpe, token_align
 from tessera.llm.piece_bpe import PieceBpe
 from tessera.llm.wordbpe import load_tokenizer
@@ -168,3 +169,29 @@ def test_token_alignment_hashes_and_empty_table(docs):
     assert token_align.align_documents(docs.limit(0), BYTE, PIECE).count() == 0
     counts = token_align.pair_counts(token_align.aligned_blocks(docs, BYTE, PIECE))
     assert counts.groupBy("b_id").agg(F.max(F.col("best").cast("int")).alias("m")).where("m = 0").count() == 0
+
+
+def test_decontamination_stage_equals_brute_force(spark, tmp_path):
+    """Leaks in rows without an id, and beside clean texts under one id."""
+    rnd = random.Random(5)
+    items = [" ".join(f"b{k}w{rnd.randrange(50)}" for _ in range(30)) for k in range(4)] + ["three word item", "", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [" ".join(f"c{rnd.randrange(90)}" for _ in range(60)) for _ in range(12)] + ["", None, "word three item"]
+    dirty = [f"{c} {items[k % 5]} {c}" for k, c in enumerate(clean[:8])] + [items[0].upper(), " ".join(items[1].split()[:29])]
+    partly = [" ".join(items[2].split()[:15])]
+    rows = [(rnd.choice([None, 1, 2, 3]), t, "en", rnd.choice(["a", None]), len(t or "")) for t in clean + dirty + partly] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("item_id", F.lit(1))
+    got = sorted(map(str, (tuple(r) for r in corpus_pipeline.decontamination(spark, df, str(tmp_path)).collect())))
+
+    def leaks(text):
+        words = (text or "").lower().split()
+        for item in items:
+            own = (item or "").lower().split()
+            k = min(5, len(own))
+            grams = lambda w: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}  # noqa: E731,B023
+            if own and len(grams(own) & grams(words)) >= 0.75 * len(grams(own)):
+                return True
+        return False
+
+    want = [r for r in rows if not leaks(r[1])]
+    assert got == sorted(map(str, want)) and 0 < len(want) < len(rows)
