@@ -58,12 +58,13 @@ def test_stream_scoring_matches_batch(spark, tmpdir_path):
     assert streamed == batch
 
 
-def test_hierarchical_exact_on_few_rows_and_pca(spark):
+def test_divisive_clusters_on_few_rows_and_pca(spark):
     pts = [(i, [float(v), 0.0]) for i, v in enumerate([0, 1, 2, 10, 11, 30])]
     df = spark.createDataFrame(pts, "id long, x array<double>")
     feats = segment.assemble(df, ["x"])
-    lab = {r.id: r.cluster for r in segment.run_hierarchical(feats, 3, "ward").collect()}
-    assert lab[0] == lab[1] == lab[2] and lab[3] == lab[4] and len(set(lab.values())) == 3
+    lab = {r.id: r.cluster for r in segment.run_bisecting(feats, 3).collect()}
+    # three clusters of neighbours: the label changes twice along the line
+    assert len(set(lab.values())) == 3 and sum(lab[i] != lab[i + 1] for i in range(5)) == 2
     pca = segment.pca_2d(feats, ["id"]).collect()
     assert pca[0].var_ratio_1 == pytest.approx(1.0) and abs(sum(r.pc1 for r in pca)) < 1e-9
 
