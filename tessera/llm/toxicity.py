@@ -4,13 +4,15 @@ The lexicon is learned: words (4 to 40 letters) of at least `MIN_DF` toxic
 training texts, kept when the G-squared statistic and the share of toxic texts
 among those that hold them reach `MIN_G2` and `MIN_SHARE`. Counts and statistics
 are computed in Spark for every word, and all words that pass are terms.
-Up to `BROADCAST_TERMS` terms go to every task, where a trie holds them; the Levenshtein automaton of a text's word runs over the trie
-and finds the terms within one edit. A swap of two neighbouring letters is one
+The distinct words of all texts are matched once: sorted by range, each task walks its words through the
+Levenshtein automaton intersected with a trie of the terms, and words that begin
+alike share the states of their common letters. It finds the terms within one edit. A swap of two neighbouring letters is one
 edit; terms of `LONG` letters or more are found within two edits. Words shorter
 than `FUZZY_LENGTH` are found by one substitution or swap, and such a hit counts
-only where its window speaks for abuse rather than quotation. Beyond that size
-the words of the texts are joined with the terms on what is left of either with
-one or two letters out, which finds the same terms. Every hit is scored by its window: quoting
+only where its window speaks for abuse rather than quotation. Beyond `BROADCAST_TERMS` terms
+the words are joined with the terms on what is left of either with
+one or two letters out, which finds the same terms. Up to `BROADCAST_HITS` words that hit go to every task; more
+are joined to the texts that hold them. Every hit is scored by its window: quoting
 marks and words of report around it speak for quotation, address and emphasis
 for abuse. A logistic regression over the summed scores gives the probability.
 
@@ -30,10 +32,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,7 @@ MIN_DF = 4
 MIN_G2 = 12.0
 MIN_SHARE = 0.6
 BROADCAST_TERMS = 20_000  # tries of so many terms take about 100 MB in a task
+BROADCAST_HITS = 200_000  # words taken for a term; about 30 MB in a task
 FLUSH = 200_000  # words counted in a task before they are handed on
 SALTS = 16
 FIT_ROWS = 20_000
@@ -92,135 +96,136 @@ def keys(word: str, edits: int) -> set[str]:
     return out
 
 
-def cut(w: str) -> tuple[str, ...]:
-    """Five letters with one of them out."""
-    return w[1:], w[0] + w[2:], w[:2] + w[3:], w[:3] + w[4], w[:4]
+#: States of the automaton after some letters of a word: the edits spent at each trie node, and
+#: at (node, letter) those of a swap whose second letter is still to be read.
+States = tuple[dict[int, int], dict[tuple[int, str], int]]
 
 
 class Trie:
-    """Lexicon terms by letter; '' marks the end of a term and holds its number."""
+    """Lexicon terms by letter, and the Levenshtein automaton of words run over it."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.ahead: dict = {}
-        self.back: dict = {}
+        self.terms, self.children, self.end, self.bound = terms, [{}], [-1], [0]
         for k, term in enumerate(terms):
-            for node, letters in ((self.ahead, term), (self.back, term[::-1])):
-                for c in letters:
-                    node = node.setdefault(c, {})
-                node[""] = k
-        self.exact = {t: k for k, t in enumerate(terms)}
-        # One edit leaves the first or the second half of a term as it is.
-        self.heads, self.tails = {(len(t), t[: len(t) // 2]) for t in terms}, {(len(t), t[len(t) // 2 :]) for t in terms}
-        self.terms, self.left, self.gaps, self.letters = terms, {}, {}, {}
-        for k, term in enumerate(terms):
-            self.letters.setdefault("".join(sorted(term)), []).append(k)
-            if len(term) >= LONG:
-                for x in keys(term, 2):
-                    self.left.setdefault(x, []).append(k)
-            elif len(term) < FUZZY_LENGTH:
-                for i in range(len(term)):
-                    self.gaps.setdefault((i, term[:i] + term[i + 1 :]), []).append(k)
-        # Two edits leave the first or the last five letters of a long term within one edit of the word's,
-        # so that both have something left in common with one letter out.
-        self.lengths = {len(t) + d for t in terms if len(t) >= LONG for d in (-2, -1, 0, 1, 2)}
-        self.starts, self.ends = ({x for t in terms if len(t) >= LONG for x in cut(part(t))} for part in (lambda t: t[:5], lambda t: t[-5:]))
-
-    @staticmethod
-    def _walk(node: dict, word: str, at: int) -> list[tuple[int, int]]:
-        """(distance, term) of the terms under `node`, which spells word[:at], within one edit.
-        A state of the automaton is (letters of the word read, edits spent)."""
-        found, todo, n = [], [(node, ((at, 0), (at + 1, 1)) if at < len(word) else ((at, 0),))], len(word)
-        while todo:
-            node, states = todo.pop()
-            if "" in node and (spent := [e for i, e in states if i == n]):
-                found.append((min(spent), node[""]))
-            for c, child in node.items():
-                if not c:
-                    continue
-                after = set()
-                for i, e in states:
-                    if i < n and word[i] == c:
-                        after.add((i + 1, e))
-                        if e == 0 and i + 1 < n:
-                            after.add((i + 2, 1))  # the next letter of the word left out
-                    if e == 0:
-                        after.add((i, 1))
-                        if i < n:
-                            after.add((i + 1, 1))
-                if after:
-                    todo.append((child, tuple(after)))
-        return found
-
-    def near(self, word: str) -> tuple[int, int] | None:
-        """(term, distance) of the nearest term within one edit; ties: the first term.
-        The automaton starts below the half that is intact, from either end."""
-        n, found = len(word), []
-        for m in (n - 1, n, n + 1):
-            h = m // 2
-            for known, root, letters, k in ((self.heads, self.ahead, word, h), (self.tails, self.back, word[::-1], m - h)):
-                half = letters[:k]
-                if (m, half if root is self.ahead else half[::-1]) in known:
-                    node = root
-                    for c in half:
-                        node = node[c]
-                    found += self._walk(node, letters, k)
+            most, node = 2 if len(term) >= LONG else 1, 0
+            self.bound[0] = max(self.bound[0], most)
+            for c in term:
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.end.append(-1)
+                    self.bound.append(0)
+                node = self.children[node][c]
+                self.bound[node] = max(self.bound[node], most)
+            self.end[node] = k
+        self.start = self._closed({0: 0}), {}
+
+    def _closed(self, spent: dict[int, int]) -> dict[int, int]:
+        """With the nodes that letters of a term missing in the word lead to."""
+        todo = list(spent.items())
+        for node, e in todo:
+            if spent[node] == e:
+                for child in self.children[node].values():
+                    if e < self.bound[child] and e + 1 < spent.get(child, 9):
+                        spent[child] = e + 1
+                        todo.append((child, e + 1))
+        return spent
+
+    def step(self, states: States, c: str, swaps: bool = True) -> States:
+        """The states after one more letter of the word."""
+        new: dict[int, int] = {}
+        swapped: dict[tuple[int, str], int] = {}
+        children, bound = self.children, self.bound
+        for node, e in states[0].items():
+            kids = children[node]
+            same = kids.get(c)
+            if same is not None and e <= bound[same] and e < new.get(same, 9):
+                new[same] = e
+            e += 1
+            if e > bound[node]:
+                continue
+            if e < new.get(node, 9):
+                new[node] = e
+            for x, kid in kids.items():
+                if x != c and e <= bound[kid]:
+                    if e < new.get(kid, 9):
+                        new[kid] = e
+                    after = children[kid].get(c)
+                    if swaps and after is not None and e <= bound[after] and e < swapped.get((after, x), 9):
+                        swapped[after, x] = e
+        for (node, x), e in states[1].items():
+            if x == c and e < new.get(node, 9):
+                new[node] = e
+        return self._closed(new), swapped
+
+    def _best(self, states: States, n: int) -> tuple[int, int] | None:
+        """(term, edits) of the nearest term that a word of n letters with these last states is taken for; ties: the first term."""
+        found = []
+        for node, e in states[0].items():
+            k = self.end[node]
+            if k >= 0:
+                size = len(self.terms[k])
+                if e == 0 or e <= (2 if size >= LONG and n >= FUZZY_LENGTH else 1) and (n >= FUZZY_LENGTH or n == size):
+                    found.append((e, k))
         return min(found)[::-1] if found else None
 
+    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, int, int]]:
+        """(word, term, edits) of the words that are taken for a term. Words in sorted
+        order share the states of the letters that they begin with."""
+        path, last = [self.start], ""
+        for word in words:
+            same, most = 0, min(len(word), len(path) - 1)
+            while same < most and word[same] == last[same]:
+                same += 1
+            del path[same + 1 :]
+            for c in word[same:]:
+                if not (path[-1][0] or path[-1][1]):
+                    break
+                path.append(self.step(path[-1], c))
+            last = word
+            if len(path) == len(word) + 1 and len(word) <= MAX_WORD and (best := self._best(path[-1], len(word))):
+                yield word, *best
+
     def nearest(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the nearest term that the word is taken for; ties: the first term."""
-        k = self.exact.get(word)
-        if k is not None:
-            return k, 0
-        n = len(word)
-        found = [(1, k) for k in self.letters.get("".join(sorted(word)), ()) if distance(word, self.terms[k]) == 1]
-        if n < FUZZY_LENGTH:
-            found += [(1, k) for i in range(n) for k in self.gaps.get((i, word[:i] + word[i + 1 :]), ())]
-        elif n <= MAX_WORD:
-            if near := self.near(word):
-                found.append(near[::-1])
-            if not found and n in self.lengths and not (self.starts.isdisjoint(cut(word[:5])) and self.ends.isdisjoint(cut(word[-5:]))):
-                may = {k for x in keys(word, 2) if x in self.left for k in self.left[x]}
-                found += [(e, k) for k in may if (e := taken(word, self.terms[k])) is not None]
-        return min(found)[::-1] if found and n <= MAX_WORD else None
+        """(term, edits) of the nearest term that the word is taken for."""
+        return next(((k, e) for _, k, e in self.walk([word])), None)
+
+    def near(self, word: str) -> tuple[int, int] | None:
+        """(term, edits) of the nearest term within one edit, swaps not among them, whatever the lengths."""
+        states = self.start
+        for c in word:
+            states = self.step(states, c, swaps=False)
+        found = [(e, self.end[node]) for node, e in states[0].items() if self.end[node] >= 0 and e <= 1]
+        return min(found)[::-1] if found else None
 
 
 class Lexicon:
-    def __init__(self, terms: list[tuple[str, float]], cache: int = 300_000) -> None:
+    """Terms with their weights, for single texts."""
+
+    def __init__(self, terms: list[tuple[str, float]]) -> None:
         self.weights, self.trie = [w for _, w in terms], Trie([t for t, _ in terms])
-        self.cache, self.seen = cache, {}
 
     def look(self, raw: str) -> tuple[float, int]:
         """(weight, edits) of a word as it stands in the text, lower-cased; weight 0: no term."""
-        word, found = raw.strip(_TRIM), (0.0, 0)
-        near = self.trie.nearest(word)
-        if near:
-            found = (self.weights[near[0]], near[1])
-        if len(self.seen) >= self.cache:
-            self.seen.clear()
-        if len(raw) <= 64:
-            self.seen[raw] = found
-        return found
+        near = self.trie.nearest(raw.strip(_TRIM))
+        return (self.weights[near[0]], near[1]) if near else (0.0, 0)
 
     def features(self, text: str | None) -> list[float]:
         ws = (text or "").lower().split()
-        got = list(map(self.seen.get, ws))
-        if None in got:
-            got = [self.look(w) if g is None else g for w, g in zip(ws, got)]
-        return window_features(ws, got)
+        return window_features(ws, {i: g for i, g in enumerate(map(self.look, ws)) if g[0]})
 
 
-def window_features(ws: list[str], got: list[tuple[float, int]]) -> list[float]:
-    """Features of a text from its words and what the lexicon says of each."""
+def window_features(ws: list[str], hits: dict[int, tuple[float, int]]) -> list[float]:
+    """Features of a text from its words and the (weight, edits) of those that are terms, by position."""
     exact = fuzzy = abuse = quoted = most = 0.0
-    unsure = {i for i, g in enumerate(got) if g[0] and g[1] and len(ws[i].strip(_TRIM)) < FUZZY_LENGTH}
-    hits, n_hits = [i for i, g in enumerate(got) if g[0]], 0
-    for i in hits:
-        weight, edits = got[i]
+    unsure = {i for i, g in hits.items() if g[1] and len(ws[i].strip(_TRIM)) < FUZZY_LENGTH}
+    n_hits = 0
+    for i, (weight, edits) in hits.items():
         low = max(0, i - WINDOW)
         window = ws[low : i + WINDOW + 1]
         before, after = " ".join(ws[low : i + 1]), " ".join(ws[i : i + WINDOW + 1])
         quote = bool(_QUOTES.search(before) and _QUOTES.search(after)) + any(w.strip(_TRIM) in _REPORT for w in ws[low:i])
-        heat = any(w.strip(_TRIM) in _ADDRESS for w in window) + ws[i].endswith("!") + sum(got[j][0] > 0 for j in range(low, min(len(ws), i + WINDOW + 1)) if j != i and j not in unsure) / 2
+        heat = any(w.strip(_TRIM) in _ADDRESS for w in window) + ws[i].endswith("!") + sum(hits[j][0] > 0 for j in range(low, min(len(ws), i + WINDOW + 1)) if j != i and j in hits and j not in unsure) / 2
         if i in unsure and heat <= quote:
             continue
         n_hits += 1
@@ -283,11 +288,43 @@ def learn_lexicon(train: DataFrame) -> DataFrame:
     return kept.select(F.col("word").alias("term"), weight.alias("weight"), "g2")
 
 
-def _scorer(terms: list[tuple[str, float]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the texts that can be or nearly be a term; each about once for `FLUSH` different ones."""
+    seen: set[str] = set()
+
+    def handed_on() -> pa.RecordBatch:
+        found = {w for w in (w.strip(_TRIM) for w in seen) if 4 <= len(w) <= MAX_WORD}
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            seen.update((text.as_py() or "").lower().split())
+            if len(seen) >= FLUSH:
+                yield handed_on()
+    yield handed_on()
+
+
+def _matcher(terms: list[tuple[str, float]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(word, weight, edits) of the sorted words that are taken for a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie([t for t, _ in terms])
+        for batch in batches:
+            found = list(trie.walk(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _, _ in found], pa.string()), pa.array([terms[k][1] for _, k, _ in found], pa.float64()), pa.array([e for _, _, e in found], pa.int32())], names=["word", "weight", "edits"])
+
+    return run
+
+
+def _scorer(table: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(terms)
+        known = table.value
         for batch in batches:
-            rows = [lexicon.features(t.as_py()) for t in batch.column(1)]
+            rows = []
+            for text in batch.column(1):
+                ws = (text.as_py() or "").lower().split()
+                rows.append(window_features(ws, {i: g for i, w in enumerate(ws) if (g := known.get(w.strip(_TRIM)))}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "f"])
 
     return run
@@ -328,21 +365,24 @@ def _found_scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for text, hits in zip(batch.column(1), batch.column(2)):
             found = {x["word"]: (x["weight"], x["edits"]) for x in hits.as_py() or []}
             ws = (text.as_py() or "").lower().split()
-            rows.append(window_features(ws, [found.get(w.strip(_TRIM), (0.0, 0)) for w in ws]))
+            rows.append(window_features(ws, {i: g for i, w in enumerate(ws) if (g := found.get(w.strip(_TRIM)))}))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "f"])
 
 
-def _joined_features(rows: DataFrame, kind: str, lexicon: DataFrame) -> DataFrame:
-    """(id, f) of (id, text) by joins: the lexicon is in no task as a whole."""
+def _joined_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, weight, edits) by joins: the lexicon is in no task as a whole."""
+    near = words.mapInArrow(_word_keys, "key string, word string").join(lexicon.mapInArrow(_term_keys, "key string, term string, weight double, g2 double"), "key")
+    near = near.select("word", "term", "weight", "g2").distinct().mapInArrow(_checked, "word string, term string, weight double, g2 double, edits int")
+    return near.groupBy("word").agg(F.min(F.struct("edits", (-F.col("g2")).alias("rank"), "term", "weight")).alias("b")).select("word", "b.weight", "b.edits")
+
+
+def _joined_features(rows: DataFrame, kind: str, found: DataFrame) -> DataFrame:
+    """(id, f) of (id, text) by joins: the words that hit are in no task as a whole."""
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).alias("salt")
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     known = rows.withColumn("h", F.sha2("text", 256))
-    held = stored(known.select("h", "text").where("text is not null").mapInArrow(_held, "h string, word string").distinct(), "held")
-    near = held.select("word").distinct().mapInArrow(_word_keys, "key string, word string").join(lexicon.mapInArrow(_term_keys, "key string, term string, weight double, g2 double"), "key")
-    near = near.select("word", "term", "weight", "g2").distinct().mapInArrow(_checked, "word string, term string, weight double, g2 double, edits int")
-    best = near.groupBy("word").agg(F.min(F.struct("edits", (-F.col("g2")).alias("rank"), "term", "weight")).alias("b")).select("word", "b.weight", "b.edits")
-    best = stored(best, "near_terms")
-    hits = held.withColumn("salt", salt("h")).join(salted(best), ["word", "salt"]).groupBy("h").agg(F.collect_list(F.struct("word", "weight", "edits")).alias("hits"))
+    held = known.select("h", "text").where("text is not null").mapInArrow(_held, "h string, word string").distinct()
+    hits = held.withColumn("salt", salt("h")).join(salted(found), ["word", "salt"]).groupBy("h").agg(F.collect_list(F.struct("word", "weight", "edits")).alias("hits"))
     full = known.withColumn("salt", salt("id")).join(salted(stored(hits, "hits")), ["h", "salt"], "left")
     return full.select("id", "text", "hits").mapInArrow(_found_scorer, f"id {kind}, f array<double>")
 
@@ -362,16 +402,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_terms: int = BROADCAST_TERMS, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
     """(id, held_out, score, predicted), one row per input row."""
     kind = docs.schema[id_col].dataType.simpleString()
     train = _labelled(docs, labels, id_col, text_col, label_col)
     lexicon = stored(learn_lexicon(train.where("fold < 4")), "lexicon")
+    words = stored(docs.select(docs[text_col].alias("text")).mapInArrow(_distinct_words, "word string").distinct(), "words")
     if lexicon.count() <= broadcast_terms:
         terms = [(r.term, r.weight) for r in lexicon.orderBy(F.desc("g2"), "term").collect()]
-        features = lambda df, kind: df.mapInArrow(_scorer(terms), f"id {kind}, f array<double>")
+        found = words.orderBy("word").mapInArrow(_matcher(terms), "word string, weight double, edits int")
+    else:
+        found = _joined_words(words, lexicon)
+    found = stored(found.where("weight != 0"), "near_terms")
+    if found.count() <= broadcast_hits:
+        table = docs.sparkSession.sparkContext.broadcast({r.word: (r.weight, r.edits) for r in found.collect()})
+        features = lambda df, kind: df.mapInArrow(_scorer(table), f"id {kind}, f array<double>")
     else:
-        features = lambda df, kind: _joined_features(df, kind, lexicon)
+        features = lambda df, kind: _joined_features(df, kind, found)
     part = train.where("fold = 4")
     rows = features(part.select(F.struct("id", "label").alias("id"), "text"), f"struct<id: {kind}, label: int>")
     fit = rows.orderBy(F.xxhash64("id.id"), "id.id", "f").limit(FIT_ROWS).collect()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import fill_middle, piece_bpe, token_align
+from tessera.llm import fill_middle, piece_bpe, token_align, toxicity
 from tessera.llm.piece_bpe import PieceBpe
 from tessera.llm.wordbpe import load_tokenizer
 
@@ -195,3 +195,21 @@ def test_decontamination_stage_equals_brute_force(spark, tmp_path):
 
     want = [r for r in rows if not leaks(r[1])]
     assert got == sorted(map(str, want)) and 0 < len(want) < len(rows)
+
+
+def test_toxicity_words_walked_together_and_joined_hits(spark):
+    """Words that share their first letters' states find what each finds alone; the
+    joins of terms and of hits give the scores that the broadcasts give."""
+    rnd = random.Random(5)
+    terms = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.choice([4, 5, 7, 10, 13]))) for _ in range(40)})
+    trie = toxicity.Trie(terms)
+    words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 15))) for _ in range(600)} | {t[1:] for t in terms} | {t + "x" for t in terms} | {"", "a" * 60, "日本語語"})
+    got = {w: (k, e) for w, k, e in trie.walk(words)}
+    for w in words:
+        want = min(((e, k) for k, t in enumerate(terms) if (e := toxicity.taken(w, t)) is not None), default=None)
+        assert got.get(w) == (want and want[::-1]), w
+    rows = [(i, f"number{i} of the words " + ("badword you" if i % 3 == 0 else "fine you")) for i in range(300)] + [(1000, None), (None, "badwrd!"), (None, "badwrd!"), (1001, "abdword " * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    ways = [sorted((str(r.doc_id), round(r.score, 9), r.predicted) for r in toxicity.score(df, labels, **k).collect()) for k in ({}, {"broadcast_terms": 0}, {"broadcast_hits": 0}, {"broadcast_terms": 0, "broadcast_hits": 0})]
+    assert len(ways[0]) == len(rows) and ways[0] == ways[1] == ways[2] == ways[3]
