@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import fill_middle, piece_bpe, token_align, toxicity
+from tessera.llm import cross_entropy, fill_middle, piece_bpe, token_align, toxicity
 from tessera.llm.piece_bpe import PieceBpe
 from tessera.llm.wordbpe import load_tokenizer
 
@@ -213,3 +213,64 @@ def test_toxicity_words_walked_together_and_joined_hits(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
     ways = [sorted((str(r.doc_id), round(r.score, 9), r.predicted) for r in toxicity.score(df, labels, **k).collect()) for k in ({}, {"broadcast_terms": 0}, {"broadcast_hits": 0}, {"broadcast_terms": 0, "broadcast_hits": 0})]
     assert len(ways[0]) == len(rows) and ways[0] == ways[1] == ways[2] == ways[3]
+
+
+def _plain_scores(texts, good, drawn):
+    """Both models by enumeration: probabilities of every known word after every context."""
+    ws = [(t or "").encode().lower().split() for t in texts]
+    models, total = [], Counter()
+    for mine in (good, drawn):
+        words, pairs = Counter(), Counter()
+        for i, w in enumerate(ws):
+            if w and i in mine:
+                words.update([None, *w])
+                pairs.update(zip([None, *w], w))
+        models.append((words, pairs))
+    both, both_pairs = (models[0][k] + models[1][k] for k in (0, 1))
+    vocab = {w for w, n in both.items() if n >= 3 and w is not None}
+    out = []
+    for words, pairs in models:
+        n = sum(c for w, c in words.items() if w is not None)
+        single = {w: (words[w] + 0.5) / (n + 0.5 * (len(vocab) + 1)) for w in vocab}
+        single["?"] = (sum(c for w, c in words.items() if w is not None and w not in vocab) + 0.5) / (n + 0.5 * (len(vocab) + 1))
+        kept = {p: pairs[p] for p, c in both_pairs.items() if c >= 3 and p[1] in vocab and (p[0] is None or p[0] in vocab)}
+
+        def prob(h, w):
+            f = words[h] if h is None or h in vocab else 0
+            seen = 0.6 * kept.get((h, w), 0) / f if f else 0.0
+            left = 1 - 0.6 * sum(c for p, c in kept.items() if p[0] == h) / f if f else 1.0
+            return seen + left * single[w if w in vocab else "?"]
+
+        for h in [None, *list(vocab)[:5], b"never seen"]:
+            assert sum(prob(h, w) for w in vocab | {"?"}) == pytest.approx(1)
+        out.append([-sum(np.log(prob(h, w)) for h, w in zip([None, *w_], w_)) / len(w_) if w_ else None for w_ in ws])
+    return out
+
+
+@pytest.mark.parametrize("all_drawn", [True, False])
+def test_cross_entropy_equals_enumeration(spark, all_drawn):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["Red", "green", "blue", "cat", "dog"] if i % 2 else [f"z{k}" for k in range(40)]) for _ in range(rnd.randrange(1, 30))) for i in range(90)] + [None, "", " \n", "red unseen cat", "Ünï ünï ünï ünï"]
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, "red cat", "x", 1), (91, "", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, word string, t int").repartition(3)
+    labels = spark.createDataFrame([(i, 1 if all_drawn else i % 2) for i in range(len(texts))] + [(None, 1), (3, None)], "doc_id long, quality int")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    # The background is drawn by hash, so the enumeration takes the same draw.
+    sizes = [len((t or "").split()) for _, t, _, _ in rows]
+    share = min(1.0, sum(n for n, r in zip(sizes, rows) if r[0] in good and r[0] is not None) / sum(sizes))
+    draw = F.pmod(F.xxhash64(F.lit("background"), F.col("doc_id").alias("id"), "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    drawn = {(r.doc_id, r.text) for r in df.where(draw).collect()}
+    numbered = [t for _, t, _, _ in rows]
+    want = _plain_scores(numbered, {k for k, r in enumerate(rows) if r[0] in good and r[0] is not None}, {k for k, r in enumerate(rows) if (r[0], r[1]) in drawn})
+    want = sorted((str(r[0]), r[1] or "", x, y) for r, x, y in zip(rows, *want) if x is not None)
+    ways = []
+    for k in ({}, {"broadcast_rows": 0}):
+        got = cross_entropy.score(df, labels, **k).collect()
+        assert len(got) == len(rows) and all(r.score is None and r.loss_target is None for r in got if r.n_tokens == 0)
+        ways.append(sorted((str(r.doc_id), r.loss_target, r.loss_background) for r in got if r.n_tokens))
+    for way in ways:
+        assert [r[0] for r in way] == [r[0] for r in want]
+        for r, w in zip(way, want):
+            assert r[1:] == pytest.approx(w[2:], rel=1e-5)
+    assert [r[1:] == pytest.approx(q[1:], rel=1e-12) for r, q in zip(*ways)] == [True] * len(want)
+    assert cross_entropy.score(df.limit(0), labels).count() == 0 and cross_entropy.score(df, labels.limit(0)).where("score IS NOT NULL").count() == 0
