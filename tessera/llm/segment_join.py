@@ -24,13 +24,17 @@ scanned in sorted order; a signature shared by many sets links each to the
 first and to its neighbour. A profile of each set (parities of its shingles in 2 to
 4 buckets a shingle, up to 4096 bytes) bounds the difference of a
 pair from below and drops most pairs that only share a passage, before any
-set moves. Folded to 1024 bits it is tested inside the join of crowded signatures. What is left is verified exactly: first each set
-with the partner it shares most signatures with. Crowded signatures are then
-dealt at random into parts of about `deal` sets, a few times over, and sets of two
-groups in one part are compared: a large group of near copies grows together
-in a few turns, long before its pairs have all been seen. Last, every
-candidate pair, and every pair sharing a crowded signature, whose ends are
-still apart is verified, so no link is lost.
+set moves. What is left is verified exactly: first each set with the partner it
+shares most signatures with. Then, while crowded signatures hold many pairs of
+sets of two groups, each set is dealt at a few of its crowded signatures, chosen
+alike by sets that share most, into random parts of about `deal` sets, and
+verified with its nearest set of another group there, by sketch (the profile
+folded to 1024 bits): a large group of near copies grows together in a turn or
+two, with a few pairs for each set. Last, every candidate pair, and every pair
+sharing a crowded signature, whose ends are still apart is looked at, so no link
+is lost: the sets outside a signature's largest group meet all its sets in
+cells of `cell` sets a side, where only pairs whose sketches allow a link
+become rows, and these are verified.
 
 Shingles and sets are named by 64-bit hashes; sizes go with the names of sets.
 
@@ -42,8 +46,6 @@ not read; an empty table gives no rows."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +63,9 @@ TOKEN_LEVEL = 48  # bands up to this size: a segment for each shingle
 CROWD = 24
 HOT_KEYS = 200_000
 DEAL = 8  # sets compared at once when a crowded signature is dealt
-FEW = 16  # lowest crowded signatures of a set, to meet a partner once
+HANDS = 3  # crowded signatures of a set that are dealt in one turn
+CELL = 4096  # sets of a crowded signature on each side of one comparison
+PER_MEMBER = 16  # comparisons left for a member of a crowded signature, on average, when dealing ends
 DOCS = 1000  # worked on at once within a task
 SKETCH = 1024  # bits of the profile that a crowded signature carries
 
@@ -467,7 +471,110 @@ def merged(groups: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     return stored(own.unionByName(fresh), "groups"), upper.where(F.struct("name", "n") != F.col("root")).count()
 
 
-def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, hot_keys: int = HOT_KEYS, deal: int = DEAL) -> DataFrame:
+_MEMBER = ("name", "n", "rn", "rs", "sketch")
+
+
+def near_pairs(name: np.ndarray, n: np.ndarray, rn: np.ndarray, rs: np.ndarray, words: np.ndarray, kind: np.ndarray, nearest: bool, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of sets of two groups whose sizes and sketches allow a link: x of kind 0 or 2,
+    y of kind 1 or 2. With `nearest` each x has only its y of the least difference."""
+    left, right = np.flatnonzero(kind != 1), np.flatnonzero(kind != 0)
+    step, found = max(1, cells // max(1, len(right))), []
+    for k in range(0, len(left), step):
+        u = left[k : k + step]
+        nu, nv = n[u][:, None], n[right]
+        x, y = np.nonzero(((rn[u][:, None] != rn[right]) | (rs[u][:, None] != rs[right])) & (DEN * np.minimum(nu, nv) >= NUM * np.maximum(nu, nv)))
+        x, y = u[x], right[y]
+        for w in (4, words.shape[1]):  # a part of the sketch drops most pairs
+            far = np.bitwise_count(words[x, :w] ^ words[y, :w]).sum(axis=1, dtype="i8")
+            near = far * (DEN + NUM) <= (n[x] + n[y]) * (DEN - NUM)
+            x, y, far = x[near], y[near], far[near]
+        if nearest and len(x):
+            order = np.lexsort((y, far, x))
+            x, y = x[order], y[order]
+            first = np.concatenate([[True], x[1:] != x[:-1]])
+            x, y = x[first], y[first]
+        found.append((x, y))
+    return tuple(np.concatenate(z) for z in zip(*found)) if found else (left, left)
+
+
+def _cells(nearest: bool) -> Callable:
+    """Candidate pairs from rows sorted by cell (sig, i, j), a cell at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            out, held = split(table, False)
+            yield from out
+        if held is not None:
+            yield from split(held, True)[0]
+
+    def split(table: pa.Table, end: bool) -> tuple[list[pa.RecordBatch], pa.Table | None]:
+        if not table.num_rows:
+            return [], None
+        table = table.combine_chunks()
+        sig, i, j, kind, name, n, rn, rs = (table.column(c).to_numpy() for c in range(8))
+        starts = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        stop = table.num_rows if end else starts[-1]
+        words = table.column(8).combine_chunks().flatten().to_numpy().view("u8").reshape(-1, SKETCH // 64)
+        n = n.astype("i8")
+        got = []
+        for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
+            if b > stop:
+                break
+            x, y = near_pairs(name[a:b], n[a:b], rn[a:b], rs[a:b], words[a:b], kind[a:b], nearest)
+            got.append((a + x, a + y))
+        out = []
+        if got:
+            x, y = (np.concatenate(z) for z in zip(*got))
+            turn = (n[x] > n[y]) | ((n[x] == n[y]) & (name[x] > name[y]))
+            x, y = np.where(turn, y, x), np.where(turn, x, y)
+            ends = np.unique(np.column_stack([name[x], n[x], name[y], n[y]]), axis=0)
+            if len(ends):
+                out = [pa.RecordBatch.from_arrays([pa.array(ends[:, c].astype(t)) for c, t in enumerate(("i8", "i4", "i8", "i4"))], names=["a", "na", "b", "nb"])]
+        return out, table.slice(stop) if stop < table.num_rows else None
+
+    return run
+
+
+def candidates(rows: DataFrame, holders: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of sets of two groups in one cell whose profiles allow a link."""
+    dealt = rows.select("sig", "i", "j", "kind", *_MEMBER).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    both = dealt.mapInArrow(_cells(nearest), "a long, na int, b long, nb int").distinct()
+    return likely(both.withColumn("times", F.lit(1).cast("long")), holders).drop("times")
+
+
+def mixed(member: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of the crowded signatures that hold more than one group, with their group (rn, rs), the
+    signature's size k, its largest group `main` and that group's members `most`."""
+    rooted = member.join(groups, ["name", "n"], "left").withColumn("root", F.coalesce("root", F.struct("name", "n")))
+    counts = rooted.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.sum("c").alias("k"), F.max(F.struct("c", "root")).alias("top"))
+    several = counts.where("top.c < k").select("sig", "k", F.col("top.c").alias("most"), F.col("top.root").alias("main"))
+    return stored(rooted.join(several, "sig").select("*", F.col("root.name").alias("rn"), F.col("root.n").alias("rs")), "mixed")
+
+
+def hands(rows: DataFrame, turn: int, deal: int) -> DataFrame:
+    """Each set at a few of its crowded signatures, the same ones for sets that share most, dealt
+    at random into parts of about `deal` sets."""
+    lowest = [F.min(F.struct(F.xxhash64("sig", F.lit(turn * HANDS + h)), "sig")).getField("sig") for h in range(HANDS)]
+    once = rows.groupBy(*_MEMBER).agg(F.array_distinct(F.array(*lowest)).alias("sigs"))
+    held = stored(once.select(*_MEMBER, F.explode("sigs").alias("sig")), "hands")
+    sizes = held.groupBy("sig").agg(F.count(F.lit(1)).alias("held"))
+    part = F.pmod(F.xxhash64("name", "n", F.lit(turn)), F.ceil(F.col("held") / deal)).cast("int")
+    return held.join(sizes, "sig").select("sig", part.alias("i"), F.lit(0).alias("j"), F.lit(2).alias("kind"), *_MEMBER)
+
+
+def blocks(rows: DataFrame, cell: int) -> DataFrame:
+    """Cells that hold every pair of sets of two groups of a signature: all its sets by blocks
+    on one side, those outside its largest group by blocks on the other."""
+    across, down = F.ceil(F.col("k") / cell).cast("int"), F.ceil((F.col("k") - F.col("most")) / cell).cast("int")
+    place = lambda seed, n: F.pmod(F.xxhash64("name", "n", F.lit(seed)), n).cast("int")
+    every = rows.select("sig", place(0, across).alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"), F.lit(0).alias("kind"), *_MEMBER)
+    others = rows.where("root != main").select("sig", F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), place(1, down).alias("j"), F.lit(1).alias("kind"), *_MEMBER)
+    return every.unionByName(others)
+
+
+def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, hot_keys: int = HOT_KEYS, deal: int = DEAL, cell: int = CELL) -> DataFrame:
     """(id, n_shingles, component_id), one row per input row."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -501,44 +608,22 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = stored(components(links), "groups")
 
     member = stored(crowds.distinct().join(holders.select("name", "n", "sketch"), ["name", "n"]), "crowds")
-    size = stored(member.groupBy("sig").agg(F.count(F.lit(1)).alias("k")), "crowd_sizes")
-    differ = reduce(add, (F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(SKETCH // 64)))
-    near = (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")) & (F.col("ra") < F.col("rb")) & ((DEN + NUM) * differ <= (DEN - NUM) * (F.col("na") + F.col("nb")))
-    turn = F.struct("na", "a") > F.struct("nb", "b")
-    pair = [F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]
-
-    def mixed(groups: DataFrame) -> DataFrame:
-        """Members, with their groups, of the crowded signatures that hold more than one group."""
-        rooted = member.join(groups, ["name", "n"], "left").withColumn("root", F.coalesce("root", F.struct("name", "n")))
-        several = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
-        return rooted.join(several, "sig", "left_semi")
-
-    def candidates(rows: DataFrame, keys: list[str], cond=None) -> DataFrame:
-        """Pairs of sets of two groups that share `keys` and whose profiles allow a link."""
-        side = lambda v, m, r, w, f: rows.select(*keys, F.col("name").alias(v), F.col("n").alias(m), F.col("root").alias(r), F.col("sketch").alias(w), *([F.col("few").alias(f)] if "few" in rows.columns else []))
-        both = side("a", "na", "ra", "wa", "fa").join(side("b", "nb", "rb", "wb", "fb"), keys).where(near if cond is None else near & cond)
-        return likely(both.select(*pair).distinct().withColumn("times", F.lit(1).cast("long")), holders).drop("times")
-
-    crowd_sets, turns = member.select("name", "n").distinct().count(), 0
-    while crowd_sets:
-        # A crowded signature is dealt at random into small parts, other ones each turn.
-        dealt = mixed(groups).join(size, "sig").withColumn("part", F.pmod(F.xxhash64("name", "n", F.lit(turns)), F.ceil(F.col("k") / deal)))
-        more = stored(verified(candidates(dealt, ["sig", "part"]), sets), "links")
-        if more.isEmpty():
+    members, turns, rest = member.count(), 0, apart(pairs, groups)
+    while members:
+        left = mixed(member, groups)
+        work, sets_left = left.agg(F.sum(F.col("k") - F.col("most")), F.count_distinct("name", "n")).first()
+        if not sets_left:
             break
-        groups, gone = merged(groups, more)
-        turns += 1
-        # When a turn brings few groups together, all pairs that are left are compared.
-        if gone * 20 < crowd_sets:
+        if turns and (gone * 20 < sets_left) or work <= PER_MEMBER * members:
+            # What is left is compared in full.
+            rest = rest.unionByName(candidates(blocks(left, cell), holders, False)).distinct()
             break
+        # Crowded signatures are dealt into small parts, other ones each turn.
+        more = stored(verified(candidates(hands(left, turns, deal), holders, True), sets), "links")
+        groups, gone = merged(groups, more)
+        turns, rest = turns + 1, apart(pairs, groups)
 
-    # Two sets meet at one of their shared signatures: not where both lists of their lowest ones hold a lower one.
-    last = mixed(groups)
-    few = last.groupBy("name", "n").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, FEW).alias("few"))
-    lower = F.array_min(F.array_intersect("fa", "fb"))
-    crowded = candidates(last.join(few, ["name", "n"]), ["sig"], F.coalesce(lower >= F.col("sig"), F.lit(True)))
-    rest = stored(apart(pairs, groups).unionByName(crowded).distinct(), "rest")
-    more = stored(verified(rest, sets), "links")
+    more = stored(verified(stored(rest, "rest"), sets), "links")
     if not more.isEmpty():
         groups, _ = merged(groups, more)
 

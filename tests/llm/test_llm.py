@@ -343,3 +343,49 @@ def test_profiles_bound_the_difference():
         far = segment_join.least_differences(pa.array([p]), pa.array([q]))[0]
         near = np.bitwise_count((segment_join.sketch(p) ^ segment_join.sketch(q)).view("u8")).sum()
         assert near <= far <= len(np.setxor1d(x, y))
+
+
+def _crowded_rows():
+    """Near copies of one text that drift apart, and texts around one long passage."""
+    rnd, texts = random.Random(11), []
+    base = [f"b{rnd.randrange(10**6)}" for _ in range(120)]
+    for g in range(260):
+        if g % 40 == 39:  # the group drifts: later copies are made from this one
+            base = list(base)
+            for _ in range(4):
+                base[rnd.randrange(120)] = f"d{rnd.randrange(10**6)}"
+        ws = list(base)
+        ws[rnd.randrange(120)] = f"n{rnd.randrange(10**6)}"
+        texts.append(" ".join(ws))
+    passage = [f"p{k}" for k in range(80)]
+    for _ in range(150):
+        own = [f"o{rnd.randrange(10**6)}" for _ in range(rnd.choice([8, 16, 40]))]
+        texts.append(" ".join(passage + own))
+    rnd.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize(("per_member", "cell"), [(16, 4096), (0, 16), (10**9, 7)])
+def test_crowded_signatures_equal_brute_force(spark, monkeypatch, per_member, cell):
+    """The same groups whether crowded signatures are dealt in turns first or compared at once, in one cell or in many."""
+    monkeypatch.setattr(segment_join, "PER_MEMBER", per_member)
+    rows = _crowded_rows()
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in segment_join.join_groups(df, crowd=6, deal=4, cell=cell).collect()}
+    assert got == _jaccard_groups(rows)
+
+
+def test_cells_hold_every_pair_of_two_groups(spark):
+    """Blocks of one signature meet so that each pair outside the largest group shares a cell."""
+    rows = [(7, k, 50, "m" if k < 40 else f"g{k % 5}") for k in range(60)]
+    member = spark.createDataFrame([(s, n, z, [n] * 16) for s, n, z, _ in rows], "sig long, name long, n int, sketch array<long>")
+    first = {"m": 0, **{f"g{k}": 40 + k for k in range(5)}}
+    groups = spark.createDataFrame([(n, z, (first[g], z)) for _, n, z, g in rows], "name long, n int, root struct<name: long, n: int>")
+    left = segment_join.mixed(member, groups)
+    assert {(r.k, r.most) for r in left.collect()} == {(60, 40)}
+    cells, group = {}, {n: g for _, n, _, g in rows}
+    for r in segment_join.blocks(left, 9).collect():
+        cells.setdefault((r.sig, r.i, r.j), ([], []))[r.kind].append(r.name)
+    met = {frozenset((x, y)) for xs, ys in cells.values() for x in xs for y in ys if group[x] != group[y]}
+    assert met == {frozenset((x, y)) for x in group for y in group if group[x] != group[y]}
+    assert max(len(x) for c in cells.values() for x in c) < 30
