@@ -34,7 +34,8 @@ two, with a few pairs for each set. Last, every candidate pair, and every pair
 sharing a crowded signature, whose ends are still apart is looked at, so no link
 is lost: the sets outside a signature's largest group meet all its sets in
 cells of `cell` sets a side, where only pairs whose sketches allow a link
-become rows, and these are verified.
+become rows, each at the lowest of a few signatures that both have, and these
+are verified.
 
 Shingles and sets are named by 64-bit hashes; sizes go with the names of sets.
 
@@ -64,6 +65,8 @@ CROWD = 24
 HOT_KEYS = 200_000
 DEAL = 8  # sets compared at once when a crowded signature is dealt
 HANDS = 3  # crowded signatures of a set that are dealt in one turn
+FEW = 16  # lowest crowded signatures of a set, to meet a partner once
+NO_SIG = (1 << 63) - 1  # fills these up; where it is a signature, a pair may meet more often
 CELL = 4096  # sets of a crowded signature on each side of one comparison
 PER_MEMBER = 16  # comparisons left for a member of a crowded signature, on average, when dealing ends
 DOCS = 1000  # worked on at once within a task
@@ -497,6 +500,15 @@ def near_pairs(name: np.ndarray, n: np.ndarray, rn: np.ndarray, rs: np.ndarray,
     return tuple(np.concatenate(z) for z in zip(*found)) if found else (left, left)
 
 
+def met_before(few: np.ndarray, x: np.ndarray, y: np.ndarray, sig: int, cells: int = 1 << 22) -> np.ndarray:
+    """Which pairs share a signature below `sig` among the lowest ones of both."""
+    out, step = np.zeros(len(x), bool), max(1, cells // FEW**2)
+    for k in range(0, len(x), step):
+        u, v = few[x[k : k + step]], few[y[k : k + step]]
+        out[k : k + step] = ((u[:, :, None] == v[:, None, :]) & (u < sig)[:, :, None]).any(axis=(1, 2))
+    return out
+
+
 def _cells(nearest: bool) -> Callable:
     """Candidate pairs from rows sorted by cell (sig, i, j), a cell at a time."""
 
@@ -517,13 +529,18 @@ def _cells(nearest: bool) -> Callable:
         starts = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         stop = table.num_rows if end else starts[-1]
         words = table.column(8).combine_chunks().flatten().to_numpy().view("u8").reshape(-1, SKETCH // 64)
+        few = None if nearest else table.column(9).combine_chunks().flatten().to_numpy().reshape(-1, FEW)
         n = n.astype("i8")
         got = []
         for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
             if b > stop:
                 break
             x, y = near_pairs(name[a:b], n[a:b], rn[a:b], rs[a:b], words[a:b], kind[a:b], nearest)
-            got.append((a + x, a + y))
+            x, y = a + x, a + y
+            if few is not None:
+                fresh = ~met_before(few, x, y, sig[a])
+                x, y = x[fresh], y[fresh]
+            got.append((x, y))
         out = []
         if got:
             x, y = (np.concatenate(z) for z in zip(*got))
@@ -538,8 +555,9 @@ def _cells(nearest: bool) -> Callable:
 
 
 def candidates(rows: DataFrame, holders: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of sets of two groups in one cell whose profiles allow a link."""
-    dealt = rows.select("sig", "i", "j", "kind", *_MEMBER).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    """Pairs of sets of two groups in one cell whose profiles allow a link. With `nearest` one
+    for each set; else all of them, each at the lowest of a few signatures that both have."""
+    dealt = rows.select("sig", "i", "j", "kind", *_MEMBER, *([] if nearest else ["few"])).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     both = dealt.mapInArrow(_cells(nearest), "a long, na int, b long, nb int").distinct()
     return likely(both.withColumn("times", F.lit(1).cast("long")), holders).drop("times")
 
@@ -568,9 +586,11 @@ def blocks(rows: DataFrame, cell: int) -> DataFrame:
     """Cells that hold every pair of sets of two groups of a signature: all its sets by blocks
     on one side, those outside its largest group by blocks on the other."""
     across, down = F.ceil(F.col("k") / cell).cast("int"), F.ceil((F.col("k") - F.col("most")) / cell).cast("int")
+    lowest = F.concat(F.sort_array(F.collect_set("sig")), F.array_repeat(F.lit(NO_SIG), FEW))
+    rows = rows.join(rows.groupBy("name", "n").agg(F.slice(lowest, 1, FEW).alias("few")), ["name", "n"])
     place = lambda seed, n: F.pmod(F.xxhash64("name", "n", F.lit(seed)), n).cast("int")
-    every = rows.select("sig", place(0, across).alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"), F.lit(0).alias("kind"), *_MEMBER)
-    others = rows.where("root != main").select("sig", F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), place(1, down).alias("j"), F.lit(1).alias("kind"), *_MEMBER)
+    every = rows.select("sig", place(0, across).alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"), F.lit(0).alias("kind"), *_MEMBER, "few")
+    others = rows.where("root != main").select("sig", F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), place(1, down).alias("j"), F.lit(1).alias("kind"), *_MEMBER, "few")
     return every.unionByName(others)
 
 

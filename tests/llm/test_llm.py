@@ -389,3 +389,13 @@ def test_cells_hold_every_pair_of_two_groups(spark):
     met = {frozenset((x, y)) for xs, ys in cells.values() for x in xs for y in ys if group[x] != group[y]}
     assert met == {frozenset((x, y)) for x in group for y in group if group[x] != group[y]}
     assert max(len(x) for c in cells.values() for x in c) < 30
+
+
+def test_pairs_meet_at_their_lowest_shared_signature():
+    rnd = random.Random(3)
+    few = np.array([sorted(rnd.sample(range(40), 16)) for _ in range(30)])
+    few[:5, 9:] = segment_join.NO_SIG
+    x, y = (np.array([rnd.randrange(30) for _ in range(400)]) for _ in range(2))
+    for sig in (0, 7, 25, segment_join.NO_SIG):
+        want = [any(s < sig for s in set(few[a]) & set(few[b])) for a, b in zip(x, y)]
+        assert segment_join.met_before(few, x, y, sig, cells=1000).tolist() == want
