@@ -21,6 +21,17 @@ def test_exact_quantiles_match_numpy_whole_and_bracketed(spark):
             assert q[("y", p)] == pytest.approx(np.quantile(np.array(ys, dtype=float), p), abs=1e-12)
 
 
+def test_exact_quantiles_between_two_frequent_values(spark):
+    # the rank falls on the border of two values that each fill more than a bracket
+    df = spark.range(8000).selectExpr("IF(id < 2000, 1, IF(id < 4000, 2, id % 7 + 3)) AS x", "IF(id < 4000, 0.5D, 7.5D) AS y", "IF(id % 2 = 0, 'a', NULL) AS g")
+    for mb, acc in ((50, 10000), (500, 100)):
+        q = exact_quantiles(df, ["x", "y"], [0.25, 0.5, 0.75], max_bracket=mb, accuracy=acc)
+        for c in ("x", "y"):
+            vals = np.array([float(r[0]) for r in df.select(c).collect()])
+            assert [q[(c, p)] for p in (0.25, 0.5, 0.75)] == [np.quantile(vals, p) for p in (0.25, 0.5, 0.75)]
+    assert exact_quantiles(df, ["y"], [0.5], ["g"], max_bracket=50) == {("a", "y", 0.5): 4.0, (None, "y", 0.5): 4.0}
+
+
 def test_exact_quantiles_grouped_and_empty(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 10.0), ("c", None)], "g string, x double")
     q = exact_quantiles(df, ["x"], [0.5], group_cols=["g"])
