@@ -94,3 +94,15 @@ def test_raw_records_through_a_saved_model(spark, tmp_path):
     assert [(r.prediction, r.probability) for r in one.collect()][:6] == [want[i] for i in range(6)]
     with pytest.raises(KeyError):
         classify.score_records(spark, again, [{"few.x": "a", "many": "v1"}])
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    from tessera.functions import types
+
+    monkeypatch.setattr(types, "ROWS_PER_TASK", 10)
+    df = spark.range(400).selectExpr("id % 2 AS y", "CAST(id AS DOUBLE) AS `a.b`", "id AS other")
+    assert types.spread(df.coalesce(2), 400).rdd.getNumPartitions() == max(40, spark.sparkContext.defaultParallelism)
+    seen = []
+    monkeypatch.setattr(classify, "spread", lambda d, n: seen.append((d.columns, n)) or types.spread(d, n))
+    classify.train_decision_tree(df, ["a.b"], "y", max_depth=2)
+    assert seen == [(["a.b", "y", "__label"], 400)]
