@@ -106,3 +106,27 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(classify, "spread", lambda d, n: seen.append((d.columns, n)) or types.spread(d, n))
     classify.train_decision_tree(df, ["a.b"], "y", max_depth=2)
     assert seen == [(["a.b", "y", "__label"], 400)]
+
+
+def test_forest_fit_keeps_no_node_ids(spark):
+    rf = classify.train_random_forest(_separable(spark), ["x", "z"], "y", n_estimators=2, max_depth=3)
+    assert rf.estimator.getCacheNodeIds() is False  # rows x trees numbers, on disk at size
+
+
+def _lines(spark, path, n=200):
+    spark.range(n).selectExpr(
+        "id AS l_orderkey", "CAST(1 AS INT) AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "CAST(id % 50 + 1 AS DOUBLE) AS l_quantity",
+        "CAST(id * 7 % 100 * 1000 AS DOUBLE) AS l_extendedprice", "0.05D AS l_discount", "0.01D AS l_tax").coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+def test_stream_files_are_bounded_and_split_is_found_once(spark, tmpdir_path, monkeypatch):
+    from tessera.plans import catalog
+
+    sf, made = _lines(spark, tmpdir_path), {}
+    shared = catalog.shared_dir
+    monkeypatch.setattr(catalog, "shared_dir", lambda s, name: made.setdefault(name, shared(s, name)))
+    monkeypatch.setattr(catalog, "STREAM_FILE_ROWS", 20)
+    assert catalog.q_stream_scoring(spark, sf).count() == 200
+    assert len(spark.read.parquet(made["stream-in"]).inputFiles()) == 10
+    assert catalog.lineitem_split(spark, sf) is catalog.lineitem_split(spark, sf)
