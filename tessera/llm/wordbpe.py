@@ -69,7 +69,7 @@ class WordBpe:
             ranks.setdefault(raw(left) + raw(right), len(ranks))
             ids.append(vocab[left + right])
         self.piece = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.ids = np.array(ids, "<u4")
+        self.ids = [np.array([i], "<u4").tobytes() for i in ids]
         self.cache, self.young, self.old = cache, {}, {}
 
     def word(self, word: str) -> bytes:
@@ -78,8 +78,19 @@ class WordBpe:
             if "<|" in word or NOT_PLAIN.search(word):
                 found = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                merged = [k for p in WORD_SPLIT.findall(word.lower()) for k in self.piece(p.encode() + b"\xff")]
-                found = self.ids[merged].tobytes() if merged else b""
+                found = self.merged(word.lower())
+        return self.kept(word, found)
+
+    def plain(self, word: str) -> bytes:
+        """`word` of a lower-case word known to be plain."""
+        found = self.old.get(word)
+        return self.kept(word, self.merged(word) if found is None else found)
+
+    def merged(self, word: str) -> bytes:
+        pieces = (word,) if word.isalpha() else WORD_SPLIT.findall(word)
+        return b"".join([self.ids[k] for p in pieces for k in self.piece(p.encode() + b"\xff")])
+
+    def kept(self, word: str, found: bytes) -> bytes:
         if len(word) <= 64:
             if len(self.young) >= self.cache:
                 self.young, self.old = {}, self.young
@@ -90,10 +101,12 @@ class WordBpe:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        found = text.lower().split() if NOT_PLAIN.search(text) is None and "<|" not in text else [w for w in ASCII_WS.split(text) if w]
+        plain = NOT_PLAIN.search(text) is None and "<|" not in text
+        found = text.lower().split() if plain else [w for w in ASCII_WS.split(text) if w]
         parts = list(map(self.young.get, found))
         if None in parts:
-            parts = [self.word(w) if p is None else p for w, p in zip(found, parts)]
+            new = self.plain if plain else self.word
+            parts = [new(w) if p is None else p for w, p in zip(found, parts)]
         return b"".join(parts)
 
 

@@ -274,3 +274,17 @@ def test_cross_entropy_equals_enumeration(spark, all_drawn):
             assert r[1:] == pytest.approx(w[2:], rel=1e-5)
     assert [r[1:] == pytest.approx(q[1:], rel=1e-12) for r, q in zip(*ways)] == [True] * len(want)
     assert cross_entropy.score(df.limit(0), labels).count() == 0 and cross_entropy.score(df, labels.limit(0)).where("score IS NOT NULL").count() == 0
+
+
+def test_words_new_to_the_cache_equal_the_library(monkeypatch):
+    from public_tokenizers import path
+    from tessera.llm.wordbpe import WordBpe
+
+    bpe, rnd = WordBpe(path("word_bpe_49k.json"), cache=50), random.Random(3)
+    texts = [" ".join("".join(rnd.choice("abcézñßÀÖ'_.,!#$%&*<>0123456789sS") for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(1, 60))) for _ in range(60)]
+    texts += ["It's we've ''s .'s _a_ x1y2", "a" * 70 + " b " + "a" * 70, "  \t\n "]
+    # words of a plain text are not tested one by one
+    monkeypatch.setattr(WordBpe, "word", lambda self, w: pytest.fail(w))
+    for t in [*texts, *texts]:
+        if "<|" not in t:
+            assert np.frombuffer(bpe.encode(t), "<u4").tolist() == bpe.library.encode(t, add_special_tokens=False).ids
