@@ -108,6 +108,21 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     assert seen == [(["a.b", "y", "__label"], 400)]
 
 
+def test_rows_of_few_partitions_among_empty_ones_are_dealt_out(spark, monkeypatch):
+    """As the splits of a file of one row group: enough partitions, all rows in one of them."""
+    from tessera.functions import types
+
+    many = 10 * spark.sparkContext.defaultParallelism
+    df = spark.range(0, 400, 1, 1).unionByName(spark.range(0, many, 1, many).where("id % 2 = 5"))
+    monkeypatch.setattr(types, "ROWS_PER_TASK", 100)
+    assert df.rdd.getNumPartitions() == many + 1 and types.largest_partition(df) == 400
+    dealt = types.spread(df, 400)
+    assert types.largest_partition(dealt) <= 100
+    assert sorted(r.id for r in dealt.collect()) == list(range(400))
+    even = spark.range(0, 400, 1, many)
+    assert types.spread(even, 400) is even
+
+
 def test_forest_fit_keeps_no_node_ids(spark):
     rf = classify.train_random_forest(_separable(spark), ["x", "z"], "y", n_estimators=2, max_depth=3)
     assert rf.estimator.getCacheNodeIds() is False  # rows x trees numbers, on disk at size
