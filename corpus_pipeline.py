@@ -71,7 +71,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)."""
     vocab = tokenizer_files.path(VOCAB)
-    decoded = bpe_tree.decode_documents(bpe_tree.encode_documents(docs, vocab), vocab)
+    # Written between: chained, each task would hold two Python workers at once.
+    encoded = stored(bpe_tree.encode_documents(docs, vocab), "encoded")
+    decoded = bpe_tree.decode_documents(encoded, vocab)
     return bpe_tree.digests(decoded)
 
 

@@ -316,3 +316,16 @@ def test_cross_entropy_scores_texts_together(monkeypatch, chunk):
                 want += sum(gains[p][c] for p in zip([None, *ws], ws) if p in gains) if len(pairs) else 0
                 assert sums[c] == pytest.approx(float(want))
         assert len(got) == len(texts)
+
+
+def test_pipeline_encoding_holds_one_python_worker_a_task(spark):
+    """Encoding and decoding are separate jobs, with the digests of the chained operators."""
+    from tessera.llm import bpe_tree
+
+    rows = [(k, t, "en", "web", len(t or "")) for k, t in enumerate(["two words", "", None, "naïve \u2603 <|endoftext|>", "two words"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    vocab = corpus_pipeline.tokenizer_files.path(corpus_pipeline.VOCAB)
+    got = corpus_pipeline.encoding(spark, df, "")
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    chained = bpe_tree.digests(bpe_tree.decode_documents(bpe_tree.encode_documents(df, vocab), vocab))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chained.collect()))
