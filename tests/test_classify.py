@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import classify
+from tessera.operators import classify, forest
 
 
 def _separable(spark):
@@ -145,3 +145,69 @@ def test_stream_files_are_bounded_and_split_is_found_once(spark, tmpdir_path, mo
     assert catalog.q_stream_scoring(spark, sf).count() == 200
     assert len(spark.read.parquet(made["stream-in"]).inputFiles()) == 10
     assert catalog.lineitem_split(spark, sf) is catalog.lineitem_split(spark, sf)
+
+
+def _hyperbola(spark, n=3000):
+    return spark.range(n).selectExpr("id", "CAST(id % 50 AS DOUBLE) AS `a.q`", "CAST(id * 7919 % 2999 AS DOUBLE) AS p", "CAST(id % 3 AS DOUBLE) AS noise",
+                                     "CASE WHEN id % 50 * (id * 7919 % 2999) > 60000 THEN 'hi' WHEN id % 50 < 10 THEN 'lo' ELSE 'mid' END AS y")
+
+
+def test_large_forest_is_grown_a_tree_a_task(spark, monkeypatch):
+    """Rows counted by bins: one Spark job of a task a tree, not a pass over the rows for each level of all trees."""
+    df, cols = _hyperbola(spark), ["a.q", "p", "noise"]
+    rf = lambda: classify.train_random_forest(df, cols, "y", n_estimators=30)
+    mllib = rf()
+    monkeypatch.setattr(forest, "GROUPED_ROWS", 0)
+    real, grown = forest.grow, []
+    monkeypatch.setattr(forest, "grow", lambda *a: grown.append(real(*a)) or grown[-1])
+    ours = rf()
+    assert grown[0] is not None and ours.estimator.getNumTrees == 30 and ours.estimator.numClasses == 3
+    right = [m.predict(df).where("y = prediction").count() / 3000 for m in (mllib, ours)]
+    assert right[1] > 0.97 and abs(right[0] - right[1]) < 0.02
+    a, b = (dict(m.feature_importances()) for m in (mllib, ours))
+    assert sum(b.values()) == pytest.approx(1.0) and all(abs(a[c] - b[c]) < 0.1 for c in cols)
+    nodes = [m.estimator.totalNumNodes for m in (mllib, ours)]
+    assert 0.8 < nodes[1] / nodes[0] < 1.25
+    # the draws do not depend on the partitions (quantiles of a column of many values do)
+    few = lambda d: {r.id: r.probability for r in classify.train_random_forest(d, ["a.q", "noise"], "y", n_estimators=3).predict(d).collect()}
+    assert few(df) == few(df.repartition(5))
+    weighted = classify.train_random_forest(df, cols, "y", n_estimators=5, class_weight="balanced", min_samples_leaf=20)
+    assert grown[-1] is not None and min(r for t in weighted.estimator.trees for r in _leaf_rows(t)) >= 20
+
+
+def _leaf_rows(tree):
+    nodes = [tree._java_obj.rootNode()]
+    while nodes:
+        n = nodes.pop()
+        if n.getClass().getSimpleName() == "LeafNode":
+            yield n.impurityStats().rawCount()
+        else:
+            nodes += [n.leftChild(), n.rightChild()]
+
+
+def test_forest_beyond_the_cells_is_mllibs(spark, monkeypatch):
+    df = _hyperbola(spark, 400)
+    fit = lambda d: classify.train_random_forest(d, ["a.q", "p"], "y", n_estimators=3)
+    want = [r.probability for r in fit(df).predict(df).orderBy("id").collect()]
+    monkeypatch.setattr(forest, "GROUPED_ROWS", 0)
+    monkeypatch.setattr(forest, "CELL_BYTES", 100)
+    assert [r.probability for r in fit(df).predict(df).orderBy("id").collect()] == want
+    with pytest.raises(Exception):  # as MLlib
+        fit(df.withColumn("p", F.expr("CASE WHEN id > 5 THEN p END")))
+
+
+def test_one_tree_of_all_features_is_mllibs(spark):
+    """Without draws the rules leave no choice, but between splits of equal gain, by rounding."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (600, 3))
+    y = ((x[:, 0] * x[:, 1] > 30) ^ (rng.random(600) < 0.1)).astype("i4")
+    df = spark.createDataFrame([(*map(float, r), int(c)) for r, c in zip(x, y)], "a double, b double, c double, y int")
+    for depth, least in ((30, 1), (6, 1), (30, 8)):
+        dt = classify.train_decision_tree(df, ["a", "b", "c"], "y", max_depth=depth, min_samples_leaf=least)
+        once = type("Once", (), {"poisson": lambda self, n: n, "random": lambda self, shape: np.random.default_rng(1).random(shape)})()
+        nodes = forest.tree(np.ascontiguousarray(x.T), y, np.ones(600, "i8"), np.ones(2), [12, 12, 12], once, 3, depth, least, 0.0)
+        assert dt.estimator.numNodes == pytest.approx(len(nodes["left"]), rel=0.03)
+        importance = np.bincount(np.maximum(nodes["feature"], 0), weights=np.where(nodes["left"] >= 0, nodes["gain"] * nodes["stats"].sum(1), 0), minlength=3)
+        assert np.allclose(importance / importance.sum(), [v for _, v in dt.feature_importances()], atol=0.01)
