@@ -211,3 +211,13 @@ def test_one_tree_of_all_features_is_mllibs(spark):
         assert dt.estimator.numNodes == pytest.approx(len(nodes["left"]), rel=0.03)
         importance = np.bincount(np.maximum(nodes["feature"], 0), weights=np.where(nodes["left"] >= 0, nodes["gain"] * nodes["stats"].sum(1), 0), minlength=3)
         assert np.allclose(importance / importance.sum(), [v for _, v in dt.feature_importances()], atol=0.01)
+
+
+def test_forest_scores_in_a_task_a_core(spark, tmpdir_path):
+    from tessera.plans import catalog
+
+    sf = _lines(spark, tmpdir_path, 400)
+    assert spark.read.parquet(f"{sf}/lineitem.parquet").rdd.getNumPartitions() == 1
+    cores = spark.sparkContext.defaultParallelism
+    for q in (catalog.q_score_batch,):
+        assert q(spark, sf).rdd.getNumPartitions() == cores
