@@ -219,5 +219,5 @@ def test_forest_scores_in_a_task_a_core(spark, tmpdir_path):
     sf = _lines(spark, tmpdir_path, 400)
     assert spark.read.parquet(f"{sf}/lineitem.parquet").rdd.getNumPartitions() == 1
     cores = spark.sparkContext.defaultParallelism
-    for q in (catalog.q_predict_proba, catalog.q_score_batch):
+    for q in (catalog.q_random_forest, catalog.q_predict_proba, catalog.q_score_batch):
         assert q(spark, sf).rdd.getNumPartitions() == cores
